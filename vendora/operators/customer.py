@@ -22,7 +22,9 @@ def interarrival_gaps(df: DataFrame, entity: str, ts: str,
 
     Output rows ``(entity, gap_us, w)``: ``w`` rows of the literal
     ``ts - LAG(ts)`` result share the value ``gap_us`` (rows with a NULL lag
-    are dropped). Tied timestamps give gap 0, whatever their order.
+    are dropped). Tied timestamps give gap 0, whatever their order. NULL
+    timestamps sort last (PostgreSQL), so an entity with both NULL and
+    non-NULL timestamps has one gap row whose value is NULL.
 
     Events first collapse to distinct ``(entity, ts)`` with multiplicity. Each
     entity's time range is then cut into ``ceil(distinct_ts / task_rows)``
@@ -32,6 +34,10 @@ def interarrival_gaps(df: DataFrame, entity: str, ts: str,
     """
     ev = (df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull())
           .groupBy(entity, ts).agg(F.count(F.lit(1)).alias("__m")))
+    null_tail = (df.where(F.col(entity).isNotNull()).groupBy(entity)
+                 .agg(F.count_if(F.col(ts).isNull()).alias("__z"), F.count(ts).alias("__v"))
+                 .where((F.col("__z") > 0) & (F.col("__v") > 0))
+                 .select(entity, F.lit(None).cast(BIG).alias("gap_us"), F.lit(1).cast("long").alias("w")))
     per = ev.groupBy(entity).agg(
         F.min(ts).alias("__t0"), F.max(ts).alias("__t1"), F.count(F.lit(1)).alias("__k"))
     per = per.withColumn("__slices", idiv(F.col("__k") + (task_rows - 1), task_rows))
@@ -54,7 +60,7 @@ def interarrival_gaps(df: DataFrame, entity: str, ts: str,
     # Repeated timestamps: m copies give m - 1 zero gaps.
     zeros = ev.where(F.col("__m") > 1).select(
         entity, F.lit(0).cast(BIG).alias("gap_us"), (F.col("__m") - 1).cast("long").alias("w"))
-    return in_slice.unionByName(border).unionByName(zeros)
+    return in_slice.unionByName(border).unionByName(zeros).unionByName(null_tail)
 
 
 def person_orders(customers: DataFrame, orders: DataFrame, status: str | None = "delivered",
