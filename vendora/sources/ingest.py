@@ -12,6 +12,7 @@ tables that need it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vendora.sources.schemas import TABLES
 
@@ -30,8 +31,9 @@ def read_csv(spark: SparkSession, path: str, table: str, mode: str = "PERMISSIVE
     ignored by the reader.
     """
     schema = TABLES[table]
-    reader = (spark.read.schema(schema if bad_records_column is None
-                                else schema.add(bad_records_column, "string"))
+    if bad_records_column is not None:  # a new StructType: never mutate the shared schema
+        schema = StructType(list(schema.fields) + [StructField(bad_records_column, StringType())])
+    reader = (spark.read.schema(schema)
               .option("header", "true").option("sep", ",")
               .option("quote", '"').option("escape", '"')
               .option("mode", mode)
