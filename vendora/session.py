@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plans are built from many small Column expressions; recording a Python
+    # call site for each costs several JVM round trips per function call.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -63,3 +63,9 @@ def from_parquet(spark: SparkSession, root: str) -> Tables:
     root = root.rstrip("/")
     return Tables.from_dict({name: spark.read.schema(schema).parquet(f"{root}/{name}")
                              for name, schema in TABLES.items()})
+
+
+def from_catalog(spark: SparkSession, database: str = "vendora") -> Tables:
+    """Tables registered by ``vendora.sources.ingest.write_bucketed_tables``
+    (read through the catalog, so Spark knows their bucketing)."""
+    return Tables.from_dict({name: spark.table(f"{database}.{name}") for name in TABLES})
