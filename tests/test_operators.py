@@ -97,3 +97,18 @@ def test_interarrival_gaps_match_lag(spark, task_rows):
                 continue
             want[(p, None if b is None else int((b - a).total_seconds() * 1_000_000))] += 1
     assert got == want
+
+
+def test_grouped_percentiles_match_per_group_brute_force(spark):
+    rnd = random.Random(5)
+    rows = [(g, rnd.randint(0, 300) if rnd.random() > 0.05 else None)
+            for g in ["a"] * 120 + ["b"] * 40 + [None] * 30 + ["only_null"] * 0 for _ in [0]]
+    rows += [("z", None), ("z", None)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    got = {r["g"]: (r["m"], r["p9"]) for r in
+           exact_percentiles(df, "v", {"m": 50, "p9": 90}, keys=["g"], buckets=3).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        s = sorted(v for k, v in rows if k == g and v is not None)
+        want[g] = (_pct_x100(s, 50), _pct_x100(s, 90)) if s else (None, None)
+    assert {k: tuple(None if x is None else int(x) for x in v) for k, v in got.items()} == want

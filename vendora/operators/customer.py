@@ -27,22 +27,26 @@ def interarrival_gaps(df: DataFrame, entity: str, ts: str,
     non-NULL timestamps has one gap row whose value is NULL.
 
     Events first collapse to distinct ``(entity, ts)`` with multiplicity. Each
-    entity's time range is then cut into ``ceil(distinct_ts / task_rows)``
-    slices, so one window task sees at most about ``task_rows`` timestamps even
-    for a very hot entity; gaps that cross a slice border come from a second
-    window over the slice summaries (a few rows per entity).
+    entity's time range is then cut into ``ceil(timestamps / task_rows)``
+    equal slices, so one window task sees about ``task_rows`` timestamps even
+    for a very hot entity (for evenly spread times); gaps that cross a slice
+    border come from a second window over the slice summaries (one row per
+    slice).
     """
-    ev = (df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull())
+    rows = df.where(F.col(entity).isNotNull())
+    ev = (rows.where(F.col(ts).isNotNull())
           .groupBy(entity, ts).agg(F.count(F.lit(1)).alias("__m")))
-    null_tail = (df.where(F.col(entity).isNotNull()).groupBy(entity)
-                 .agg(F.count_if(F.col(ts).isNull()).alias("__z"), F.count(ts).alias("__v"))
-                 .where((F.col("__z") > 0) & (F.col("__v") > 0))
-                 .select(entity, F.lit(None).cast(BIG).alias("gap_us"), F.lit(1).cast("long").alias("w")))
-    per = ev.groupBy(entity).agg(
-        F.min(ts).alias("__t0"), F.max(ts).alias("__t1"), F.count(F.lit(1)).alias("__k"))
-    per = per.withColumn("__slices", idiv(F.col("__k") + (task_rows - 1), task_rows))
+    # One pass per entity: time range, timestamp count (bounds the distinct
+    # count, so it sizes the slices) and NULL timestamps.
+    per = rows.groupBy(entity).agg(
+        F.min(ts).alias("__t0"), F.max(ts).alias("__t1"), F.count(ts).alias("__k"),
+        F.count_if(F.col(ts).isNull()).alias("__z"))
+    null_tail = per.where((F.col("__z") > 0) & (F.col("__k") > 0)).select(
+        entity, F.lit(None).cast(BIG).alias("gap_us"), F.lit(1).cast("long").alias("w"))
+    per = (per.where(F.col("__k") > 0)
+           .withColumn("__slices", idiv(F.col("__k") + (task_rows - 1), task_rows)))
     span = elapsed_us(F.col("__t0"), F.col("__t1")) + 1
-    ev = (ev.join(per, entity)
+    ev = (ev.join(per.select(entity, "__t0", "__t1", "__slices"), entity)
           .withColumn("__s", idiv(elapsed_us(F.col("__t0"), F.col(ts)) * F.col("__slices"), span))
           .select(entity, ts, "__m", "__s"))
     w_in = Window.partitionBy(entity, "__s").orderBy(ts)

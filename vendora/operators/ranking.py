@@ -20,6 +20,8 @@ step is lazy: no action runs while the plan is built.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,62 +30,91 @@ from vendora.functions.exact import BIG, idiv
 DEFAULT_BUCKETS = 4096
 
 
-def value_cumulative(df: DataFrame, value_col: str, buckets: int = DEFAULT_BUCKETS,
-                     weight_col: str | None = None):
-    """Cumulative distribution of an integral column.
+def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """Join on ``keys`` treating NULL as a value (a NULL group is a group, as in
+    GROUP BY). ``small`` marks a right side bounded by construction (broadcast);
+    otherwise AQE decides from its measured size."""
+    right = F.broadcast(right) if small else right
+    if not keys:
+        return left.crossJoin(right)
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
+                     *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond).drop(*[f"__r_{k}" for k in keys])
 
-    Returns ``(cum, stats)``. ``cum`` has one row per distinct non-NULL value:
-    ``v`` (long), ``c`` (rows holding v), ``le`` (rows with value <= v). ``stats``
-    is a one-row frame: ``n`` (non-NULL rows), ``nulls``, ``lo``, ``hi``, ``w``.
-    With ``weight_col`` each input row stands for that many rows.
+
+def value_cumulative(df: DataFrame, value_col: str, buckets: int = DEFAULT_BUCKETS,
+                     weight_col: str | None = None, keys: Sequence[str] = ()):
+    """Cumulative distribution of an integral column, per group of ``keys``.
+
+    Returns ``(cum, stats)``. ``cum`` has one row per group and distinct
+    non-NULL value: ``v`` (long), ``c`` (rows holding v), ``le`` (rows of the
+    group with value <= v). ``stats`` has one row per group: ``n`` (non-NULL
+    rows), ``nulls``, ``lo``, ``hi``, ``w`` (bucket width). With
+    ``weight_col`` each input row stands for that many rows.
     """
+    keys = list(keys)
     wt = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
-    vals = df.select(F.col(value_col).cast("long").alias("v"), wt.alias("__wt"))
-    vc = vals.where(F.col("v").isNotNull()).groupBy("v").agg(F.sum("__wt").alias("c"))
-    nulls = vals.agg(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("__wt"))), F.lit(0))
-                     .alias("nulls"))
-    stats = (vc.agg(F.min("v").alias("lo"), F.max("v").alias("hi"),
-                    F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-             .crossJoin(nulls)
-             .withColumn("w", idiv(F.col("hi") - F.col("lo"), buckets) + 1))
-    vb = (vc.crossJoin(F.broadcast(stats.select("lo", "w")))
-          .withColumn("b", idiv(F.col("v") - F.col("lo"), F.col("w")))
-          .drop("lo", "w"))
-    # Offsets of at most `buckets` rows: a single-partition window is bounded here.
-    per_bucket = vb.groupBy("b").agg(F.sum("c").alias("bn"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("b", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("off"))
-    running = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (vb.withColumn("in_b", F.sum("c").over(running))
-           .join(F.broadcast(offsets), "b")
-           .select("v", "c", (F.col("off") + F.col("in_b")).alias("le")))
+    vals = df.select(*keys, F.col(value_col).cast("long").alias("v"), wt.alias("__wt"))
+    vc = vals.where(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.sum("__wt").alias("c"))
+    is_null = F.col("v").isNull()
+    stats = (vals.groupBy(*keys).agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.coalesce(F.sum(F.when(~is_null, F.col("__wt"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(is_null, F.col("__wt"))), F.lit(0)).alias("nulls"))
+        .withColumn("w", idiv(F.col("hi") - F.col("lo"), buckets) + 1))
+    # Without keys `stats` is one row (broadcast); with keys its size follows
+    # the groups, so the join is left to AQE's measured broadcast decision.
+    vb = (_join_on(vc, stats.select(*keys, "lo", "w"), keys, small=not keys)
+          .withColumn("b", idiv(F.col("v") - F.col("lo"), F.col("w"))).drop("lo", "w"))
+    # Offsets: at most `buckets` rows per group, so this window is bounded.
+    per_bucket = vb.groupBy(*keys, "b").agg(F.sum("c").alias("bn"))
+    before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(*keys, "b", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("off"))
+    running = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    cum = (_join_on(vb.withColumn("in_b", F.sum("c").over(running)), offsets, [*keys, "b"],
+                    small=not keys)
+           .select(*keys, "v", "c", (F.col("off") + F.col("in_b")).alias("le")))
     return cum, stats
 
 
 def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
                       den: int = 100, buckets: int = DEFAULT_BUCKETS,
-                      weight_col: str | None = None) -> DataFrame:
+                      weight_col: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """``PERCENTILE_CONT(pn/den) WITHIN GROUP (ORDER BY value_col)`` for each point.
 
-    Returns one row; column ``name`` holds the exact percentile multiplied by
-    ``den`` (a decimal(38,0)), NULL when there are no non-NULL values.
+    One row per group of ``keys`` (one row in all when there are none, even
+    for empty input); column ``name`` holds the exact percentile multiplied by
+    ``den`` (a decimal(38,0)), NULL when the group has no non-NULL value.
     Interpolation is linear between ranks floor((n-1)p) and ceil((n-1)p), as
-    SQL defines it; it is done in integers, so no double rounding.
+    SQL defines it; it is done in integers, so there is no double rounding.
     """
-    cum, stats = value_cumulative(df, value_col, buckets, weight_col)
+    keys = list(keys)
+    cum, stats = value_cumulative(df, value_col, buckets, weight_col, keys)
     pts = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(int(v)).cast("long").alias("pn"))
-                     for k, v in points.items()])
+                    for k, v in points.items()])
     pos = (F.col("n") - 1) * F.col("pn")
     targets = (stats.where(F.col("n") > 0)
-               .select(F.explode(pts).alias("t"), "n").select("t.name", "t.pn", "n")
-               .select("name", idiv(pos, den).alias("r_lo"), (pos % den).alias("rem"))
+               .select(*keys, "n", F.explode(pts).alias("t")).select(*keys, "t.name", "t.pn", "n")
+               .select(*keys, "name", idiv(pos, den).alias("r_lo"), (pos % den).alias("rem"))
                .withColumn("r_hi", F.col("r_lo") + F.when(F.col("rem") > 0, 1).otherwise(0)))
-    ends = targets.select("name", "rem", F.explode(F.array(
+    ends = targets.select(*keys, "name", "rem", F.explode(F.array(
         F.struct(F.lit("lo").alias("kind"), F.col("r_lo").alias("r")),
         F.struct(F.lit("hi").alias("kind"), F.col("r_hi").alias("r")))).alias("e")
-    ).select("name", "rem", "e.kind", "e.r")
-    # Rank r (0-based) falls on value v when le - c <= r < le; <= 2*points rows broadcast.
-    hit = cum.join(F.broadcast(ends), (F.col("r") >= F.col("le") - F.col("c")) & (F.col("r") < F.col("le")))
+    ).select(*keys, "name", "rem", "e.kind", "e.r")
+    # Rank r (0-based) falls on value v when le - c <= r < le.
+    in_range = (F.col("r") >= F.col("le") - F.col("c")) & (F.col("r") < F.col("le"))
+    if keys:
+        e = ends.select(*[F.col(k).alias(f"__e_{k}") for k in keys], "name", "rem", "kind", "r")
+        cond = in_range
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__e_{k}"))
+        hit = cum.join(e, cond).drop(*[f"__e_{k}" for k in keys])
+    else:  # <= 2 * len(points) rows, broadcast
+        hit = cum.join(F.broadcast(ends), in_range)
     aggs = []
     for name in points:
         is_name = F.col("name") == name
@@ -91,7 +122,16 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
         hi = F.max(F.when(is_name & (F.col("kind") == "hi"), F.col("v")))
         rem = F.max(F.when(is_name, F.col("rem")))
         aggs.append((lo.cast(BIG) * den + (hi - lo).cast(BIG) * rem).cast(BIG).alias(name))
-    return hit.agg(*aggs)
+    if not keys:
+        return hit.agg(*aggs)
+    # Groups whose values are all NULL still get a row (with NULL percentiles).
+    got = hit.groupBy(*keys).agg(*aggs)
+    g = got.select(*[F.col(k).alias(f"__g_{k}") for k in keys], *points)
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"__g_{k}"))
+        cond = c if cond is None else cond & c
+    return stats.select(*keys).join(g, cond, "left").drop(*[f"__g_{k}" for k in keys])
 
 
 def rank_desc(df: DataFrame, value_col: str, out: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
