@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendora.functions.calendar import elapsed_us, month_start
-from vendora.functions.exact import BIG, idiv
+from vendora.functions.exact import BIG, cents, idiv
 
 # Distinct timestamps one window task may sort for a single person.
 GAP_TASK_ROWS = 1_000_000
@@ -95,3 +95,26 @@ def new_vs_returning(person_ts: DataFrame, entity: str = "customer_unique_id",
             .agg(F.count_if(F.col("order_month") == F.col("first_month")).alias("new_customers"),
                  F.count_if(F.col("order_month") > F.col("first_month")).alias("returning_customers"),
                  F.count(F.lit(1)).alias("total_active_customers")))
+
+
+def rfm(customers: DataFrame, orders: DataFrame, items: DataFrame,
+        status: str | None = "delivered") -> DataFrame:
+    """P12 raw RFM per person: ``recency`` (last purchase), ``frequency``
+    (distinct orders that have items), ``monetary_c`` (item revenue, cents).
+
+    Items fold to order grain before the join, and the person aggregate is
+    partial on the map side, so a very active person is never one task's
+    whole input."""
+    per_order = items.groupBy("order_id").agg(
+        F.sum(cents(F.col("price") + F.col("freight_value"))).alias("rev_c"))
+    po = person_orders(customers, orders, status)
+    return (po.join(per_order, "order_id")
+            .groupBy("customer_unique_id")
+            .agg(F.max("order_purchase_timestamp").alias("recency"),
+                 F.count("order_id").alias("frequency"), F.sum("rev_c").alias("monetary_c")))
+
+
+def as_of_date(orders: DataFrame, status: str | None = "delivered") -> DataFrame:
+    """One row: the latest purchase timestamp (``max_date``) - RFM's reference."""
+    o = orders.where(F.col("order_status") == status) if status else orders
+    return o.agg(F.max("order_purchase_timestamp").alias("max_date"))

@@ -51,12 +51,19 @@ def tier(rules: Sequence[tuple[Column, str]], otherwise: str) -> Column:
 
 
 def segment_2x2(df: DataFrame, x: str, y: str, out: str, labels: dict[tuple[bool, bool], str]) -> DataFrame:
-    """Place each row in a 2x2 grid against the means of ``x`` and ``y`` over
-    the frame (one broadcast row). ``labels[(x_high, y_high)]`` names a cell;
-    high means strictly above the mean; any other case is the (False, False) cell."""
-    means = df.agg(F.avg(x).alias("__mx"), F.avg(y).alias("__my"))
-    xh, yh = F.col(x) > F.col("__mx"), F.col(y) > F.col("__my")
-    xl, yl = F.col(x) <= F.col("__mx"), F.col(y) <= F.col("__my")
+    """Place each row in a 2x2 grid against the means of integral columns
+    ``x`` and ``y`` over the frame (one broadcast row of sums and counts).
+
+    "High" is strictly above the mean, tested exactly as ``v * count > sum``
+    (no rounded mean). ``labels[(x_high, y_high)]`` names a cell; a NULL input
+    fails both tests and lands in the ``(False, False)`` cell, like the
+    reference's ELSE branch."""
+    m = df.agg(F.sum(F.col(x).cast(BIG)).alias("__sx"), F.count(x).alias("__nx"),
+               F.sum(F.col(y).cast(BIG)).alias("__sy"), F.count(y).alias("__ny"))
+    xh = F.col(x).cast(BIG) * F.col("__nx") > F.col("__sx")
+    yh = F.col(y).cast(BIG) * F.col("__ny") > F.col("__sy")
+    xl = F.col(x).cast(BIG) * F.col("__nx") <= F.col("__sx")
+    yl = F.col(y).cast(BIG) * F.col("__ny") <= F.col("__sy")
     label = (F.when(xh & yh, labels[(True, True)]).when(xh & yl, labels[(True, False)])
              .when(xl & yh, labels[(False, True)]).otherwise(labels[(False, False)]))
-    return df.crossJoin(F.broadcast(means)).withColumn(out, label).drop("__mx", "__my")
+    return df.crossJoin(F.broadcast(m)).withColumn(out, label).drop("__sx", "__nx", "__sy", "__ny")
