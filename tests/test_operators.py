@@ -112,3 +112,14 @@ def test_grouped_percentiles_match_per_group_brute_force(spark):
         s = sorted(v for k, v in rows if k == g and v is not None)
         want[g] = (_pct_x100(s, 50), _pct_x100(s, 90)) if s else (None, None)
     assert {k: tuple(None if x is None else int(x) for x in v) for k, v in got.items()} == want
+
+
+def test_bucket_count_follows_the_rows(spark, monkeypatch):
+    import vendora.operators.ranking as rk
+    monkeypatch.setattr(rk, "BUCKET_ROWS", 7)          # 140 values -> 20 buckets
+    vals = list(range(0, 1400, 10))
+    df = spark.createDataFrame([(v,) for v in vals], "v long")
+    _, stats = rk.value_cumulative(df, "v")
+    assert stats.first()["w"] == (1390 - 0) // 20 + 1
+    got = rk.exact_percentiles(df, "v", {"p": 37}).first()["p"]
+    assert int(got) == _pct_x100(vals, 37)

@@ -12,7 +12,7 @@ from vendora.sources import adapter, ingest
 from vendora.sources.catalog import from_catalog, from_parquet, from_testdata
 
 # Unpartitioned windows may only order rows whose count is bounded: value
-# buckets of the cumulative distribution (<= 4096) or calendar months.
+# buckets of the cumulative distribution (<= 2^20) or calendar months.
 BOUNDED_ORDER_COLS = {"b", "order_month"}
 EXTRA = {"delivery_peak_months": {"total_orders"}}   # RANK() over the month rows
 

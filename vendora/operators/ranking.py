@@ -8,14 +8,17 @@ here without ever sending the data through one task:
 
 1. ``groupBy(v).count()`` - duplicates collapse map-side, so a value held by a
    third of all rows is one row after the partial aggregate;
-2. the value range is cut into at most ``buckets`` equal-width buckets (min
-   and max come from a one-row aggregate, broadcast); bucket totals (<=
-   ``buckets`` rows) give each bucket its offset;
+2. the value range is cut into equal-width buckets - ``ceil(rows /
+   BUCKET_ROWS)`` of them, at most ``MAX_BUCKETS`` (min, max and the row count
+   come from a one-row aggregate, broadcast) - and bucket totals (one row per
+   bucket, so a bounded table) give each bucket its offset;
 3. a window *partitioned by bucket* gives the running count inside a bucket.
 
-Values must be integral (cents, microseconds, days, counts), which bounds the
-distinct values per bucket by the bucket width as well as by the data. Every
-step is lazy: no action runs while the plan is built.
+So the bucket count grows with the data and a bucket holds about
+``BUCKET_ROWS`` values when they are spread evenly. Values must be integral
+(cents, microseconds, days, counts), which also bounds the distinct values of
+a bucket by its width. Every step is lazy: no action runs while the plan is
+built.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 
 from vendora.functions.exact import BIG, idiv
 
-DEFAULT_BUCKETS = 4096
+BUCKET_ROWS = 1_000_000      # rows one running-count window task should see
+MAX_BUCKETS = 1 << 20        # bounds the offsets table (broadcast when ungrouped)
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
@@ -46,7 +50,7 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool
     return left.join(r, cond).drop(*[f"__r_{k}" for k in keys])
 
 
-def value_cumulative(df: DataFrame, value_col: str, buckets: int = DEFAULT_BUCKETS,
+def value_cumulative(df: DataFrame, value_col: str, buckets: int | None = None,
                      weight_col: str | None = None, keys: Sequence[str] = ()):
     """Cumulative distribution of an integral column, per group of ``keys``.
 
@@ -54,7 +58,8 @@ def value_cumulative(df: DataFrame, value_col: str, buckets: int = DEFAULT_BUCKE
     non-NULL value: ``v`` (long), ``c`` (rows holding v), ``le`` (rows of the
     group with value <= v). ``stats`` has one row per group: ``n`` (non-NULL
     rows), ``nulls``, ``lo``, ``hi``, ``w`` (bucket width). With
-    ``weight_col`` each input row stands for that many rows.
+    ``weight_col`` each input row stands for that many rows. ``buckets`` fixes
+    the bucket count per group (default: sized from the group's rows).
     """
     keys = list(keys)
     wt = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
@@ -65,12 +70,16 @@ def value_cumulative(df: DataFrame, value_col: str, buckets: int = DEFAULT_BUCKE
         F.min("v").alias("lo"), F.max("v").alias("hi"),
         F.coalesce(F.sum(F.when(~is_null, F.col("__wt"))), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.when(is_null, F.col("__wt"))), F.lit(0)).alias("nulls"))
-        .withColumn("w", idiv(F.col("hi") - F.col("lo"), buckets) + 1))
+        .withColumn("__nb", F.lit(buckets).cast("long") if buckets else
+                    F.least(F.lit(MAX_BUCKETS).cast("long"),
+                            F.greatest(F.lit(1).cast("long"), idiv(F.col("n") + (BUCKET_ROWS - 1), BUCKET_ROWS))))
+        .withColumn("w", idiv(F.col("hi") - F.col("lo"), F.col("__nb")) + 1)
+        .drop("__nb"))
     # Without keys `stats` is one row (broadcast); with keys its size follows
     # the groups, so the join is left to AQE's measured broadcast decision.
     vb = (_join_on(vc, stats.select(*keys, "lo", "w"), keys, small=not keys)
           .withColumn("b", idiv(F.col("v") - F.col("lo"), F.col("w"))).drop("lo", "w"))
-    # Offsets: at most `buckets` rows per group, so this window is bounded.
+    # Offsets: at most MAX_BUCKETS rows per group, so this window is bounded.
     per_bucket = vb.groupBy(*keys, "b").agg(F.sum("c").alias("bn"))
     before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*keys, "b", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("off"))
@@ -82,7 +91,7 @@ def value_cumulative(df: DataFrame, value_col: str, buckets: int = DEFAULT_BUCKE
 
 
 def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
-                      den: int = 100, buckets: int = DEFAULT_BUCKETS,
+                      den: int = 100, buckets: int | None = None,
                       weight_col: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """``PERCENTILE_CONT(pn/den) WITHIN GROUP (ORDER BY value_col)`` for each point.
 
@@ -134,7 +143,7 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
     return stats.select(*keys).join(g, cond, "left").drop(*[f"__g_{k}" for k in keys])
 
 
-def rank_desc(df: DataFrame, value_col: str, out: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def rank_desc(df: DataFrame, value_col: str, out: str, buckets: int | None = None) -> DataFrame:
     """Add ``RANK() OVER (ORDER BY value_col DESC)`` to every row of ``df``.
 
     rank = 1 + (rows with a larger value) + (rows with NULL; they sort first
@@ -167,7 +176,7 @@ def rank_desc_of(subset: DataFrame, population: DataFrame, key: str, value_col:
 
 
 def top_rank_sums(df: DataFrame, value_col: str, limits: dict[str, tuple[str, int, int]],
-                  buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                  buckets: int | None = None) -> DataFrame:
     """Sum of ``value_col`` over rows whose descending rank passes a limit.
 
     ``limits`` maps an output name to ``(mode, a, b)``:
