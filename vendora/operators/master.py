@@ -10,13 +10,14 @@ from vendora.sources.catalog import Tables
 def master_orders(t: Tables, orders=None, ids=None):
     """The denormalised order frame (seven left joins from orders).
 
-    ``ids`` (optional) restricts every satellite to those order ids first,
-    through a semi join. Payments are filtered to sequence 1 before the join.
+    ``ids`` (optional, a small frame of order ids - broadcast it) restricts
+    every satellite to those order ids first, through a semi join. Payments
+    are filtered to sequence 1 before the join.
     """
     o = t.orders if orders is None else orders
 
     def only(df):
-        return df if ids is None else df.join(F.broadcast(ids), "order_id", "left_semi")
+        return df if ids is None else df.join(ids, "order_id", "left_semi")
 
     items = only(t.items).select("order_id", "product_id", "seller_id", "price", "freight_value")
     pays = only(t.payments).where(F.col("payment_sequential") == 1).select(
