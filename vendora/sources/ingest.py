@@ -91,8 +91,8 @@ def write_bucketed_tables(tables: dict[str, DataFrame], root: str, buckets: int,
     one bucket of the largest table is a few hundred MB.
     """
     spark = next(iter(tables.values())).sparkSession
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     root = root.rstrip("/")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}/_{database}.db'")
     for name, df in tables.items():
         df = df.select(*TABLES[name].fieldNames())
         key = BUCKET_KEYS.get(name)
