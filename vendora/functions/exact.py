@@ -50,12 +50,3 @@ def round_div(num, den, scale: int = 2) -> Column:
 def pct(part, whole, scale: int = 2) -> Column:
     """``round(part * 100.0 / NULLIF(whole, 0), scale)`` for integral inputs."""
     return round_div(big(part) * 100, whole, scale)
-
-
-def money(amount) -> Column:
-    """An exact decimal amount as DOUBLE (the nearest double of the decimal)."""
-    return lit_or_col(amount).cast("double")
-
-
-def cents_to_double(c) -> Column:
-    return round_div(c, 100, 2)

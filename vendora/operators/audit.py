@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vendora.functions.exact import BIG, pct, round_div
+from vendora.functions.exact import BIG, pct
 
 
 def row_count_report(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -131,4 +131,4 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, left_amount: Column,
 
 
 __all__ = ["row_count_report", "audit_nulls", "audit_unique", "duplicate_count",
-           "audit_foreign_key", "audit_rules", "coverage", "reconcile", "round_div"]
+           "audit_foreign_key", "audit_rules", "coverage", "reconcile"]

@@ -117,10 +117,6 @@ def MONTH(ts: str) -> str:
     return f"CAST(date_trunc('month', {ts}) AS TIMESTAMP)"
 
 
-def MONEY(x: str) -> str:
-    return f"CAST(({x}) AS DOUBLE)"
-
-
 def pct_x_sql(col: str, pn: int, src: str) -> str:
     """Oracle twin of ``exact_percentiles``: PERCENTILE_CONT(pn/100) of an
     integral column, times 100, in the plain rank form (exact integers)."""
