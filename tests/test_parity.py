@@ -52,3 +52,17 @@ def test_report_matches_oracle(spark, duck, key):
     assert sorted(got.columns) == sorted(want.columns)
     assert len(got) == len(want)
     assert _digest(got) == _digest(want)
+
+
+@pytest.mark.parametrize("key", ["customer_interorder_gap", "revenue_order_value_percentiles",
+                                 "customer_rfm_summary", "seller_pareto", "delivery_time_distribution"])
+def test_sliced_and_multi_bucket_paths_match_oracle(spark, duck, monkeypatch, key):
+    """Force the scale paths on small data: a person's orders split over
+    slices of 2 timestamps, value distributions over buckets of 50 rows."""
+    import vendora.operators.customer as cu
+    import vendora.operators.ranking as rk
+    monkeypatch.setattr(cu, "GAP_TASK_ROWS", 2)
+    monkeypatch.setattr(rk, "BUCKET_ROWS", 50)
+    got = se.queries()[key](spark, SMOKE).toPandas()
+    want = duck.execute(se.oracle_sql()[key]).df()
+    assert _digest(got) == _digest(want)

@@ -17,7 +17,7 @@ GAP_TASK_ROWS = 1_000_000
 
 
 def interarrival_gaps(df: DataFrame, entity: str, ts: str,
-                      task_rows: int = GAP_TASK_ROWS) -> DataFrame:
+                      task_rows: int | None = None) -> DataFrame:
     """Gaps between consecutive events of each entity (``LAG`` over ts).
 
     Output rows ``(entity, gap_us, w)``: ``w`` rows of the literal
@@ -33,6 +33,7 @@ def interarrival_gaps(df: DataFrame, entity: str, ts: str,
     border come from a second window over the slice summaries (one row per
     slice).
     """
+    task_rows = task_rows or GAP_TASK_ROWS
     rows = df.where(F.col(entity).isNotNull())
     ev = (rows.where(F.col(ts).isNotNull())
           .groupBy(entity, ts).agg(F.count(F.lit(1)).alias("__m")))
