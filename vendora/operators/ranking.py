@@ -12,7 +12,8 @@ here without ever sending the data through one task:
    BUCKET_ROWS)`` of them, at most ``MAX_BUCKETS`` (min, max and the row count
    come from a one-row aggregate, broadcast) - and bucket totals (one row per
    bucket, so a bounded table) give each bucket its offset;
-3. a window *partitioned by bucket* gives the running count inside a bucket.
+3. a window *partitioned by bucket* gives the running count inside a bucket
+   (for percentiles only in the few buckets that hold a wanted rank).
 
 So the bucket count grows with the data and a bucket holds about
 ``BUCKET_ROWS`` values when they are spread evenly. Values must be integral
@@ -34,6 +35,17 @@ BUCKET_ROWS = 1_000_000      # rows one running-count window task should see
 MAX_BUCKETS = 1 << 20        # bounds the offsets table (broadcast when ungrouped)
 
 
+def _join_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """``left_semi`` join on ``keys`` with NULL-safe equality."""
+    right = F.broadcast(right) if small else right
+    r = right.select(*[F.col(k).alias(f"__s_{k}") for k in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"__s_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, "left_semi")
+
+
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     """Join on ``keys`` treating NULL as a value (a NULL group is a group, as in
     GROUP BY). ``small`` marks a right side bounded by construction (broadcast);
@@ -50,18 +62,9 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool
     return left.join(r, cond).drop(*[f"__r_{k}" for k in keys])
 
 
-def value_cumulative(df: DataFrame, value_col: str, buckets: int | None = None,
-                     weight_col: str | None = None, keys: Sequence[str] = ()):
-    """Cumulative distribution of an integral column, per group of ``keys``.
-
-    Returns ``(cum, stats)``. ``cum`` has one row per group and distinct
-    non-NULL value: ``v`` (long), ``c`` (rows holding v), ``le`` (rows of the
-    group with value <= v). ``stats`` has one row per group: ``n`` (non-NULL
-    rows), ``nulls``, ``lo``, ``hi``, ``w`` (bucket width). With
-    ``weight_col`` each input row stands for that many rows. ``buckets`` fixes
-    the bucket count per group (default: sized from the group's rows).
-    """
-    keys = list(keys)
+def _bucketed(df: DataFrame, value_col: str, buckets: int | None, weight_col: str | None,
+              keys: list[str]):
+    """Distinct values with multiplicity, their bucket, bucket offsets, stats."""
     wt = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     vals = df.select(*keys, F.col(value_col).cast("long").alias("v"), wt.alias("__wt"))
     vc = vals.where(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.sum("__wt").alias("c"))
@@ -82,10 +85,31 @@ def value_cumulative(df: DataFrame, value_col: str, buckets: int | None = None,
     # Offsets: at most MAX_BUCKETS rows per group, so this window is bounded.
     per_bucket = vb.groupBy(*keys, "b").agg(F.sum("c").alias("bn"))
     before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*keys, "b", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("off"))
-    running = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = (_join_on(vb.withColumn("in_b", F.sum("c").over(running)), offsets, [*keys, "b"],
-                    small=not keys)
+    offsets = per_bucket.select(*keys, "b", "bn",
+                                F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("off"))
+    return vb, offsets, stats
+
+
+def _running(vb: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with value <= v inside v's bucket (window partitioned by bucket)."""
+    w = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    return vb.withColumn("in_b", F.sum("c").over(w))
+
+
+def value_cumulative(df: DataFrame, value_col: str, buckets: int | None = None,
+                     weight_col: str | None = None, keys: Sequence[str] = ()):
+    """Cumulative distribution of an integral column, per group of ``keys``.
+
+    Returns ``(cum, stats)``. ``cum`` has one row per group and distinct
+    non-NULL value: ``v`` (long), ``c`` (rows holding v), ``le`` (rows of the
+    group with value <= v). ``stats`` has one row per group: ``n`` (non-NULL
+    rows), ``nulls``, ``lo``, ``hi``, ``w`` (bucket width). With
+    ``weight_col`` each input row stands for that many rows. ``buckets`` fixes
+    the bucket count per group (default: sized from the group's rows).
+    """
+    keys = list(keys)
+    vb, offsets, stats = _bucketed(df, value_col, buckets, weight_col, keys)
+    cum = (_join_on(_running(vb, keys), offsets.select(*keys, "b", "off"), [*keys, "b"], small=not keys)
            .select(*keys, "v", "c", (F.col("off") + F.col("in_b")).alias("le")))
     return cum, stats
 
@@ -100,9 +124,13 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
     ``den`` (a decimal(38,0)), NULL when the group has no non-NULL value.
     Interpolation is linear between ranks floor((n-1)p) and ceil((n-1)p), as
     SQL defines it; it is done in integers, so there is no double rounding.
+
+    Only the buckets that hold a wanted rank (at most two per point) are
+    sorted: bucket totals locate the ranks, a broadcast semi join keeps those
+    buckets, and the running count runs over them alone.
     """
     keys = list(keys)
-    cum, stats = value_cumulative(df, value_col, buckets, weight_col, keys)
+    vb, offsets, stats = _bucketed(df, value_col, buckets, weight_col, keys)
     pts = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(int(v)).cast("long").alias("pn"))
                     for k, v in points.items()])
     pos = (F.col("n") - 1) * F.col("pn")
@@ -114,16 +142,22 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
         F.struct(F.lit("lo").alias("kind"), F.col("r_lo").alias("r")),
         F.struct(F.lit("hi").alias("kind"), F.col("r_hi").alias("r")))).alias("e")
     ).select(*keys, "name", "rem", "e.kind", "e.r")
-    # Rank r (0-based) falls on value v when le - c <= r < le.
-    in_range = (F.col("r") >= F.col("le") - F.col("c")) & (F.col("r") < F.col("le"))
+    # The bucket of each wanted rank: off <= r < off + bn (<= 2 * points rows per group).
+    in_bucket = (F.col("r") >= F.col("off")) & (F.col("r") < F.col("off") + F.col("bn"))
     if keys:
-        e = ends.select(*[F.col(k).alias(f"__e_{k}") for k in keys], "name", "rem", "kind", "r")
-        cond = in_range
+        o = offsets.select(*[F.col(k).alias(f"__o_{k}") for k in keys], "b", "bn", "off")
+        cond = in_bucket
         for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"__e_{k}"))
-        hit = cum.join(e, cond).drop(*[f"__e_{k}" for k in keys])
-    else:  # <= 2 * len(points) rows, broadcast
-        hit = cum.join(F.broadcast(ends), in_range)
+            cond = cond & F.col(k).eqNullSafe(F.col(f"__o_{k}"))
+        tb = ends.join(o, cond).drop(*[f"__o_{k}" for k in keys])
+    else:
+        tb = ends.join(F.broadcast(offsets), in_bucket)
+    tb = tb.select(*keys, "name", "rem", "kind", "b", (F.col("r") - F.col("off")).alias("local"))
+    wanted = tb.select(*keys, "b").distinct()
+    cand = _running(_join_semi(vb, wanted, [*keys, "b"], small=not keys), keys)
+    # Local rank falls on value v when in_b - c <= local < in_b.
+    hit = _join_on(cand, tb, [*keys, "b"], small=not keys).where(
+        (F.col("local") >= F.col("in_b") - F.col("c")) & (F.col("local") < F.col("in_b")))
     aggs = []
     for name in points:
         is_name = F.col("name") == name
