@@ -123,3 +123,21 @@ def test_bucket_count_follows_the_rows(spark, monkeypatch):
     assert stats.first()["w"] == (1390 - 0) // 20 + 1
     got = rk.exact_percentiles(df, "v", {"p": 37}).first()["p"]
     assert int(got) == _pct_x100(vals, 37)
+
+
+def test_distinct_counts_match_count_distinct(spark):
+    from vendora.operators.shares import distinct_counts
+    rows = [("a", 1, "x", 5), ("a", 1, "y", 1), ("a", 2, None, 2), ("b", None, "x", 3),
+            (None, 3, "z", 4), (None, 3, "z", None)]
+    df = spark.createDataFrame(rows, "g string, p long, q string, v long")
+    got = {r["g"]: (r["np"], r["nq"], r["s"]) for r in
+           distinct_counts(df, ["g"], {"np": "p", "nq": "q"}, {"s": "v"}).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        sel = [r for r in rows if r[0] == g]
+        vs = [r[3] for r in sel if r[3] is not None]
+        want[g] = (len({r[1] for r in sel if r[1] is not None}), len({r[2] for r in sel if r[2] is not None}),
+                   sum(vs) if vs else None)
+    assert got == want
+    one = distinct_counts(df, [], {"np": "p", "nq": "q"}).first()
+    assert (one["np"], one["nq"]) == (3, 3)

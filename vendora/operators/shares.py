@@ -67,3 +67,34 @@ def segment_2x2(df: DataFrame, x: str, y: str, out: str, labels: dict[tuple[bool
     label = (F.when(xh & yh, labels[(True, True)]).when(xh & yl, labels[(True, False)])
              .when(xl & yh, labels[(False, True)]).otherwise(labels[(False, False)]))
     return df.crossJoin(F.broadcast(m)).withColumn(out, label).drop("__sx", "__nx", "__sy", "__ny")
+
+
+def distinct_counts(df: DataFrame, keys: Sequence[str], distinct: dict[str, str],
+                    sums: dict[str, str] | None = None) -> DataFrame:
+    """Several ``COUNT(DISTINCT col)`` (and plain sums) per group, no ``Expand``.
+
+    Spark plans more than one distinct aggregate by copying every row once per
+    distinct column (``Expand``) before the shuffle. Here each distinct count
+    is its own fold - ``groupBy(keys, col)`` collapses duplicates on the map
+    side, then a count per group - and the group-grain results are joined on
+    the keys (NULL-safe; NULL is a group, and NULL values are not counted).
+    Output: ``keys``, one column per ``distinct`` and ``sums`` entry.
+    """
+    keys = list(keys)
+    parts = []
+    for out, col in distinct.items():
+        parts.append(df.select(*keys, col).distinct().groupBy(*keys).agg(F.count(col).alias(out)))
+    if sums:
+        parts.append(df.groupBy(*keys).agg(*[F.sum(c).alias(o) for o, c in sums.items()]))
+    res = parts[0]
+    for p in parts[1:]:
+        if not keys:
+            res = res.crossJoin(p)
+            continue
+        r = p.select(*[F.col(k).alias(f"__d_{k}") for k in keys], *[c for c in p.columns if c not in keys])
+        cond = None
+        for k in keys:
+            c = F.col(k).eqNullSafe(F.col(f"__d_{k}"))
+            cond = c if cond is None else cond & c
+        res = res.join(r, cond).drop(*[f"__d_{k}" for k in keys])
+    return res
