@@ -72,7 +72,8 @@ def _bucketed(df: DataFrame, value_col: str, buckets: int | None, weight_col: st
     stats = (vals.groupBy(*keys).agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"),
         F.coalesce(F.sum(F.when(~is_null, F.col("__wt"))), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(F.when(is_null, F.col("__wt"))), F.lit(0)).alias("nulls"))
+        F.coalesce(F.sum(F.when(is_null, F.col("__wt"))), F.lit(0)).alias("nulls"),
+        F.sum(F.col("v").cast(BIG) * F.col("__wt")).alias("total"))
         .withColumn("__nb", F.lit(buckets).cast("long") if buckets else
                     F.least(F.lit(MAX_BUCKETS).cast("long"),
                             F.greatest(F.lit(1).cast("long"), idiv(F.col("n") + (BUCKET_ROWS - 1), BUCKET_ROWS))))
@@ -116,7 +117,8 @@ def value_cumulative(df: DataFrame, value_col: str, buckets: int | None = None,
 
 def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
                       den: int = 100, buckets: int | None = None,
-                      weight_col: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+                      weight_col: str | None = None, keys: Sequence[str] = (),
+                      with_stats: bool = False) -> DataFrame:
     """``PERCENTILE_CONT(pn/den) WITHIN GROUP (ORDER BY value_col)`` for each point.
 
     One row per group of ``keys`` (one row in all when there are none, even
@@ -128,6 +130,10 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
     Only the buckets that hold a wanted rank (at most two per point) are
     sorted: bucket totals locate the ranks, a broadcast semi join keeps those
     buckets, and the running count runs over them alone.
+
+    ``with_stats`` adds the group's ``n`` (non-NULL rows), ``nulls``, ``lo``
+    (min), ``hi`` (max) and ``total`` (exact sum, decimal(38,0)) from the same
+    pass, so a report needing mean/min/max too reads its input once.
     """
     keys = list(keys)
     vb, offsets, stats = _bucketed(df, value_col, buckets, weight_col, keys)
@@ -165,8 +171,10 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
         hi = F.max(F.when(is_name & (F.col("kind") == "hi"), F.col("v")))
         rem = F.max(F.when(is_name, F.col("rem")))
         aggs.append((lo.cast(BIG) * den + (hi - lo).cast(BIG) * rem).cast(BIG).alias(name))
+    extra = ["n", "nulls", "lo", "hi", "total"] if with_stats else []
     if not keys:
-        return hit.agg(*aggs)
+        out = hit.agg(*aggs)
+        return out.crossJoin(F.broadcast(stats.select(*extra))) if extra else out
     # Groups whose values are all NULL still get a row (with NULL percentiles).
     got = hit.groupBy(*keys).agg(*aggs)
     g = got.select(*[F.col(k).alias(f"__g_{k}") for k in keys], *points)
@@ -174,7 +182,7 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"__g_{k}"))
         cond = c if cond is None else cond & c
-    return stats.select(*keys).join(g, cond, "left").drop(*[f"__g_{k}" for k in keys])
+    return stats.select(*keys, *extra).join(g, cond, "left").drop(*[f"__g_{k}" for k in keys])
 
 
 def rank_desc(df: DataFrame, value_col: str, out: str, buckets: int | None = None) -> DataFrame:
