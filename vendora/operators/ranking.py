@@ -156,8 +156,8 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
         for k in keys:
             cond = cond & F.col(k).eqNullSafe(F.col(f"__o_{k}"))
         tb = ends.join(o, cond).drop(*[f"__o_{k}" for k in keys])
-    else:
-        tb = ends.join(F.broadcast(offsets), in_bucket)
+    else:  # stream the offsets (<= MAX_BUCKETS rows), broadcast the <= 2 * points ranks
+        tb = offsets.join(F.broadcast(ends), in_bucket)
     tb = tb.select(*keys, "name", "rem", "kind", "b", (F.col("r") - F.col("off")).alias("local"))
     wanted = tb.select(*keys, "b").distinct()
     cand = _running(_join_semi(vb, wanted, [*keys, "b"], small=not keys), keys)
