@@ -54,3 +54,15 @@ def test_csv_ingest_and_parquet_round_trip(spark, tmp_path):
     back = from_parquet(spark, root)
     assert back.orders.count() == 1
     assert [(f.name, f.dataType) for f in back.orders.schema] == [(f.name, f.dataType) for f in t.orders.schema]
+
+
+def test_cli_writes_tables_and_reports(spark, tmp_path):
+    from vendora import cli
+    tables, out = str(tmp_path / "tables"), str(tmp_path / "reports")
+    assert cli.main(["--testdata", "/root/testdata/sf0.001", "--write-tables", tables,
+                     "--out", out, "--reports", "revenue_monthly_trend,delivery_headline"]) == 0
+    back = spark.read.parquet(f"{out}/revenue_monthly_trend")
+    assert back.count() > 0 and "rolling_3m_avg" in back.columns
+    assert spark.read.parquet(f"{out}/delivery_headline").count() == 1
+    assert cli.main(["--parquet", tables, "--out", out + "2", "--reports", "validate_row_counts"]) == 0
+    assert spark.read.parquet(f"{out}2/validate_row_counts").count() == 9
