@@ -131,3 +131,13 @@ def pct_x_sql(col: str, pn: int, src: str) -> str:
 
 def pct_sql(col: str, pn: int, src: str, scale: int, unit: int = 100) -> str:
     return RD(pct_x_sql(col, pn, src), str(100 * unit), scale)
+
+
+def body_of(sql: str) -> str:
+    """The report SQL without the adapter CTEs: runs on any database that has
+    the nine tables (the marketplace orders table named ``orders_m``)."""
+    head = "WITH" + ADAPTER_CTES
+    if not sql.startswith(head):
+        return sql
+    rest = sql[len(head):].lstrip()
+    return "WITH " + rest[1:].lstrip() if rest.startswith(",") else rest
