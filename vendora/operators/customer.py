@@ -17,7 +17,7 @@ GAP_TASK_ROWS = 1_000_000
 
 
 def interarrival_gaps(df: DataFrame, entity: str, ts: str,
-                      task_rows: int | None = None) -> DataFrame:
+                      task_rows: int | None = None, with_entities: bool = False):
     """Gaps between consecutive events of each entity (``LAG`` over ts).
 
     Output rows ``(entity, gap_us, w)``: ``w`` rows of the literal
@@ -32,6 +32,9 @@ def interarrival_gaps(df: DataFrame, entity: str, ts: str,
     for a very hot entity (for evenly spread times); gaps that cross a slice
     border come from a second window over the slice summaries (one row per
     slice).
+
+    With ``with_entities`` the result is ``(gaps, entities)``; ``entities``
+    has one row per entity: ``n_ts`` (non-NULL timestamps), ``n_null``.
     """
     task_rows = task_rows or GAP_TASK_ROWS
     rows = df.where(F.col(entity).isNotNull())
@@ -42,6 +45,7 @@ def interarrival_gaps(df: DataFrame, entity: str, ts: str,
     per = rows.groupBy(entity).agg(
         F.min(ts).alias("__t0"), F.max(ts).alias("__t1"), F.count(ts).alias("__k"),
         F.count_if(F.col(ts).isNull()).alias("__z"))
+    entities = per
     null_tail = per.where((F.col("__z") > 0) & (F.col("__k") > 0)).select(
         entity, F.lit(None).cast(BIG).alias("gap_us"), F.lit(1).cast("long").alias("w"))
     per = (per.where(F.col("__k") > 0)
@@ -65,7 +69,10 @@ def interarrival_gaps(df: DataFrame, entity: str, ts: str,
     # Repeated timestamps: m copies give m - 1 zero gaps.
     zeros = ev.where(F.col("__m") > 1).select(
         entity, F.lit(0).cast(BIG).alias("gap_us"), (F.col("__m") - 1).cast("long").alias("w"))
-    return in_slice.unionByName(border).unionByName(zeros).unionByName(null_tail)
+    gaps = in_slice.unionByName(border).unionByName(zeros).unionByName(null_tail)
+    if with_entities:
+        return gaps, entities.select(entity, F.col("__k").alias("n_ts"), F.col("__z").alias("n_null"))
+    return gaps
 
 
 def person_orders(customers: DataFrame, orders: DataFrame, status: str | None = "delivered",
