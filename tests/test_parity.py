@@ -66,3 +66,20 @@ def test_sliced_and_multi_bucket_paths_match_oracle(spark, duck, monkeypatch, ke
     got = se.queries()[key](spark, SMOKE).toPandas()
     want = duck.execute(se.oracle_sql()[key]).df()
     assert _digest(got) == _digest(want)
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_session_time_zone_does_not_change_results(spark, duck, zone):
+    """Zone-less timestamps throughout: a DST zone and a half-hour offset zone
+    give the oracle's results for the timestamp-heavy reports."""
+    keys = ["explore_date_range", "revenue_monthly_trend", "revenue_by_weekday", "customer_rfm",
+            "customer_interorder_gap", "delivery_time_distribution", "delivery_late_severity"]
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        for key in keys:
+            got = se.queries()[key](spark, SMOKE).toPandas()
+            want = duck.execute(se.oracle_sql()[key]).df()
+            assert _digest(got) == _digest(want), key
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
