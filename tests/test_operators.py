@@ -99,14 +99,16 @@ def test_interarrival_gaps_match_lag(spark, task_rows):
     assert got == want
 
 
-def test_grouped_percentiles_match_per_group_brute_force(spark):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_grouped_percentiles_match_per_group_brute_force(spark, bounded):
     rnd = random.Random(5)
     rows = [(g, rnd.randint(0, 300) if rnd.random() > 0.05 else None)
             for g in ["a"] * 120 + ["b"] * 40 + [None] * 30 + ["only_null"] * 0 for _ in [0]]
     rows += [("z", None), ("z", None)]
     df = spark.createDataFrame(rows, "g string, v long")
     got = {r["g"]: (r["m"], r["p9"]) for r in
-           exact_percentiles(df, "v", {"m": 50, "p9": 90}, keys=["g"], buckets=3).collect()}
+           exact_percentiles(df, "v", {"m": 50, "p9": 90}, keys=["g"], buckets=3,
+                             bounded_keys=bounded).collect()}
     want = {}
     for g in {r[0] for r in rows}:
         s = sorted(v for k, v in rows if k == g and v is not None)

@@ -63,7 +63,7 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool
 
 
 def _bucketed(df: DataFrame, value_col: str, buckets: int | None, weight_col: str | None,
-              keys: list[str]):
+              keys: list[str], small: bool):
     """Distinct values with multiplicity, their bucket, bucket offsets, stats."""
     wt = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     vals = df.select(*keys, F.col(value_col).cast("long").alias("v"), wt.alias("__wt"))
@@ -81,7 +81,7 @@ def _bucketed(df: DataFrame, value_col: str, buckets: int | None, weight_col: st
         .drop("__nb"))
     # Without keys `stats` is one row (broadcast); with keys its size follows
     # the groups, so the join is left to AQE's measured broadcast decision.
-    vb = (_join_on(vc, stats.select(*keys, "lo", "w"), keys, small=not keys)
+    vb = (_join_on(vc, stats.select(*keys, "lo", "w"), keys, small=small)
           .withColumn("b", idiv(F.col("v") - F.col("lo"), F.col("w"))).drop("lo", "w"))
     # Offsets: at most MAX_BUCKETS rows per group, so this window is bounded.
     per_bucket = vb.groupBy(*keys, "b").agg(F.sum("c").alias("bn"))
@@ -98,7 +98,8 @@ def _running(vb: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def value_cumulative(df: DataFrame, value_col: str, buckets: int | None = None,
-                     weight_col: str | None = None, keys: Sequence[str] = ()):
+                     weight_col: str | None = None, keys: Sequence[str] = (),
+                     bounded_keys: bool = False):
     """Cumulative distribution of an integral column, per group of ``keys``.
 
     Returns ``(cum, stats)``. ``cum`` has one row per group and distinct
@@ -107,10 +108,13 @@ def value_cumulative(df: DataFrame, value_col: str, buckets: int | None = None,
     rows), ``nulls``, ``lo``, ``hi``, ``w`` (bucket width). With
     ``weight_col`` each input row stands for that many rows. ``buckets`` fixes
     the bucket count per group (default: sized from the group's rows).
+    ``bounded_keys`` declares that the groups are few (e.g. a stack of a known
+    number of columns), so per-group frames may be broadcast.
     """
     keys = list(keys)
-    vb, offsets, stats = _bucketed(df, value_col, buckets, weight_col, keys)
-    cum = (_join_on(_running(vb, keys), offsets.select(*keys, "b", "off"), [*keys, "b"], small=not keys)
+    small = not keys or bounded_keys
+    vb, offsets, stats = _bucketed(df, value_col, buckets, weight_col, keys, small)
+    cum = (_join_on(_running(vb, keys), offsets.select(*keys, "b", "off"), [*keys, "b"], small=small)
            .select(*keys, "v", "c", (F.col("off") + F.col("in_b")).alias("le")))
     return cum, stats
 
@@ -118,7 +122,7 @@ def value_cumulative(df: DataFrame, value_col: str, buckets: int | None = None,
 def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
                       den: int = 100, buckets: int | None = None,
                       weight_col: str | None = None, keys: Sequence[str] = (),
-                      with_stats: bool = False) -> DataFrame:
+                      with_stats: bool = False, bounded_keys: bool = False) -> DataFrame:
     """``PERCENTILE_CONT(pn/den) WITHIN GROUP (ORDER BY value_col)`` for each point.
 
     One row per group of ``keys`` (one row in all when there are none, even
@@ -134,9 +138,11 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
     ``with_stats`` adds the group's ``n`` (non-NULL rows), ``nulls``, ``lo``
     (min), ``hi`` (max) and ``total`` (exact sum, decimal(38,0)) from the same
     pass, so a report needing mean/min/max too reads its input once.
+    ``bounded_keys`` declares few groups (per-group frames are then broadcast).
     """
     keys = list(keys)
-    vb, offsets, stats = _bucketed(df, value_col, buckets, weight_col, keys)
+    small = not keys or bounded_keys
+    vb, offsets, stats = _bucketed(df, value_col, buckets, weight_col, keys, small)
     pts = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(int(v)).cast("long").alias("pn"))
                     for k, v in points.items()])
     pos = (F.col("n") - 1) * F.col("pn")
@@ -155,14 +161,15 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
         cond = in_bucket
         for k in keys:
             cond = cond & F.col(k).eqNullSafe(F.col(f"__o_{k}"))
-        tb = ends.join(o, cond).drop(*[f"__o_{k}" for k in keys])
+        tb = (o.join(F.broadcast(ends), cond) if small else ends.join(o, cond)).drop(
+            *[f"__o_{k}" for k in keys])
     else:  # stream the offsets (<= MAX_BUCKETS rows), broadcast the <= 2 * points ranks
         tb = offsets.join(F.broadcast(ends), in_bucket)
     tb = tb.select(*keys, "name", "rem", "kind", "b", (F.col("r") - F.col("off")).alias("local"))
     wanted = tb.select(*keys, "b").distinct()
-    cand = _running(_join_semi(vb, wanted, [*keys, "b"], small=not keys), keys)
+    cand = _running(_join_semi(vb, wanted, [*keys, "b"], small=small), keys)
     # Local rank falls on value v when in_b - c <= local < in_b.
-    hit = _join_on(cand, tb, [*keys, "b"], small=not keys).where(
+    hit = _join_on(cand, tb, [*keys, "b"], small=small).where(
         (F.col("local") >= F.col("in_b") - F.col("c")) & (F.col("local") < F.col("in_b")))
     aggs = []
     for name in points:
