@@ -17,6 +17,12 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Target ~256 MB per task: AQE coalesces small shuffle partitions up to
+    # this size and splits skewed join partitions down to it; file scans split
+    # at the same size. Set spark.sql.shuffle.partitions to about
+    # (largest shuffle in bytes / 256 MB) on a cluster and let AQE coalesce.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Plans are built from many small Column expressions; recording a Python
