@@ -66,3 +66,17 @@ def test_cli_writes_tables_and_reports(spark, tmp_path):
     assert spark.read.parquet(f"{out}/delivery_headline").count() == 1
     assert cli.main(["--parquet", tables, "--out", out + "2", "--reports", "validate_row_counts"]) == 0
     assert spark.read.parquet(f"{out}2/validate_row_counts").count() == 9
+
+
+def test_read_source_folder_with_file_mapping(spark, tmp_path):
+    from vendora.sources.schemas import TABLES
+    for name, schema in TABLES.items():
+        header = ",".join(schema.fieldNames())
+        fname = "my_orders.csv" if name == "orders" else f"{name}.csv"
+        body = "O1,C1,delivered,2018-01-01 10:00:00,,,,\n" if name == "orders" else ""
+        (tmp_path / fname).write_text(header + "\n" + body)
+    tables = ingest.read_source_folder(spark, str(tmp_path), files={"orders": "my_orders.csv"})
+    assert set(tables) == set(TABLES)
+    o = tables["orders"].collect()
+    assert len(o) == 1 and o[0]["order_status"] == "delivered" and o[0]["order_approved_at"] is None
+    assert tables["order_items"].count() == 0
