@@ -143,3 +143,19 @@ def test_distinct_counts_match_count_distinct(spark):
     assert got == want
     one = distinct_counts(df, [], {"np": "p", "nq": "q"}).first()
     assert (one["np"], one["nq"]) == (3, 3)
+
+
+def test_several_subset_ranks_in_one_pass(spark):
+    from vendora.operators.ranking import ranks_desc_of
+    rows = [("a", 10, 5), ("b", 10, None), ("c", 7, 9), ("d", 3, 9), ("e", None, 1)]
+    df = spark.createDataFrame(rows, "k string, x long, y long")
+    got = {r["k"]: (r["rx"], r["ry"]) for r in
+           ranks_desc_of(df.where("k in ('a', 'c', 'e')"), df, "k", {"rx": "x", "ry": "y"}).collect()}
+
+    def rank(col, v):
+        vals = [r[col] for r in rows]
+        if v is None:
+            return 1
+        return 1 + sum(1 for w in vals if w is None or w > v)
+    want = {k: (rank(1, x), rank(2, y)) for k, x, y in rows if k in ("a", "c", "e")}
+    assert got == want

@@ -208,20 +208,34 @@ def rank_desc(df: DataFrame, value_col: str, out: str, buckets: int | None = Non
 
 def rank_desc_of(subset: DataFrame, population: DataFrame, key: str, value_col: str,
                  out: str) -> DataFrame:
-    """Global descending rank for a few rows (``subset``, e.g. a top-k list).
+    """Global descending rank of ``value_col`` for a few rows (``subset``)."""
+    return ranks_desc_of(subset, population, key, {out: value_col})
 
-    rank = 1 + number of population rows with a strictly larger value. The
-    subset is broadcast (its size is the k of a top-k report), so this costs
-    one pass over the population and no sort of it.
+
+def ranks_desc_of(subset: DataFrame, population: DataFrame, key: str,
+                  ranks: dict[str, str]) -> DataFrame:
+    """Global descending ranks (``RANK() OVER (ORDER BY col DESC)``) for a few
+    rows, e.g. a top-k list; ``ranks`` maps an output name to a value column.
+
+    rank = 1 + population rows with a strictly larger value (NULL counts as
+    larger, as it sorts first descending). The subset is broadcast (its size
+    is the k of a top-k report) and all ranks come from one pass over the
+    population, with no sort of it.
     """
-    sub = subset.select(F.col(key).alias("__k"), F.col(value_col).alias("__sv"))
-    ahead = (population.select(F.col(value_col).alias("__pv"))
-             .join(F.broadcast(sub), (F.col("__pv") > F.col("__sv")) | (
-                 F.col("__pv").isNull() & F.col("__sv").isNotNull()))
-             .groupBy("__k").agg(F.count(F.lit(1)).alias("__ahead")))
-    return (subset.join(F.broadcast(ahead), subset[key] == ahead["__k"], "left")
-            .withColumn(out, (F.coalesce(F.col("__ahead"), F.lit(0)) + 1).cast("int"))
-            .drop("__k", "__ahead"))
+    cols = list(ranks.values())
+    sub = subset.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__s{i}") for i, c in enumerate(cols)])
+    pop = population.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(cols)])
+    ahead = [(F.col(f"__p{i}") > F.col(f"__s{i}")) |
+             (F.col(f"__p{i}").isNull() & F.col(f"__s{i}").isNotNull()) for i in range(len(cols))]
+    any_ahead = ahead[0]
+    for cond in ahead[1:]:
+        any_ahead = any_ahead | cond
+    counts = (pop.join(F.broadcast(sub), any_ahead)
+              .groupBy("__k").agg(*[F.count_if(cond).alias(f"__a{i}") for i, cond in enumerate(ahead)]))
+    out = subset.join(F.broadcast(counts), subset[key] == counts["__k"], "left")
+    for i, name in enumerate(ranks):
+        out = out.withColumn(name, (F.coalesce(F.col(f"__a{i}"), F.lit(0)) + 1).cast("int"))
+    return out.drop("__k", *[f"__a{i}" for i in range(len(cols))])
 
 
 def top_rank_sums(df: DataFrame, value_col: str, limits: dict[str, tuple[str, int, int]],
