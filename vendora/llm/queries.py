@@ -6,10 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vendora.llm import decontaminate
+from vendora.llm import decontaminate, urlfilter
 from vendora.llm.common import table
-from vendora.llm.sql import ORACLE_OP1
+from vendora.llm.sql import ORACLE_OP1, ORACLE_OP10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,3 +28,18 @@ def query(sql: str | None = None):
 @query(ORACLE_OP1)
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The rules of the URL filter query.
+URL_RULES = [urlfilter.Rule("block", "net", "/"), urlfilter.Rule("allow", "example.net", "/en/"),
+             urlfilter.Rule("block", "example.com", "/de/"), urlfilter.Rule("allow", "org", "/fr/")]
+
+
+@query(ORACLE_OP10)
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are the labels whose id is the page's: bad if of low quality or toxic."""
+    outcomes = (table(spark, sf_dir, "labels")
+                .where("quality is not null or toxic is not null")
+                .select(F.col("doc_id").alias("page_id"),
+                        F.coalesce(F.expr("quality <=> 0 or toxic <=> 1"), F.lit(False)).alias("bad")))
+    return urlfilter.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)

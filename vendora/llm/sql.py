@@ -30,3 +30,32 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
 
 
 ORACLE_OP1 = op1_sql()
+
+ORACLE_OP10 = f"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(verdict, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+                                        ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+r AS (SELECT host, path, arg_max(rhost || rpath, len(rhost || rpath)) AS rule, arg_max(verdict, len(rhost || rpath)) AS ruled
+      FROM (SELECT DISTINCT host, path FROM p) JOIN rules
+        ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path),
+o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
+      WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
+h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS y,
+              string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS parts
+       FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+h AS (SELECT host, n, y, array_to_string(parts[-2:], '.') AS domain, parts[-1] AS suffix FROM h0),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(y) AS y FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(y) AS y, (SELECT (sum(y) + 0.5::DOUBLE) / (sum(n) + 1) FROM h) AS m FROM d GROUP BY suffix),
+ks AS (SELECT 1 / least(greatest(sum(n * pow(y / n - m, 2) - m * (1 - m)) / sum(m * (1 - m) * (n - 1)), 0.001), 0.999) - 1 AS k FROM s WHERE n > 0),
+sm AS (SELECT suffix, (y + k * m) / (n + k) AS m FROM s, ks),
+dm0 AS (SELECT domain, suffix, n, y, m FROM d JOIN sm USING (suffix)),
+kd AS (SELECT 1 / least(greatest(sum(n * pow(y / n - m, 2) - m * (1 - m)) / sum(m * (1 - m) * (n - 1)), 0.001), 0.999) - 1 AS k FROM dm0 WHERE n > 0),
+dm AS (SELECT domain, suffix, (y + k * m) / (n + k) AS m FROM dm0, kd),
+hm AS (SELECT host, n, y, m FROM h JOIN dm USING (domain, suffix)),
+kh AS (SELECT 1 / least(greatest(sum(n * pow(y / n - m, 2) - m * (1 - m)) / sum(m * (1 - m) * (n - 1)), 0.001), 0.999) - 1 AS k FROM hm WHERE n > 0),
+post AS (SELECT host, n + k AS w, (y + k * m) / (n + k) AS mean FROM hm, kh),
+bad AS (SELECT host FROM post WHERE mean - 1.645 * sqrt(mean * (1 - mean) / (w + 1)) > 0.3)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN r USING (host, path)"""
