@@ -59,3 +59,48 @@ post AS (SELECT host, n + k AS w, (y + k * m) / (n + k) AS mean FROM hm, kh),
 bad AS (SELECT host FROM post WHERE mean - 1.645 * sqrt(mean * (1 - mean) / (w + 1)) > 0.3)
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN r USING (host, path)"""
+
+ORACLE_OP4 = """
+WITH RECURSIVE s AS (SELECT source, CAST(sum(length(coalesce(text, ''))) AS DOUBLE) AS size FROM documents GROUP BY source),
+t AS (SELECT sum(size) AS total, sum(pow(size, 0.5::DOUBLE)) FILTER (WHERE size > 0) AS wall FROM s),
+r AS (SELECT source, CASE WHEN size > 0 THEN pow(size, 0.5::DOUBLE) / wall * total * 1.0::DOUBLE / size ELSE 1.0::DOUBLE END AS rate FROM s, t),
+m AS (SELECT source, CAST(greatest(ceil(rate / 16), 1) AS INTEGER) AS draws,
+             rate / CAST(greatest(ceil(rate / 16), 1) AS INTEGER) AS mean FROM r),
+cdf AS (SELECT source, draws, mean, 0 AS k, exp(-mean) AS p, exp(-mean) AS c FROM m
+        UNION ALL SELECT source, draws, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < 79),
+table_of AS (SELECT source, draws, list(c) AS cdf FROM cdf GROUP BY source, draws),
+n AS (SELECT d.*, list_sum(list_transform(range(1, draws + 1), lambda j: len(list_filter(cdf, lambda c:
+               c <= CAST(CAST('0x' || substr(md5('17:n:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || j), 1, 13) AS BIGINT) AS DOUBLE)
+                    / 4503599627370496.0::DOUBLE)))) AS n
+      FROM documents d JOIN table_of USING (source)),
+x AS (SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(CAST(n AS BIGINT))) AS INTEGER) AS copy FROM n)
+SELECT *, substr(md5('17:s:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || copy), 1, 16) AS shuffle_key FROM x"""
+
+# The control strings of the chat template, the longest first.
+CONTROLS = ["<</TURN>>", "<<TEXT>>", "<<TURN>>", "<</SYS>>", "<<SYS>>", "[/INST]", "[INST]", "</s>", "<s>"]
+
+
+def _escaped(column: str) -> str:
+    sql = f"replace({column}, chr(92), chr(92) || chr(92))"
+    for c in CONTROLS:
+        sql = f"replace({sql}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return sql
+
+
+ORACLE_OP5 = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r0, text AS t0 FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]'
+           UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, row_number() OVER w AS k, lag(role, 1, 'start') OVER w AS was, lead(role) OVER w AS next_role FROM c
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST)),
+f AS (SELECT *, length({_escaped('text')}) + CASE role WHEN 'system' THEN 19 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7
+                  ELSE 25 + length({_escaped('role')}) END AS chars,
+             (was, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')) AS fine
+      FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars, bool_and(fine) AND arg_max(role, k) = 'assistant' AS valid,
+       coalesce(min_by('turn ' || (k - 1) || ': ' || role || ' after ' || was, k) FILTER (WHERE NOT fine),
+                CASE WHEN arg_max(role, k) <> 'assistant' THEN 'ends after ' || arg_max(role, k) END) AS fault
+FROM f GROUP BY conv_id"""
