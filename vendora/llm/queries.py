@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendora.llm import chat, decontaminate, mixing, quality, simhash, urlfilter
+from vendora.llm import chat, decontaminate, linededup, mixing, quality, simhash, urlfilter
 from vendora.llm.common import table
-from vendora.llm.sql import ORACLE_OP1, ORACLE_OP4, ORACLE_OP5, ORACLE_OP10
+from vendora.llm.sql import ORACLE_OP1, ORACLE_OP4, ORACLE_OP5, ORACLE_OP8, ORACLE_OP10
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,6 +54,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(turns.unionByName(own)))
 
 
+@query(ORACLE_OP8)
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 # The rules of the URL filter query.
 URL_RULES = [urlfilter.Rule("block", "net", "/"), urlfilter.Rule("allow", "example.net", "/en/"),
              urlfilter.Rule("block", "example.com", "/de/"), urlfilter.Rule("allow", "org", "/fr/")]
