@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendora.llm import chat, decontaminate, linededup, mixing, quality, simhash, urlfilter
+from vendora.llm import chat, decontaminate, linededup, mixing, quality, simhash, sphere, urlfilter
 from vendora.llm.common import table
 from vendora.llm.sql import ORACLE_OP1, ORACLE_OP4, ORACLE_OP5, ORACLE_OP8, ORACLE_OP10
 
@@ -59,6 +59,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sphere.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 # The rules of the URL filter query.
 URL_RULES = [urlfilter.Rule("block", "net", "/"), urlfilter.Rule("allow", "example.net", "/en/"),
              urlfilter.Rule("block", "example.com", "/de/"), urlfilter.Rule("allow", "org", "/fr/")]
