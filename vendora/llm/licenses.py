@@ -168,23 +168,29 @@ def _literals(expr: str) -> frozenset[str]:
     return frozenset(w for w in words if len(w) >= 5) or frozenset(w for w in words if len(w) == 4)
 
 
+# A notice's opening; what follows is matched in place by each open notice rule.
+LEAD = re.compile(r"(?:licen[sc]ed|released|distributed|available|published|provided)[\s,-]+under[\s,-]+(?:the[\s,-]+|an?[\s,-]+)?"
+                  r"(?:terms[\s,-]+of[\s,-]+)?(?:the[\s,-]+)?")
+END = r"(?![a-z0-9])"
+ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")  # what may not stand before a match
+
+
 @lru_cache(maxsize=1)
 def rules() -> list[Rule]:
-    """All rules, highest priority first."""
-    flags = re.IGNORECASE | re.ASCII
+    """All rules, highest priority first; patterns are for lower-cased text."""
     out = []
     for label, spdx, name, address in LICENSES:
-        lead = r"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of )?(?:the )?"
-        out.append(Rule(label, "tag", 100, 1.0, frozenset({"spdx-license"}),
-                        re.compile(rf"SPDX-License-Identifier:[ \t]*(?:\(?[A-Za-z0-9.+-]+ (?:AND|OR|WITH) )*\(?(?P<id>{spdx})(?![A-Za-z0-9.+-]*[A-Za-z0-9])", flags)))
+        out.append(Rule(label, "tag", 100, 1.0, frozenset({"spdx-license"}), re.compile(
+            rf"spdx-license-identifier:[ \t]*(?:\(?[a-z0-9.+-]+ (?:and|or|with) )*\(?(?P<id>{spdx.lower()})(?![a-z0-9.+-]*[a-z0-9])")))
         if address:
-            out.append(Rule(label, "address", 90, 0.95, frozenset({re.match(r"(?:[a-z0-9-]|\\\.)+", address)[0].replace("\\", "")}), re.compile(r"(?<![A-Za-z0-9])" + address, flags)))
+            domain = re.match(r"(?:[a-z0-9-]|\\\.)+", address)[0].replace("\\", "")
+            out.append(Rule(label, "address", 90, 0.95, frozenset({domain}), re.compile(address)))
         out.append(Rule(label, "notice", 80, 0.9, _literals(name) | {"under"},
-                        re.compile(r"(?<![A-Za-z0-9])" + _spaced(lead + name) + r"(?![A-Za-z0-9])(?:[\s,]+(?:public[\s]+)?licen[sc]e\b)?", flags)))
+                        re.compile(_spaced(name) + END + r"(?:[\s,]+(?:public[\s]+)?licen[sc]e\b)?")))
         out.append(Rule(label, "name", 60, 0.7, _literals(name) | {"licen"},
-                        re.compile(r"(?<![A-Za-z0-9])" + _spaced(name) + (r"(?![A-Za-z0-9])" if "licen" in name else r"[\s,-]+licen[sc]e(?![A-Za-z0-9])"), flags)))
+                        re.compile(_spaced(name) + (END if "licen" in name else r"[\s,-]+licen[sc]e" + END))))
     for label, text in SENTENCES:
-        out.append(Rule(label, "sentence", 70, 0.8, _literals(text), re.compile(r"(?<![A-Za-z0-9])" + _spaced(text), flags)))
+        out.append(Rule(label, "sentence", 70, 0.8, _literals(text), re.compile(_spaced(text))))
     return sorted(out, key=lambda r: -r.priority)
 
 
@@ -251,14 +257,20 @@ def detections(text: str | None) -> list[tuple[int, int, Rule]]:
         starts[:] = [s for s, _ in spans]
         ends[:] = np.maximum.accumulate([e for _, e in spans]).tolist() if spans else []
 
+    leads = [m.span() for m in LEAD.finditer(low)] if "under" in there else []
     priority = None
     for rule in rules():
         if rule.priority != priority:
             settle()
             priority = rule.priority
-        if rule.gate <= there:
-            part = "id" if rule.kind == "tag" else 0  # of a tag with several licenses, each its own
-            level += [(*m.span(part), rule) for m in rule.pattern.finditer(text)]
+        if not rule.gate <= there:
+            continue
+        if rule.kind == "notice":
+            level += [(s, m.end(), rule) for s, e in leads if (m := rule.pattern.match(low, e))]
+            continue
+        part = "id" if rule.kind == "tag" else 0  # of a tag with several licenses, each its own
+        level += [(*m.span(part), rule) for m in rule.pattern.finditer(low)
+                  if m.start() == 0 or low[m.start() - 1] not in ALNUM]
     settle()
     return sorted(stays, key=lambda d: (d[0], d[1]))
 
