@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendora.llm import chat, decontaminate, licenses, linededup, mixing, quality, simhash, sphere, urlfilter
+from vendora.llm import chat, decontaminate, licenses, linededup, mixing, quality, secretscan, simhash, sphere, urlfilter
 from vendora.llm.common import table
 from vendora.llm.sql import ORACLE_OP1, ORACLE_OP4, ORACLE_OP5, ORACLE_OP8, ORACLE_OP10
 
@@ -69,6 +69,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
 # The rules of the URL filter query.
 URL_RULES = [urlfilter.Rule("block", "net", "/"), urlfilter.Rule("allow", "example.net", "/en/"),
              urlfilter.Rule("block", "example.com", "/de/"), urlfilter.Rule("allow", "org", "/fr/")]
