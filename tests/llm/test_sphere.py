@@ -1,0 +1,89 @@
+import numpy as np
+
+from tests.llm.helpers import union_all
+from vendora.llm import sphere as sp
+
+VECS = "vec_id long, embedding array<float>, label int"
+
+
+def usable(v):
+    return bool(v) and all(x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v)
+
+
+def brute(data, cosine=0.95):
+    n = len(data)
+    ok = [i is not None and usable(v) for i, v in data]
+    unit = [np.array(v, np.float32).astype(float) / np.linalg.norm(np.array(v, np.float32).astype(float)) if k else None for (_, v), k in zip(data, ok)]
+    pairs = [(i, j) for i in range(n) for j in range(i) if ok[i] and ok[j] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= cosine]
+    roots = union_all(n, pairs)
+    out = []
+    for k, (i, _) in enumerate(data):
+        links = sum(k in p for p in pairs)
+        comp = min(d for (d, _), r, good in zip(data, roots, ok) if r == roots[k] and good) if ok[k] else i
+        out.append((i, links, comp, i is not None and i == comp))
+    return out
+
+
+def run(spark, data):
+    df = spark.createDataFrame([(i, v, 0) for i, v in data], VECS).selectExpr("*", "1 as id", "2 as v", "3 as filter")
+    return [(r.vec_id, r.n_links, r.component_id, r.kept) for r in sp.near_duplicates(df).collect()]
+
+
+def key(r):
+    return [(x is not None, x if x is not None else 0) for x in r]
+
+
+def test_clusters_copies_and_odd_vectors(spark):
+    rng = np.random.default_rng(4)
+    data = []
+    for c in range(12):
+        centre = rng.standard_normal(64)
+        data += [(len(data) + k, (centre + 0.05 * rng.standard_normal(64)).tolist()) for k in range(5)]
+    data += [(100 + k, rng.standard_normal(64).tolist()) for k in range(60)]
+    data += [(200, data[0][1]), (201, data[0][1]), (0, data[0][1]), (202, (-np.array(data[0][1])).tolist()), (203, (1e20 * np.array(data[0][1])).tolist()),
+             (300, None), (301, []), (302, [0.0] * 64), (303, [float("nan")] * 64), (304, [float("inf")] + [1.0] * 63), (305, [None] + [1.0] * 63),
+             (None, data[0][1]), (400, [1.0]), (401, [2.0]), (402, [-1.0]), (403, [1.0, 0.0]), (404, [1.0, 0.1]), (405, [0.0, 1.0])]
+    assert sorted(run(spark, data), key=key) == sorted(brute(data), key=key)
+
+
+def test_recall_at_the_bound(spark):
+    """Pairs at exactly the bound (a hair over it): at least 0.9 are linked."""
+    rng = np.random.default_rng(9)
+    data = []
+    for k in range(300):
+        x = rng.standard_normal(64)
+        x /= np.linalg.norm(x)
+        z = rng.standard_normal(64)
+        z -= (z @ x) * x
+        z /= np.linalg.norm(z)
+        data += [(2 * k, x.tolist()), (2 * k + 1, (0.9502 * x + np.sqrt(1 - 0.9502**2) * z).tolist())]
+    got = {i: n for i, n, *_ in run(spark, data)}
+    want = {i: n for i, n, *_ in brute(data)}
+    assert all(got[i] <= want[i] for i in got)
+    assert sum(got.values()) >= 0.9 * sum(want.values()) > 500
+
+
+def test_large_filters_are_compared_in_cells(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centre = rng.standard_normal(16)
+    data = [(k, (centre + 0.02 * rng.standard_normal(16)).tolist()) for k in range(120)]
+    monkeypatch.setattr(sp, "CELL", 16)
+    assert sorted(run(spark, data), key=key) == sorted(brute(data), key=key)
+
+
+def test_empty(spark):
+    assert run(spark, []) == []
+
+
+def test_decode_lists_every_filter():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((7, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code = sp.Code(32, 4096, 0)
+    front, rear = code.sums(x)
+    full = (front[:, :, None] + rear[:, None, :]).reshape(7, -1)
+    row, number = code.decode(front, rear, 0.3)
+    assert set(zip(row.tolist(), number.tolist())) == {tuple(p) for p in np.argwhere(full >= 0.3).tolist()}
+    words = [np.concatenate([code.words[k][i // 8 ** (3 - k) % 8] for k in range(4)]) for i in range(4096)] if len(code.words) == 4 else None
+    if words is not None:
+        assert np.allclose(x @ code.rotation @ np.array(words).T, full)

@@ -48,7 +48,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
         given = F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,double>)")
         sized = sizes.withColumn("w", F.coalesce(F.when(F.col("source").isNotNull(), given[F.col("source")]), F.lit(0.0)))
     total = sized.agg(F.sum("size").alias("all"), F.sum(F.when(F.col("size") > 0, F.col("w"))).alias("wall"))
-    rate = F.when(F.col("size") > 0, F.col("w") / F.col("wall") * F.col("all") * epochs / F.col("size")).otherwise(F.lit(1.0))
+    rate = F.when(F.col("size") > 0, F.col("w") / F.nullif(F.col("wall"), F.lit(0.0)) * F.col("all") * epochs / F.col("size")).otherwise(F.lit(1.0))
     return sized.crossJoin(F.broadcast(total)).select("source", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
