@@ -72,8 +72,8 @@ def test_rank_of_subset_and_top_sums(spark):
     assert int(s["f30"]) == 370 and s["n_rows"] == 10     # rank <= 3: the three tied 90s are in
 
 
-@pytest.mark.parametrize("task_rows", [1, 2, 1000])
-def test_interarrival_gaps_match_lag(spark, task_rows):
+@pytest.mark.parametrize("cells", [1, 5, 60, None])
+def test_interarrival_gaps_match_lag(spark, cells):
     rnd = random.Random(11)
     rows = []
     for person in ["hot"] * 60 + [f"p{i}" for i in range(30)]:
@@ -84,7 +84,7 @@ def test_interarrival_gaps_match_lag(spark, task_rows):
     schema = T.StructType([T.StructField("p", T.StringType()), T.StructField("ts", T.TimestampNTZType())])
     df = spark.createDataFrame(rows, schema)
     got = Counter()
-    for r in interarrival_gaps(df, "p", "ts", task_rows=task_rows).collect():
+    for r in interarrival_gaps(df, "p", "ts", cells=cells).collect():
         got[(r["p"], None if r["gap_us"] is None else int(r["gap_us"]))] += r["w"]
     want = Counter()
     by = {}
@@ -116,15 +116,54 @@ def test_grouped_percentiles_match_per_group_brute_force(spark, bounded):
     assert {k: tuple(None if x is None else int(x) for x in v) for k, v in got.items()} == want
 
 
-def test_bucket_count_follows_the_rows(spark, monkeypatch):
+def test_buckets_follow_the_values_whatever_their_spread(spark):
     import vendora.operators.ranking as rk
-    monkeypatch.setattr(rk, "BUCKET_ROWS", 7)          # 140 values -> 20 buckets
-    vals = list(range(0, 1400, 10))
+    vals = [*range(20_000), 10**15]                     # one outlier, far away
     df = spark.createDataFrame([(v,) for v in vals], "v long")
-    _, stats = rk.value_cumulative(df, "v")
-    assert stats.first()["w"] == (1390 - 0) // 20 + 1
-    got = rk.exact_percentiles(df, "v", {"p": 37}).first()["p"]
-    assert int(got) == _pct_x100(vals, 37)
+    vb, offsets, _ = rk._bucketed(df, "v", 40, None, [], True)
+    sizes = [r["n"] for r in vb.groupBy("b").count().withColumnRenamed("count", "n").collect()]
+    assert len(sizes) == 40 and max(sizes) <= 2 * len(vals) / 40
+    assert {(r["b"], r["bn"]) for r in offsets.collect()} == {(r["b"], r["n"]) for r in vb.groupBy("b").count().withColumnRenamed("count", "n").collect()}
+    for count in (1, 7, None):
+        got = rk.exact_percentiles(df, "v", {"p": 37, "m": 50, "z": 100}, buckets=count).first()
+        assert [int(got[k]) for k in "pmz"] == [_pct_x100(vals, p) for p in (37, 50, 100)]
+
+
+def test_decimals_are_exact_and_floats_refused(spark):
+    from decimal import Decimal
+    import vendora.operators.ranking as rk
+    df = spark.createDataFrame([(Decimal(x),) for x in ("1.90", "2.90", "3.90")], "v decimal(10,2)")
+    got = rk.exact_percentiles(df, "v", {"m": 50, "q": 25}, with_stats=True).first()
+    assert (got["m"], got["q"], got["lo"], got["total"]) == (Decimal("290"), Decimal("240"), Decimal("1.90"), Decimal("8.70"))
+    ranks = {str(r["v"]): r["rk"] for r in rk.rank_desc(df, "v", "rk").collect()}
+    assert ranks == {"1.90": 3, "2.90": 2, "3.90": 1}
+    with pytest.raises(TypeError):
+        rk.exact_percentiles(df.selectExpr("cast(v as double) as v"), "v", {"m": 50})
+
+
+def test_share_within_keys_and_bucket_table(spark):
+    from vendora.operators.shares import bucket_table, share_of_total
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 3), ("b", "x", 5)], "g string, k string, n long")
+    assert {(r["g"], r["k"]): r["s"] for r in share_of_total(df, "n", "s", keys=["g"]).collect()} == {
+        ("a", "x"): 25.0, ("a", "y"): 75.0, ("b", "x"): 100.0}
+    n = F.col("n")
+    got = [tuple(r) for r in bucket_table(df, [(n < 2, "small"), (n < 4, "mid")], "big", n, "b", "rows", "pct", {"total": "n"}).collect()]
+    assert got == [("small", 1, 1, 33.33), ("mid", 1, 3, 33.33), ("big", 1, 5, 33.33)]
+
+
+def test_gap_cells_follow_a_burst_and_a_late_event(spark):
+    import datetime as dt
+    import re as _re
+    base = dt.datetime(2017, 1, 1)
+    rows = [("hot", base + dt.timedelta(seconds=i)) for i in range(6000)] + [("hot", base + dt.timedelta(days=3000)), ("cold", base)]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("p", T.StringType()), T.StructField("ts", T.TimestampNTZType())]))
+    gaps = interarrival_gaps(df, "p", "ts", cells=30)
+    got = Counter()
+    for r in gaps.collect():
+        got[int(r["gap_us"])] += r["w"]
+    assert got == {1_000_000: 5999, (3000 * 86400 - 5999) * 1_000_000: 1}
+    plan = gaps._jdf.queryExecution().executedPlan().toString()
+    assert _re.search(r"Exchange hashpartitioning\(__cell", plan)
 
 
 def test_distinct_counts_match_count_distinct(spark):

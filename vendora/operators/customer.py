@@ -10,14 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendora.functions.calendar import elapsed_us, month_start
-from vendora.functions.exact import BIG, cents, idiv
-
-# Distinct timestamps one window task may sort for a single person.
-GAP_TASK_ROWS = 1_000_000
-
+from vendora.functions.exact import BIG, cents
+from vendora.operators.ranking import BUCKETS, cell_of, chosen_by_hash, cut_levels, spaced_cuts
 
 def interarrival_gaps(df: DataFrame, entity: str, ts: str,
-                      task_rows: int | None = None, with_entities: bool = False):
+                      cells: int | None = None, with_entities: bool = False):
     """Gaps between consecutive events of each entity (``LAG`` over ts).
 
     Output rows ``(entity, gap_us, w)``: ``w`` rows of the literal
@@ -26,52 +23,52 @@ def interarrival_gaps(df: DataFrame, entity: str, ts: str,
     timestamps sort last (PostgreSQL), so an entity with both NULL and
     non-NULL timestamps has one gap row whose value is NULL.
 
-    Events first collapse to distinct ``(entity, ts)`` with multiplicity. Each
-    entity's time range is then cut into ``ceil(timestamps / task_rows)``
-    equal slices, so one window task sees about ``task_rows`` timestamps even
-    for a very hot entity (for evenly spread times); gaps that cross a slice
-    border come from a second window over the slice summaries (one row per
-    slice).
+    Events first collapse to distinct ``(entity, ts)`` with multiplicity. Their
+    order by (entity, ts) is cut into ``cells`` runs of about equally many rows
+    (cuts from a sample by hash, as in ``ranking``): a hot entity, a burst or a
+    far-off date spans as many cells as its rows need, and small entities share
+    one. The lag runs within a cell, whose number is what the shuffle deals by;
+    gaps across borders come from the first and last row of each cell.
 
     With ``with_entities`` the result is ``(gaps, entities)``; ``entities``
     has one row per entity: ``n_ts`` (non-NULL timestamps), ``n_null``.
     """
-    task_rows = task_rows or GAP_TASK_ROWS
-    rows = df.where(F.col(entity).isNotNull())
-    ev = (rows.where(F.col(ts).isNotNull())
-          .groupBy(entity, ts).agg(F.count(F.lit(1)).alias("__m")))
-    # One pass per entity: time range, timestamp count (bounds the distinct
-    # count, so it sizes the slices) and NULL timestamps.
-    per = rows.groupBy(entity).agg(
-        F.min(ts).alias("__t0"), F.max(ts).alias("__t1"), F.count(ts).alias("__k"),
-        F.count_if(F.col(ts).isNull()).alias("__z"))
-    entities = per
-    null_tail = per.where((F.col("__z") > 0) & (F.col("__k") > 0)).select(
-        entity, F.lit(None).cast(BIG).alias("gap_us"), F.lit(1).cast("long").alias("w"))
-    per = (per.where(F.col("__k") > 0)
-           .withColumn("__slices", idiv(F.col("__k") + (task_rows - 1), task_rows)))
-    span = elapsed_us(F.col("__t0"), F.col("__t1")) + 1
-    ev = (ev.join(per.select(entity, "__t0", "__t1", "__slices"), entity)
-          .withColumn("__s", idiv(elapsed_us(F.col("__t0"), F.col(ts)) * F.col("__slices"), span))
-          .select(entity, ts, "__m", "__s"))
-    w_in = Window.partitionBy(entity, "__s").orderBy(ts)
-    local = ev.withColumn("__prev", F.lag(ts).over(w_in))
-    # One gap per distinct timestamp that has a predecessor inside its slice.
-    in_slice = local.where(F.col("__prev").isNotNull()).select(
-        entity, elapsed_us(F.col("__prev"), F.col(ts)).alias("gap_us"), F.lit(1).cast("long").alias("w"))
-    # Gaps across slice borders: last ts of the previous non-empty slice -> first ts of this one.
-    summary = ev.groupBy(entity, "__s").agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"))
-    w_s = Window.partitionBy(entity).orderBy("__s")
-    border = (summary.withColumn("__prev_last", F.lag("__last").over(w_s))
-              .where(F.col("__prev_last").isNotNull())
-              .select(entity, elapsed_us(F.col("__prev_last"), F.col("__first")).alias("gap_us"),
-                      F.lit(1).cast("long").alias("w")))
+    count = cells or BUCKETS
+    key = F.struct(F.col(entity).alias("e"), F.col(ts).isNull().alias("z"), F.col(ts).alias("t"))
+    folded = df.where(F.col(entity).isNotNull()).groupBy(entity, ts).agg(F.count(F.lit(1)).alias("__m"))
+    size = folded.agg(F.count(F.when(F.col("__m") > 0, F.lit(1))).alias("__rows"))
+    chosen = chosen_by_hash(F.col("__rows"), count, F.col(entity), F.col(ts)) & (F.col("__m") > 0)
+    cuts = (folded.crossJoin(F.broadcast(size))
+            .agg(F.array_sort(F.collect_list(F.when(chosen, key))).alias("__s"))
+            .select(spaced_cuts(F.col("__s"), count).alias("__s"))
+            .select(*[c.alias(f"__c{i}") for i, c in enumerate(cut_levels(F.col("__s")))]))
+    levels = [F.col(f"__c{i}") for i in range(3)]
+    ev = (folded.crossJoin(F.broadcast(cuts)).withColumn("__cell", cell_of(key, levels))
+          .select(entity, ts, "__m", "__cell"))
+    order = [F.col(entity), F.col(ts).asc_nulls_last()]
+    w = Window.partitionBy("__cell").orderBy(*order)
+    seen = ev.withColumns({"__pe": F.lag(entity).over(w), "__pt": F.lag(ts).over(w), "__ne": F.lead(entity).over(w)})
+
+    def gap(rows: DataFrame) -> DataFrame:
+        """One gap per row whose predecessor is of the same entity."""
+        return rows.where(F.col("__pe") == F.col(entity)).select(
+            entity, elapsed_us(F.col("__pt"), F.col(ts)).cast(BIG).alias("gap_us"),
+            F.least(F.col("__m"), F.lit(1)).cast("long").alias("w"))  # reads the count: all branches share one fold
+    # Ends of cells, at most two each: the predecessor of a first row is the last one before.
+    ends = seen.where(F.col("__pe").isNull() | F.col("__ne").isNull())
+    across = Window.orderBy("__cell", *order)
+    ends = (ends.withColumn("__first", F.col("__pe").isNull())
+            .withColumns({"__pe": F.lag(entity).over(across), "__pt": F.lag(ts).over(across)}).where("__first"))
     # Repeated timestamps: m copies give m - 1 zero gaps.
-    zeros = ev.where(F.col("__m") > 1).select(
+    zeros = ev.where((F.col("__m") > 1) & F.col(ts).isNotNull()).select(
         entity, F.lit(0).cast(BIG).alias("gap_us"), (F.col("__m") - 1).cast("long").alias("w"))
-    gaps = in_slice.unionByName(border).unionByName(zeros).unionByName(null_tail)
+    gaps = gap(seen).unionByName(gap(ends)).unionByName(zeros)
     if with_entities:
-        return gaps, entities.select(entity, F.col("__k").alias("n_ts"), F.col("__z").alias("n_null"))
+        known = F.when(F.col(ts).isNotNull(), F.col("__m"))
+        entities = folded.groupBy(entity).agg(
+            F.coalesce(F.sum(known), F.lit(0)).alias("n_ts"),
+            F.coalesce(F.sum(F.when(F.col(ts).isNull(), F.col("__m"))), F.lit(0)).alias("n_null"))
+        return gaps, entities
     return gaps
 
 

@@ -8,31 +8,33 @@ here without ever sending the data through one task:
 
 1. ``groupBy(v).count()`` - duplicates collapse map-side, so a value held by a
    third of all rows is one row after the partial aggregate;
-2. the value range is cut into equal-width buckets - ``ceil(rows /
-   BUCKET_ROWS)`` of them, at most ``MAX_BUCKETS`` (min, max and the row count
-   come from a one-row aggregate, broadcast) - and bucket totals (one row per
-   bucket, so a bounded table) give each bucket its offset;
+2. the distinct values are cut into ``BUCKETS`` ranges that hold about equally
+   many of them, wherever they lie: the cuts are taken from a sample of the
+   distinct values chosen by their hash, so an outlier or a dense spot moves the
+   cuts and not the load, and every branch of a plan and every retry finds the
+   same cuts. Bucket totals (one row per bucket) give each bucket its offset;
 3. a window *partitioned by bucket* gives the running count inside a bucket
    (for percentiles only in the few buckets that hold a wanted rank).
 
-So the bucket count grows with the data and a bucket holds about
-``BUCKET_ROWS`` values when they are spread evenly. Values must be integral
-(cents, microseconds, days, counts), which also bounds the distinct values of
-a bucket by its width. Every step is lazy: no action runs while the plan is
-built.
+The distinct values with their counts are the only thing read: minimum, maximum,
+row count and total come from them too, so the input is read once. Values must
+be integers or decimals (scaled exactly); floats are refused. Every step is
+lazy: no action runs while the plan is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vendora.functions.exact import BIG, idiv
 
-BUCKET_ROWS = 1_000_000      # rows one running-count window task should see
-MAX_BUCKETS = 1 << 20        # bounds the offsets table (broadcast when ungrouped)
+BUCKETS = 4096   # value ranges; AQE merges those that are small
+OVERSAMPLE = 16  # sampled values per cut: ranges differ by a quarter or so in size
+FAN = 16         # cuts are looked up in steps of at most FAN comparisons
 
 
 def _join_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
@@ -62,28 +64,83 @@ def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool
     return left.join(r, cond).drop(*[f"__r_{k}" for k in keys])
 
 
+def _scale(df: DataFrame, value_col: str) -> int:
+    """Decimal places of the value column; floats have no exact order statistics."""
+    kind = df.select(value_col).schema[0].dataType
+    if isinstance(kind, T.DecimalType):
+        return kind.scale
+    if isinstance(kind, T.IntegralType):
+        return 0
+    raise TypeError(f"{value_col}: integers or decimals are needed, not {kind.simpleString()}")
+
+
+def _unscaled(c: Column, scale: int) -> Column:
+    return (c / F.lit(10 ** scale).cast(BIG)).cast(f"decimal(38,{scale})") if scale else c
+
+
+def chosen_by_hash(distinct: Column, count: int, *values: Column) -> Column:
+    """Whether a distinct value belongs to the sample that cuts are taken from:
+    about ``count * OVERSAMPLE`` of ``distinct`` values, by their hash alone."""
+    share = F.lit(float(count * OVERSAMPLE)) / F.greatest(distinct, F.lit(1))
+    return F.pmod(F.xxhash64(*values, F.lit("cut")), F.lit(1 << 53)).cast("double") / float(1 << 53) < share
+
+
+def spaced_cuts(sample: Column, count: int) -> Column:
+    """Up to ``count - 1`` evenly spaced values of a sorted sample."""
+    at = F.transform(F.sequence(F.lit(1), F.lit(max(count - 1, 1))),
+                     lambda i: F.get(sample, F.floor(i * F.size(sample) / float(count)).cast("int")))
+    return F.array_distinct(F.filter(at, lambda x: x.isNotNull())) if count > 1 else F.slice(sample, 1, 0)
+
+
+def _every(n: int):
+    return lambda x, i: i % n == 0
+
+
+def cut_levels(cuts: Column) -> list[Column]:
+    """The cuts, every FAN-th and every FAN squared-th of them."""
+    return [cuts, *(F.filter(cuts, _every(n)) for n in (FAN, FAN * FAN))]
+
+
+def cell_of(v: Column, levels: Sequence[Column]) -> Column:
+    """How many cuts are at or below ``v``, from the coarsest level down."""
+    *finer, coarse = levels
+    below = F.size(F.filter(coarse, lambda c: c <= v))
+    for level in reversed(finer):
+        block = F.greatest(below - 1, F.lit(0)) * FAN
+        below = F.when(below == 0, F.lit(0)).otherwise(block + F.size(F.filter(F.slice(level, block + 1, FAN), lambda c: c <= v)))
+    return below.cast("long")
+
+
 def _bucketed(df: DataFrame, value_col: str, buckets: int | None, weight_col: str | None,
               keys: list[str], small: bool):
-    """Distinct values with multiplicity, their bucket, bucket offsets, stats."""
+    """Distinct values with multiplicity and bucket, bucket offsets, stats.
+
+    The NULL value keeps a row of its own with count 0 (a filter here would be
+    pushed below the fold and keep the branches from sharing it)."""
     wt = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
-    vals = df.select(*keys, F.col(value_col).cast("long").alias("v"), wt.alias("__wt"))
-    vc = vals.where(F.col("v").isNotNull()).groupBy(*keys, "v").agg(F.sum("__wt").alias("c"))
-    is_null = F.col("v").isNull()
-    stats = (vals.groupBy(*keys).agg(
+    scale = _scale(df, value_col)
+    v = (F.col(value_col) * F.lit(10 ** scale).cast(BIG) if scale else F.col(value_col)).cast("long")
+    folded = df.select(*keys, v.alias("v"), wt.alias("__wt")).groupBy(*keys, "v").agg(F.sum("__wt").alias("__n"))
+    known = F.col("v").isNotNull()
+    vc = folded.select(*keys, "v", F.when(known, F.col("__n")).otherwise(F.lit(0).cast("long")).alias("c"))
+    stats = folded.groupBy(*keys).agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.coalesce(F.sum(F.when(~is_null, F.col("__wt"))), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(F.when(is_null, F.col("__wt"))), F.lit(0)).alias("nulls"),
-        F.sum(F.col("v").cast(BIG) * F.col("__wt")).alias("total"))
-        .withColumn("__nb", F.lit(buckets).cast("long") if buckets else
-                    F.least(F.lit(MAX_BUCKETS).cast("long"),
-                            F.greatest(F.lit(1).cast("long"), idiv(F.col("n") + (BUCKET_ROWS - 1), BUCKET_ROWS))))
-        .withColumn("w", idiv(F.col("hi") - F.col("lo"), F.col("__nb")) + 1)
-        .drop("__nb"))
-    # Without keys `stats` is one row (broadcast); with keys its size follows
-    # the groups, so the join is left to AQE's measured broadcast decision.
-    vb = (_join_on(vc, stats.select(*keys, "lo", "w"), keys, small=small)
-          .withColumn("b", idiv(F.col("v") - F.col("lo"), F.col("w"))).drop("lo", "w"))
-    # Offsets: at most MAX_BUCKETS rows per group, so this window is bounded.
+        F.count(F.when(F.col("__n").isNotNull(), F.col("v"))).alias("distinct"),
+        F.coalesce(F.sum(F.when(known, F.col("__n"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(~known, F.col("__n"))), F.lit(0)).alias("nulls"),
+        F.sum(F.col("v").cast(BIG) * F.col("__n")).alias("total"))
+    # Cuts: the distinct values whose hash is smallest, in order, evenly spaced.
+    count = buckets or BUCKETS
+    # (Reading the count too keeps this branch on the fold's shared shuffle.)
+    chosen = chosen_by_hash(F.col("distinct"), count, F.col("v")) & F.col("__n").isNotNull()
+    sampled = F.array_sort(F.collect_list(F.when(chosen, F.col("v"))))
+    levels = ["__c0", "__c1", "__c2"]
+    cuts = (_join_on(folded, stats.select(*keys, "distinct"), keys, small=small)
+            .groupBy(*keys).agg(sampled.alias("__s")).withColumn("__s", spaced_cuts(F.col("__s"), count))
+            .select(*keys, *[c.alias(n) for c, n in zip(cut_levels(F.col("__s")), levels)]))
+    vb = (_join_on(vc, cuts, keys, small=small)
+          .withColumn("b", cell_of(F.col("v"), [F.col(n) for n in levels])).drop(*levels))
+    # Offsets: at most BUCKETS rows per group, so this window is bounded.
     per_bucket = vb.groupBy(*keys, "b").agg(F.sum("c").alias("bn"))
     before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*keys, "b", "bn",
@@ -105,9 +162,9 @@ def value_cumulative(df: DataFrame, value_col: str, buckets: int | None = None,
     Returns ``(cum, stats)``. ``cum`` has one row per group and distinct
     non-NULL value: ``v`` (long), ``c`` (rows holding v), ``le`` (rows of the
     group with value <= v). ``stats`` has one row per group: ``n`` (non-NULL
-    rows), ``nulls``, ``lo``, ``hi``, ``w`` (bucket width). With
-    ``weight_col`` each input row stands for that many rows. ``buckets`` fixes
-    the bucket count per group (default: sized from the group's rows).
+    rows), ``nulls``, ``lo``, ``hi``, ``distinct``. With ``weight_col`` each
+    input row stands for that many rows. Decimal values are in units of their
+    last place. ``buckets`` sets the bucket count (default ``BUCKETS``).
     ``bounded_keys`` declares that the groups are few (e.g. a stack of a known
     number of columns), so per-group frames may be broadcast.
     """
@@ -127,7 +184,7 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
 
     One row per group of ``keys`` (one row in all when there are none, even
     for empty input); column ``name`` holds the exact percentile multiplied by
-    ``den`` (a decimal(38,0)), NULL when the group has no non-NULL value.
+    ``den`` (a decimal with the input's scale), NULL when the group has no non-NULL value.
     Interpolation is linear between ranks floor((n-1)p) and ceil((n-1)p), as
     SQL defines it; it is done in integers, so there is no double rounding.
 
@@ -142,6 +199,7 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
     """
     keys = list(keys)
     small = not keys or bounded_keys
+    scale = _scale(df, value_col)
     vb, offsets, stats = _bucketed(df, value_col, buckets, weight_col, keys, small)
     pts = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(int(v)).cast("long").alias("pn"))
                     for k, v in points.items()])
@@ -163,7 +221,7 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
             cond = cond & F.col(k).eqNullSafe(F.col(f"__o_{k}"))
         tb = (o.join(F.broadcast(ends), cond) if small else ends.join(o, cond)).drop(
             *[f"__o_{k}" for k in keys])
-    else:  # stream the offsets (<= MAX_BUCKETS rows), broadcast the <= 2 * points ranks
+    else:  # stream the offsets (<= BUCKETS rows), broadcast the <= 2 * points ranks
         tb = offsets.join(F.broadcast(ends), in_bucket)
     tb = tb.select(*keys, "name", "rem", "kind", "b", (F.col("r") - F.col("off")).alias("local"))
     wanted = tb.select(*keys, "b").distinct()
@@ -177,7 +235,9 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
         lo = F.max(F.when(is_name & (F.col("kind") == "lo"), F.col("v")))
         hi = F.max(F.when(is_name & (F.col("kind") == "hi"), F.col("v")))
         rem = F.max(F.when(is_name, F.col("rem")))
-        aggs.append((lo.cast(BIG) * den + (hi - lo).cast(BIG) * rem).cast(BIG).alias(name))
+        aggs.append(_unscaled((lo.cast(BIG) * den + (hi - lo).cast(BIG) * rem).cast(BIG), scale).alias(name))
+    if scale:
+        stats = stats.withColumns({c: _unscaled(F.col(c).cast(BIG), scale) for c in ("lo", "hi", "total")})
     extra = ["n", "nulls", "lo", "hi", "total"] if with_stats else []
     if not keys:
         out = hit.agg(*aggs)
@@ -198,11 +258,13 @@ def rank_desc(df: DataFrame, value_col: str, out: str, buckets: int | None = Non
     rank = 1 + (rows with a larger value) + (rows with NULL; they sort first
     in a descending order, as in PostgreSQL). Ties share a rank.
     """
+    scale = _scale(df, value_col)
     cum, stats = value_cumulative(df, value_col, buckets)
     ranks = (cum.crossJoin(F.broadcast(stats.select("n", "nulls")))
              .select(F.col("v").alias("__v"),
                      (F.col("n") - F.col("le") + F.col("nulls") + 1).alias(out)))
-    joined = df.join(ranks, F.col(value_col).cast("long") == F.col("__v"), "left").drop("__v")
+    v = (F.col(value_col) * F.lit(10 ** scale).cast(BIG) if scale else F.col(value_col)).cast("long")
+    joined = df.join(ranks, v == F.col("__v"), "left").drop("__v")
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(1)).cast("int"))
 
 
@@ -245,7 +307,7 @@ def top_rank_sums(df: DataFrame, value_col: str, limits: dict[str, tuple[str, in
     ``limits`` maps an output name to ``(mode, a, b)``:
     * ``("rank_le", k, 1)``  - rank <= k (ties at the edge are all kept);
     * ``("frac_le", num, den)`` - rank <= total_rows * num / den.
-    One row out, sums as decimal(38,0) in the value's unit, plus ``n_rows``
+    One row out, sums as decimal(38,0) in units of the value's last place, plus ``n_rows``
     (all rows, NULL values included, as ``COUNT(*) OVER ()``) and ``total``.
     """
     cum, stats = value_cumulative(df, value_col, buckets)
