@@ -13,7 +13,7 @@ from vendora.sources.catalog import from_catalog, from_parquet, from_testdata
 
 # Unpartitioned windows may only order rows whose count is bounded: value
 # buckets of the cumulative distribution (<= 2^20) or calendar months.
-BOUNDED_ORDER_COLS = {"b", "order_month"}
+BOUNDED_ORDER_COLS = {"b", "order_month", "__cell"}
 EXTRA = {"delivery_peak_months": {"total_orders"}}   # RANK() over the month rows
 
 
@@ -70,3 +70,43 @@ def test_results_same_on_every_storage_layout(spark, stored):
     for key in ("revenue_order_value_percentiles", "seller_scorecard", "customer_interorder_gap"):
         rows = [sorted(map(tuple, REGISTRY[key](t).collect())) for t in (lazy, plain, bucketed)]
         assert rows[0] == rows[1] == rows[2]
+
+
+# Reports that read a fact table more than once, and why.
+MORE_SCANS = {
+    "master_preview": {"orders": 3, "order_items": 3},              # ten ids first, then only their rows
+    "seller_top_category_mix": {"orders": 2, "order_items": 2},     # the ranking, then the chosen sellers' lines
+    "customer_rfm": {"orders": 2}, "customer_rfm_summary": {"orders": 2},   # the reference date is over all orders
+    "revenue_high_value_orders": {"orders": 2, "order_items": 2},   # the threshold, then the orders above it
+    "seller_top_volume": {"orders": 2, "order_items": 2},           # the top list, then its ranks
+    "quality_foreign_keys": {"orders": 4, "order_items": 3},        # a child and a parent in several references
+    "quality_keys": {}, "validate_row_counts": {},
+}
+FACTS = ("orders", "order_items", "order_payments", "order_reviews")
+
+
+def final_scans(df, root: str) -> dict[str, int]:
+    """Scans per fact table in the plan that ran (reused exchanges count once)."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    return {f: n for f in FACTS if (n := len(re.findall(rf"FileScan parquet [^\n]*{re.escape(root)}/{f}\b", final)))}
+
+
+def test_facts_are_read_once(spark, stored, tmp_path_factory):
+    """With broadcasts off, each report reads each fact table at most once."""
+    plain, _ = stored
+    root = plain.orders.inputFiles()[0].rsplit("/orders/", 1)[0].split("/plain")[0].replace("file://", "") + "/plain"
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    try:
+        wrong = {}
+        for key in sorted(REGISTRY):
+            allowed = MORE_SCANS.get(key, {})
+            over = {f: n for f, n in final_scans(REGISTRY[key](plain), root).items() if n > allowed.get(f, 1)}
+            if over:
+                wrong[key] = over
+        assert not wrong, wrong
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -4,30 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendora.functions.exact import BIG, pct
 
 
-def share_of_total(df: DataFrame, measure: str, out: str, scale: int = 2) -> DataFrame:
-    """Add ``round(measure * 100 / SUM(measure) OVER (), scale)``.
+def share_of_total(df: DataFrame, measure: str, out: str, scale: int = 2,
+                   keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``round(measure * 100 / SUM(measure) OVER (PARTITION BY keys), scale)``.
 
-    The total is a one-row aggregate joined back by broadcast, instead of an
-    unpartitioned window (which would pull every group into one task). The
-    measure must be integral (counts, cents). ``df`` is normally an aggregate;
-    its exchange is reused for the total.
+    ``df`` is an aggregate with few rows per total (states, categories, buckets,
+    statuses), so the total is a window over those rows: the facts behind them
+    are read once. The measure must be integral (counts, cents).
     """
-    total = df.agg(F.sum(F.col(measure).cast(BIG)).alias("__total"))
-    return (df.crossJoin(F.broadcast(total))
-            .withColumn(out, pct(F.col(measure), F.col("__total"), scale))
-            .drop("__total"))
+    total = F.sum(F.col(measure).cast(BIG)).over(Window.partitionBy(*keys))
+    return df.withColumn(out, pct(F.col(measure), total, scale))
 
 
 def with_totals(df: DataFrame, sums: dict[str, str]) -> DataFrame:
-    """Attach grand totals ``{out: measure}`` (one broadcast row) to every row."""
-    total = df.agg(*[F.sum(F.col(m).cast(BIG)).alias(o) for o, m in sums.items()])
-    return df.crossJoin(F.broadcast(total))
+    """Attach grand totals ``{out: measure}`` to every row of a small aggregate
+    (a window over its rows, as in ``share_of_total``)."""
+    over = Window.partitionBy()
+    return df.withColumns({o: F.sum(F.col(m).cast(BIG)).over(over) for o, m in sums.items()})
 
 
 def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -36,65 +35,63 @@ def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def bucketize(value: Column, rules: Sequence[tuple[Column, str]], otherwise: str) -> Column:
-    """A ``CASE WHEN`` chain as a group key: first matching rule wins; a NULL
-    input fails every comparison and falls through to ``otherwise``."""
+def bucketize(rules: Sequence[tuple[Column, str]], otherwise: str) -> Column:
+    """Ordered rules as a group key: the first that holds wins; a NULL input
+    fails every comparison and falls through to ``otherwise``."""
     expr = None
     for cond, label in rules:
         expr = F.when(cond, label) if expr is None else expr.when(cond, label)
     return expr.otherwise(otherwise) if expr is not None else F.lit(otherwise)
 
 
-def tier(rules: Sequence[tuple[Column, str]], otherwise: str) -> Column:
-    """Ordered tier rules (``F.when`` chain); NULL conditions fall through."""
-    return bucketize(F.lit(None), rules, otherwise)
+tier = bucketize
+
+
+def bucket_table(df: DataFrame, rules: Sequence[tuple[Column, str]], otherwise: str, order: Column,
+                 out: str, count: str, share: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """P14 in table form: per bucket its label, row count, share of all rows and
+    sums, in the order of the smallest ``order`` value of each bucket."""
+    aggs = [F.sum(c).alias(o) for o, c in (sums or {}).items()]
+    g = df.groupBy(bucketize(rules, otherwise).alias(out)).agg(
+        F.count(F.lit(1)).alias(count), *aggs, F.min(order).alias("__order"))
+    return share_of_total(g, count, share).orderBy("__order").drop("__order")
 
 
 def segment_2x2(df: DataFrame, x: str, y: str, out: str, labels: dict[tuple[bool, bool], str]) -> DataFrame:
     """Place each row in a 2x2 grid against the means of integral columns
-    ``x`` and ``y`` over the frame (one broadcast row of sums and counts).
+    ``x`` and ``y`` over the frame, an aggregate of few rows (window totals).
 
     "High" is strictly above the mean, tested exactly as ``v * count > sum``
     (no rounded mean). ``labels[(x_high, y_high)]`` names a cell; a NULL input
     fails both tests and lands in the ``(False, False)`` cell, like the
     reference's ELSE branch."""
-    m = df.agg(F.sum(F.col(x).cast(BIG)).alias("__sx"), F.count(x).alias("__nx"),
-               F.sum(F.col(y).cast(BIG)).alias("__sy"), F.count(y).alias("__ny"))
-    xh = F.col(x).cast(BIG) * F.col("__nx") > F.col("__sx")
-    yh = F.col(y).cast(BIG) * F.col("__ny") > F.col("__sy")
-    xl = F.col(x).cast(BIG) * F.col("__nx") <= F.col("__sx")
-    yl = F.col(y).cast(BIG) * F.col("__ny") <= F.col("__sy")
+    over = Window.partitionBy()
+    df = df.withColumns({"__sx": F.sum(F.col(x).cast(BIG)).over(over), "__nx": F.count(x).over(over),
+                         "__sy": F.sum(F.col(y).cast(BIG)).over(over), "__ny": F.count(y).over(over)})
+    xv, yv = F.col(x).cast(BIG) * F.col("__nx"), F.col(y).cast(BIG) * F.col("__ny")
+    xh, xl, yh, yl = xv > F.col("__sx"), xv <= F.col("__sx"), yv > F.col("__sy"), yv <= F.col("__sy")
     label = (F.when(xh & yh, labels[(True, True)]).when(xh & yl, labels[(True, False)])
              .when(xl & yh, labels[(False, True)]).otherwise(labels[(False, False)]))
-    return df.crossJoin(F.broadcast(m)).withColumn(out, label).drop("__sx", "__nx", "__sy", "__ny")
+    return df.withColumn(out, label).drop("__sx", "__nx", "__sy", "__ny")
 
 
 def distinct_counts(df: DataFrame, keys: Sequence[str], distinct: dict[str, str],
                     sums: dict[str, str] | None = None) -> DataFrame:
-    """Several ``COUNT(DISTINCT col)`` (and plain sums) per group, no ``Expand``.
-
-    Spark plans more than one distinct aggregate by copying every row once per
-    distinct column (``Expand``) before the shuffle. Here each distinct count
-    is its own fold - ``groupBy(keys, col)`` collapses duplicates on the map
-    side, then a count per group - and the group-grain results are joined on
-    the keys (NULL-safe; NULL is a group, and NULL values are not counted).
-    Output: ``keys``, one column per ``distinct`` and ``sums`` entry.
+    """Several ``COUNT(DISTINCT col)`` (and plain sums) per group in one pass.
+
+    Every row yields one ``(column number, value)`` per distinct column; the fold
+    on ``(keys, number, value)`` removes duplicates on the map side, and counting
+    folded rows per group gives all counts. Sums ride along with the first
+    column. ``df`` should be folded as far as it can be; it is read once.
+    Output: ``keys``, one column per ``distinct`` and ``sums`` entry; NULL is a
+    group, NULL values are not counted.
     """
-    keys = list(keys)
-    parts = []
-    for out, col in distinct.items():
-        parts.append(df.select(*keys, col).distinct().groupBy(*keys).agg(F.count(col).alias(out)))
-    if sums:
-        parts.append(df.groupBy(*keys).agg(*[F.sum(c).alias(o) for o, c in sums.items()]))
-    res = parts[0]
-    for p in parts[1:]:
-        if not keys:
-            res = res.crossJoin(p)
-            continue
-        r = p.select(*[F.col(k).alias(f"__d_{k}") for k in keys], *[c for c in p.columns if c not in keys])
-        cond = None
-        for k in keys:
-            c = F.col(k).eqNullSafe(F.col(f"__d_{k}"))
-            cond = c if cond is None else cond & c
-        res = res.join(r, cond).drop(*[f"__d_{k}" for k in keys])
-    return res
+    keys, sums = list(keys), sums or {}
+    tagged = F.array(*[F.struct(F.lit(i).alias("t"), F.col(c).cast("string").alias("x"),
+                                *[F.when(F.lit(i == 0), F.col(m)).alias(f"s{j}") for j, m in enumerate(sums.values())])
+                       for i, c in enumerate(distinct.values())])
+    folded = (df.select(*keys, F.explode(tagged).alias("__e")).select(*keys, "__e.*")
+              .groupBy(*keys, "t", "x").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(len(sums))] or [F.lit(1).alias("__one")]))
+    return folded.groupBy(*keys).agg(
+        *[F.count_if((F.col("t") == i) & F.col("x").isNotNull()).alias(o) for i, o in enumerate(distinct)],
+        *[F.sum(f"s{j}").alias(o) for j, o in enumerate(sums)])

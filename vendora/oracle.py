@@ -87,6 +87,20 @@ def with_tables(body: str) -> str:
     return "WITH" + ADAPTER_CTES + "\n" + body
 
 
+# Grains that several oracles start from (the folds of SURVEY 1.5): delivered
+# orders, item lines in cents, one basket per order, delivered orders with their
+# basket, delivered orders with their buyer, (seller, order) and reviews per order.
+FOLDS = """, done AS (FROM orders_m WHERE order_status = 'delivered'),
+line AS (SELECT order_id, order_item_id, product_id, seller_id, CAST(price * 100 AS HUGEINT) AS p_c,
+  CAST(freight_value * 100 AS HUGEINT) AS f_c, CAST((price + freight_value) * 100 AS HUGEINT) AS v_c FROM order_items),
+basket AS (SELECT order_id, sum(v_c) AS rev_c, count(v_c) AS n_val, count(order_item_id) AS n_items FROM line GROUP BY order_id),
+sold AS (FROM done JOIN basket USING (order_id)),
+buyer AS (SELECT customer_unique_id AS person, order_id, order_purchase_timestamp AS bought_at FROM done JOIN customers USING (customer_id)),
+seller_order AS (SELECT seller_id, order_id, sum(v_c) AS rev_c, count(v_c) AS n_val, sum(f_c) AS f_c, count(f_c) AS n_f, count(*) AS n_rows
+  FROM line SEMI JOIN done USING (order_id) SEMI JOIN sellers USING (seller_id) GROUP BY seller_id, order_id),
+review AS (SELECT order_id, count(*) AS k, sum(review_score) AS s, count(review_score) AS n FROM order_reviews GROUP BY order_id)"""
+
+
 # --- SQL twins of vendora.functions --------------------------------------------------
 
 def RD(n: str, d: str, s: int = 2) -> str:
