@@ -11,8 +11,9 @@ import pytest
 
 import __spark_entry__ as se
 from tests.conftest import SMOKE
+from vendora.plans import ORACLE, REGISTRY
 
-KEYS = sorted(se.queries())
+KEYS = sorted(REGISTRY)
 
 
 def _norm(v):
@@ -34,8 +35,9 @@ def _digest(df: pd.DataFrame) -> str:
 
 
 def test_every_report_has_an_oracle():
-    assert len(KEYS) == 65
-    assert set(se.oracle_sql()) == set(KEYS)
+    assert len(KEYS) == 68
+    assert set(ORACLE) == set(KEYS)
+    assert set(KEYS) <= set(se.queries()) and set(ORACLE) <= set(se.oracle_sql())
 
 
 def test_entry_smoke(spark):
@@ -61,8 +63,8 @@ def test_sliced_and_multi_bucket_paths_match_oracle(spark, duck, monkeypatch, ke
     slices of 2 timestamps, value distributions over buckets of 50 rows."""
     import vendora.operators.customer as cu
     import vendora.operators.ranking as rk
-    monkeypatch.setattr(cu, "GAP_TASK_ROWS", 2)
-    monkeypatch.setattr(rk, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(cu, "BUCKETS", 40)
+    monkeypatch.setattr(rk, "BUCKETS", 7)
     got = se.queries()[key](spark, SMOKE).toPandas()
     want = duck.execute(se.oracle_sql()[key]).df()
     assert _digest(got) == _digest(want)

@@ -32,10 +32,11 @@ def audit_nulls(df: DataFrame, cols: Sequence[str], scale: int = 2) -> DataFrame
     """``column_name, null_count, null_pct`` for ``cols`` in one pass."""
     agg = df.agg(F.count(F.lit(1)).alias("__n"),
                  *[F.count_if(F.col(c).isNull()).alias(f"__z{i}") for i, c in enumerate(cols)])
-    stack = ", ".join(f"'{c}', __z{i}" for i, c in enumerate(cols))
-    return (agg.selectExpr("__n", f"stack({len(cols)}, {stack}) AS (column_name, null_count)")
-            .select("column_name", F.col("null_count").cast("long"),
-                    pct(F.col("null_count"), F.col("__n"), scale).alias("null_pct")))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"__z{i}").alias("null_count"))
+                               for i, c in enumerate(cols)]))
+    return (agg.select("__n", each.alias("e"))
+            .select("e.column_name", F.col("e.null_count").cast("long").alias("null_count"),
+                    pct(F.col("e.null_count"), F.col("__n"), scale).alias("null_pct")))
 
 
 def audit_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -73,9 +74,9 @@ def audit_rules(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     TRUE count as violations (write predicates for the bad case)."""
     agg = df.agg(F.count(F.lit(1)).alias("__n"),
                  *[F.count_if(pred).alias(f"__r{i}") for i, pred in enumerate(rules.values())])
-    stack = ", ".join(f"'{name}', __r{i}" for i, name in enumerate(rules))
-    return agg.selectExpr(f"stack({len(rules)}, {stack}) AS (rule, violations)",
-                          "__n AS total_rows")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"__r{i}").alias("violations"))
+                               for i, name in enumerate(rules)]))
+    return agg.select(each.alias("e"), F.col("__n").alias("total_rows")).select("e.rule", "e.violations", "total_rows")
 
 
 def coverage(base: DataFrame, satellites: Mapping[str, DataFrame], key: str) -> DataFrame:
