@@ -58,8 +58,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and materialised tables.
 
     Read from the session (``spark.checkpoint.dir`` or the context's
-    checkpoint dir); only when neither is set (local tests) a fresh folder is
-    created and registered.
+    checkpoint dir). Only a local master may do without: it gets a fresh folder
+    of its own. On a cluster a missing setting is an error, as executors cannot
+    see a folder of the driver's machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -69,6 +70,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="vendora-ckpt-")
     sc.setCheckpointDir(own)
     return sc.getCheckpointDir() or own

@@ -47,15 +47,9 @@ class Tables:
         return self.orders.sparkSession
 
 
-_CACHE: dict[tuple[int, str], Tables] = {}
-
-
 def from_testdata(spark: SparkSession, sf_dir: str) -> Tables:
-    """Adapter tables over ``sf_dir`` (lazy; memoised per session and folder)."""
-    key = (id(spark), sf_dir.rstrip("/"))
-    if key not in _CACHE:
-        _CACHE[key] = Tables.from_dict(adapter.derive_all(spark, sf_dir))
-    return _CACHE[key]
+    """Adapter tables over ``sf_dir`` (lazy)."""
+    return Tables.from_dict(adapter.derive_all(spark, sf_dir.rstrip("/")))
 
 
 def from_parquet(spark: SparkSession, root: str) -> Tables:

@@ -11,6 +11,8 @@ tables that need it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -92,7 +94,10 @@ def write_bucketed_tables(tables: dict[str, DataFrame], root: str, buckets: int,
     """
     spark = next(iter(tables.values())).sparkSession
     root = root.rstrip("/")
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}/_{database}.db'")
+    if not re.fullmatch(r"[A-Za-z0-9_]+", database):
+        raise ValueError(f"not a database name: {database!r}")
+    place = f"{root}/_{database}.db".replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{place}'")
     for name, df in tables.items():
         df = df.select(*TABLES[name].fieldNames())
         key = BUCKET_KEYS.get(name)
@@ -100,5 +105,5 @@ def write_bucketed_tables(tables: dict[str, DataFrame], root: str, buckets: int,
             w = (df.repartition(buckets, key).write.mode("overwrite").format("parquet")
                  .bucketBy(buckets, key).sortBy(key))
         else:
-            w = df.coalesce(1).write.mode("overwrite").format("parquet")
+            w = df.write.mode("overwrite").format("parquet")
         w.option("path", f"{root}/{name}").saveAsTable(f"{database}.{name}")
