@@ -67,8 +67,8 @@ def build_index(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Index:
 def _anchors(ix: Index) -> DataFrame:
     """Per window its two rarest words: (wid, pair, t1, o1, t2, gap). Windows
     with a word that the corpus lacks cannot occur and are left out."""
-    freq = ix.postings.groupBy("term").agg(F.count("*").alias("n"))
-    ranked = (ix.terms.join(freq, "term", "left")
+    freq = stored(ix.postings.groupBy("term").agg(F.count("*").alias("n")), "decon-freq")
+    ranked = (ix.terms.join(maybe_broadcast(freq), "term", "left")
               .groupBy("wid")
               .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term"))).alias("r")))
     first, last = F.col("r")[0], F.when(F.size("r") > 1, F.col("r")[1]).otherwise(F.col("r")[0])
