@@ -198,3 +198,62 @@ def test_several_subset_ranks_in_one_pass(spark):
         return 1 + sum(1 for w in vals if w is None or w > v)
     want = {k: (rank(1, x), rank(2, y)) for k, x, y in rows if k in ("a", "c", "e")}
     assert got == want
+
+
+def test_late_rate_rates_and_days(spark):
+    import datetime as dt
+    from vendora.operators.late import late_rate
+    d = lambda n: dt.datetime(2017, 1, n)
+    rows = [("a", "o1", d(5), d(3), 1), ("a", "o1", d(5), d(3), 2), ("a", "o2", d(2), d(3), 3), ("a", None, d(9), d(3), 4),
+            ("b", "o3", None, d(3), 5), ("b", "o4", d(4), d(3), 6)]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("g", T.StringType()), T.StructField("order_id", T.StringType()),
+                                                   T.StructField("order_delivered_customer_date", T.TimestampNTZType()),
+                                                   T.StructField("order_estimated_delivery_date", T.TimestampNTZType()),
+                                                   T.StructField("x", T.LongType())]))
+    got = {r["g"]: tuple(r)[1:] for r in late_rate(df, ["g"], sums=("x",)).collect()}
+    assert got == {"a": (2, 1, 1, 50.0, 50.0, 2.0, 6), "b": (2, 1, 0, 50.0, 0.0, 1.0, 11)}
+    one = df.where("x <> 2")
+    assert late_rate(one, [], one_row_per_order=True).first()[:3] == (4, 2, 1)
+
+
+def test_cohorts_trend_and_rfm_units(spark):
+    import datetime as dt
+    from tests.conftest import customer, item, make_tables, order
+    from vendora.operators.customer import cohorts, new_vs_returning, rfm
+    from vendora.operators.trend import trend_by
+    t = make_tables(spark, customers=[customer("c1", "u1"), customer("c2", "u1"), customer("c3", "u2")],
+                    orders=[order("o1", "c1", pts="2017-01-31 12:00:00"), order("o2", "c2", pts="2017-05-01 00:00:00"),
+                            order("o3", "c3", pts="2017-02-01 06:00:00")],
+                    order_items=[item("o1", 1), item("o2", 1, price=20), item("o3", 1)])
+    po = t.customers.join(t.orders, "customer_id")
+    ts = "order_purchase_timestamp"
+    quarter = {r[0]: r[1] for r in cohorts(po, unit="quarter").collect()}
+    assert quarter == {"u1": dt.datetime(2017, 1, 1), "u2": dt.datetime(2017, 1, 1)}
+    by = {r[0]: tuple(r)[1:] for r in new_vs_returning(po, unit="quarter", out="q").collect()}
+    assert by == {dt.datetime(2017, 1, 1): (2, 0, 2), dt.datetime(2017, 4, 1): (0, 1, 1)}
+    trend = [tuple(r) for r in trend_by(po, ts, "month", F.count("order_id")).orderBy("period").collect()]
+    assert trend == [(dt.datetime(2017, 1, 1), 1, None, 1, 1), (dt.datetime(2017, 2, 1), 1, 1, 2, 2), (dt.datetime(2017, 5, 1), 1, 1, 3, 3)]
+    days = lambda **kw: {r["customer_unique_id"]: r["recency_days"] for r in rfm(t.customers, t.orders, t.items, **kw).collect()}
+    assert days(day_mode="elapsed") == {"u1": 0, "u2": 88} and days(day_mode="calendar") == {"u1": 0, "u2": 89}
+    assert days(day_mode="calendar", as_of=dt.datetime(2017, 5, 3)) == {"u1": 2, "u2": 91}
+
+
+def test_master_frame_without_a_key_list(spark, duck):
+    """The whole denormalised frame against the join chain written in SQL."""
+    from tests.conftest import SMOKE
+    from vendora.operators.master import master_orders
+    from vendora.oracle import with_tables
+    from vendora.sources.catalog import from_testdata
+    got = master_orders(from_testdata(spark, SMOKE))
+    money = [str(got.schema[c].dataType) for c in ("price", "freight_value", "payment_value")]
+    assert all(m.startswith("DecimalType") for m in money)
+    facts = got.agg(F.count(F.lit(1)), F.sum("price"), F.sum("freight_value"), F.sum("payment_value"), F.sum("review_score"),
+                    F.count_if(F.col("category_english") == "Unknown"), F.count("seller_state"), F.count("customer_city")).first()
+    want = duck.execute(with_tables("""
+      SELECT count(*), sum(price), sum(freight_value), sum(payment_value), sum(review_score),
+             count(*) FILTER (WHERE product_category_name_english IS NULL), count(seller_state), count(customer_city)
+      FROM orders_m LEFT JOIN customers USING (customer_id) LEFT JOIN order_items USING (order_id)
+      LEFT JOIN (FROM products LEFT JOIN product_category_translation USING (product_category_name)) USING (product_id)
+      LEFT JOIN sellers USING (seller_id)
+      LEFT JOIN (FROM order_payments WHERE payment_sequential = 1) USING (order_id) LEFT JOIN order_reviews USING (order_id)""")).fetchone()
+    assert [float(x) for x in facts] == [float(x) for x in want]

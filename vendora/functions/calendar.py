@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vendora.functions.exact import BIG, US_PER_DAY, idiv, round_div
+from vendora.functions.exact import US_PER_DAY, idiv, round_div
 
 
 def elapsed_us(t0, t1) -> Column:
@@ -17,7 +17,7 @@ def elapsed_us(t0, t1) -> Column:
 
     Replaces ``EXTRACT(EPOCH FROM t1 - t0)`` (seconds) scaled by 10^6.
     """
-    return F.timestamp_diff("MICROSECOND", _col(t0), _col(t1)).cast(BIG)
+    return F.timestamp_diff("MICROSECOND", _col(t0), _col(t1)).cast("bigint")
 
 
 def elapsed_days(t0, t1, scale: int = 1) -> Column:
@@ -35,9 +35,14 @@ def calendar_days_between(t0, t1) -> Column:
     return F.datediff(F.to_date(_col(t1)), F.to_date(_col(t0)))
 
 
+def period_start(ts, unit: str = "month") -> Column:
+    """``DATE_TRUNC(unit, ts)`` for week, month, quarter or year, zone-less."""
+    return F.trunc(F.to_date(_col(ts)), unit).cast("timestamp_ntz")
+
+
 def month_start(ts) -> Column:
     """``DATE_TRUNC('month', ts)`` kept zone-less."""
-    return F.trunc(F.to_date(_col(ts)), "MM").cast("timestamp_ntz")
+    return period_start(ts, "month")
 
 
 def dow_sunday0(ts) -> Column:

@@ -29,8 +29,9 @@ def idiv(a, b) -> Column:
 
 
 def cents(money) -> Column:
-    """A decimal(·,2) amount as whole cents (exact)."""
-    return (lit_or_col(money) * 100).cast(BIG)
+    """A decimal(·,2) amount as whole cents (exact, BIGINT: rows and partial sums
+    stay in machine words; ratios are taken in decimal(38,0))."""
+    return (lit_or_col(money) * 100).cast("bigint")
 
 
 def round_div(num, den, scale: int = 2) -> Column:

@@ -6,10 +6,12 @@ operator here sorts all of one person's rows in a single task.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vendora.functions.calendar import elapsed_us, month_start
+from vendora.functions.calendar import calendar_days_between, elapsed_us, period_start, whole_days_elapsed
 from vendora.functions.exact import BIG, cents
 from vendora.operators.ranking import BUCKETS, cell_of, chosen_by_hash, cut_levels, spaced_cuts
 
@@ -80,32 +82,42 @@ def person_orders(customers: DataFrame, orders: DataFrame, status: str | None =
             .join(o.select("customer_id", *cols), "customer_id"))
 
 
+def cohorts(person_ts: DataFrame, entity: str = "customer_unique_id",
+            ts: str = "order_purchase_timestamp", unit: str = "month", out: str = "cohort") -> DataFrame:
+    """P13 cohort assignment: ``entity, out``, the first period of each entity
+    (week, month, quarter or year; a partial aggregate)."""
+    return person_ts.groupBy(entity).agg(period_start(F.min(ts), unit).alias(out))
+
+
 def first_month(person_ts: DataFrame, entity: str = "customer_unique_id",
                 ts: str = "order_purchase_timestamp") -> DataFrame:
-    """P13 cohort assignment: ``entity, first_month`` (a partial aggregate)."""
-    return person_ts.groupBy(entity).agg(month_start(F.min(ts)).alias("first_month"))
+    """``cohorts`` by month: ``entity, first_month``."""
+    return cohorts(person_ts, entity, ts, "month", "first_month")
 
 
 def new_vs_returning(person_ts: DataFrame, entity: str = "customer_unique_id",
-                     ts: str = "order_purchase_timestamp") -> DataFrame:
-    """P13 activity by month: new (first month), returning, all active persons.
+                     ts: str = "order_purchase_timestamp", unit: str = "month", out: str = "order_month") -> DataFrame:
+    """P13 activity by period: new (first period), returning, all active persons.
 
-    Works on distinct ``(entity, month)`` pairs, so each person counts once per
-    month without a ``COUNT(DISTINCT)`` expansion; the join to the first month
+    Works on distinct ``(entity, period)`` pairs, so each person counts once per
+    period without a ``COUNT(DISTINCT)`` expansion; the join to the first period
     is on the entity (both sides hash partitioned on it)."""
-    active = person_ts.select(entity, month_start(F.col(ts)).alias("order_month")).distinct()
-    firsts = first_month(person_ts, entity, ts)
-    j = active.join(firsts, entity)
-    return (j.groupBy("order_month")
-            .agg(F.count_if(F.col("order_month") == F.col("first_month")).alias("new_customers"),
-                 F.count_if(F.col("order_month") > F.col("first_month")).alias("returning_customers"),
+    active = person_ts.select(entity, period_start(ts, unit).alias(out)).distinct()
+    j = active.join(cohorts(person_ts, entity, ts, unit, "__first"), entity)
+    return (j.groupBy(out)
+            .agg(F.count_if(F.col(out) == F.col("__first")).alias("new_customers"),
+                 F.count_if(F.col(out) > F.col("__first")).alias("returning_customers"),
                  F.count(F.lit(1)).alias("total_active_customers")))
 
 
-def rfm(customers: DataFrame, orders: DataFrame, items: DataFrame,
-        status: str | None = "delivered") -> DataFrame:
-    """P12 raw RFM per person: ``recency`` (last purchase), ``frequency``
-    (distinct orders that have items), ``monetary_c`` (item revenue, cents).
+def rfm(customers: DataFrame, orders: DataFrame, items: DataFrame, status: str | None = "delivered",
+        as_of: dt.datetime | None = None, day_mode: str | None = None) -> DataFrame:
+    """P12 RFM per person: ``recency`` (last purchase), ``frequency`` (distinct
+    orders that have items), ``monetary_c`` (item revenue, cents).
+
+    ``day_mode`` adds ``recency_days`` up to ``as_of`` (default: the latest
+    purchase with the status): ``elapsed`` counts whole 24-hour blocks,
+    ``calendar`` counts dates (S7).
 
     Items fold to order grain before the join, and the person aggregate is
     partial on the map side, so a very active person is never one task's
@@ -113,10 +125,17 @@ def rfm(customers: DataFrame, orders: DataFrame, items: DataFrame,
     per_order = items.groupBy("order_id").agg(
         F.sum(cents(F.col("price") + F.col("freight_value"))).alias("rev_c"))
     po = person_orders(customers, orders, status)
-    return (po.join(per_order, "order_id")
-            .groupBy("customer_unique_id")
-            .agg(F.max("order_purchase_timestamp").alias("recency"),
-                 F.count("order_id").alias("frequency"), F.sum("rev_c").alias("monetary_c")))
+    out = (po.join(per_order, "order_id")
+           .groupBy("customer_unique_id")
+           .agg(F.max("order_purchase_timestamp").alias("recency"),
+                F.count("order_id").alias("frequency"), F.sum("rev_c").alias("monetary_c")))
+    if day_mode is None:
+        return out
+    days = {"elapsed": whole_days_elapsed, "calendar": calendar_days_between}[day_mode]
+    if as_of is not None:
+        return out.withColumn("recency_days", days(F.col("recency"), F.lit(as_of).cast("timestamp_ntz")))
+    latest = F.broadcast(as_of_date(orders, status))  # one row
+    return (out.crossJoin(latest).withColumn("recency_days", days(F.col("recency"), F.col("max_date"))).drop("max_date"))
 
 
 def as_of_date(orders: DataFrame, status: str | None = "delivered") -> DataFrame:

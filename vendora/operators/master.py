@@ -12,7 +12,7 @@ def master_orders(t: Tables, orders=None, ids=None):
 
     ``ids`` (optional, a small frame of order ids - broadcast it) restricts
     every satellite to those order ids first, through a semi join. Payments
-    are filtered to sequence 1 before the join.
+    are filtered to sequence 1 before the join. Money keeps its own type.
     """
     o = t.orders if orders is None else orders
 
@@ -45,7 +45,7 @@ def master_orders(t: Tables, orders=None, ids=None):
     return j.select(
         "order_id", "order_status", "order_purchase_timestamp", "order_delivered_customer_date",
         "order_estimated_delivery_date", "customer_city", "customer_state",
-        F.col("price").cast("double").alias("price"), F.col("freight_value").cast("double").alias("freight_value"),
+        "price", "freight_value",
         F.coalesce(F.col("product_category_name_english"), F.lit("Unknown")).alias("category_english"),
-        "seller_state", "payment_type", F.col("payment_value").cast("double").alias("payment_value"),
+        "seller_state", "payment_type", "payment_value",
         "review_score")

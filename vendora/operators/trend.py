@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vendora.functions.calendar import period_start
+
 
 def period_trend(periods: DataFrame, period_col: str, value_col: str, lag: int = 1,
                  window: int = 3, prefix: str = "") -> DataFrame:
@@ -22,3 +24,13 @@ def period_trend(periods: DataFrame, period_col: str, value_col: str, lag: int =
     return (periods.withColumn(f"{prefix}prev", F.lag(value_col, lag).over(w))
             .withColumn(f"{prefix}roll_sum", F.sum(value_col).over(roll))
             .withColumn(f"{prefix}roll_n", F.count(value_col).over(roll)))
+
+
+def trend_by(df: DataFrame, ts: str, unit: str, measure: Column, lag: int = 1, window: int = 3,
+             out: str = "value", period: str = "period") -> DataFrame:
+    """P5 from raw rows: fold ``measure`` (an aggregate column) per ``unit`` of
+    ``ts`` first, so that the windows see one row per period, then add
+    ``prev``, ``roll_sum`` and ``roll_n``. Rows without ``ts`` are left out."""
+    periods = (df.where(F.col(ts).isNotNull()).groupBy(period_start(ts, unit).alias(period))
+               .agg(measure.alias(out)))
+    return period_trend(periods, period, out, lag, window)
