@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vendora.functions.calendar import calendar_days_between, elapsed_us, period_start, whole_days_elapsed
 from vendora.functions.exact import BIG, cents
-from vendora.operators.ranking import BUCKETS, cell_of, chosen_by_hash, cut_levels, spaced_cuts
+from vendora.operators.ranking import BUCKETS, chosen_by_hash, cut_levels, spaced_cuts, with_cell
 
 def interarrival_gaps(df: DataFrame, entity: str, ts: str,
                       cells: int | None = None, with_entities: bool = False):
@@ -41,11 +41,10 @@ def interarrival_gaps(df: DataFrame, entity: str, ts: str,
     size = folded.agg(F.count(F.when(F.col("__m") > 0, F.lit(1))).alias("__rows"))
     chosen = chosen_by_hash(F.col("__rows"), count, F.col(entity), F.col(ts)) & (F.col("__m") > 0)
     cuts = (folded.crossJoin(F.broadcast(size))
-            .agg(F.array_sort(F.collect_list(F.when(chosen, key))).alias("__s"))
+            .agg(F.sort_array(F.collect_list(F.when(chosen, key))).alias("__s"))
             .select(spaced_cuts(F.col("__s"), count).alias("__s"))
             .select(*[c.alias(f"__c{i}") for i, c in enumerate(cut_levels(F.col("__s")))]))
-    levels = [F.col(f"__c{i}") for i in range(3)]
-    ev = (folded.crossJoin(F.broadcast(cuts)).withColumn("__cell", cell_of(key, levels))
+    ev = (with_cell(folded.crossJoin(F.broadcast(cuts)).withColumn("__k", key), "__k", ["__c0", "__c1", "__c2"], "__cell")
           .select(entity, ts, "__m", "__cell"))
     order = [F.col(entity), F.col(ts).asc_nulls_last()]
     w = Window.partitionBy("__cell").orderBy(*order)

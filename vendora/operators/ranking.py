@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from vendora.functions.exact import BIG, idiv
 
-BUCKETS = 4096   # value ranges; AQE merges those that are small
+BUCKETS = 1024   # value ranges; the cuts ride with each row that is placed, so they are few
 OVERSAMPLE = 16  # sampled values per cut: ranges differ by a quarter or so in size
 FAN = 16         # cuts are looked up in steps of at most FAN comparisons
 
@@ -86,10 +86,11 @@ def chosen_by_hash(distinct: Column, count: int, *values: Column) -> Column:
 
 
 def spaced_cuts(sample: Column, count: int) -> Column:
-    """Up to ``count - 1`` evenly spaced values of a sorted sample."""
+    """``count - 1`` evenly spaced values of a sorted sample (repeated if it is
+    smaller, which only leaves buckets empty)."""
     at = F.transform(F.sequence(F.lit(1), F.lit(max(count - 1, 1))),
                      lambda i: F.get(sample, F.floor(i * F.size(sample) / float(count)).cast("int")))
-    return F.array_distinct(F.filter(at, lambda x: x.isNotNull())) if count > 1 else F.slice(sample, 1, 0)
+    return F.filter(at, lambda x: x.isNotNull()) if count > 1 else F.slice(sample, 1, 0)
 
 
 def _every(n: int):
@@ -101,14 +102,16 @@ def cut_levels(cuts: Column) -> list[Column]:
     return [cuts, *(F.filter(cuts, _every(n)) for n in (FAN, FAN * FAN))]
 
 
-def cell_of(v: Column, levels: Sequence[Column]) -> Column:
-    """How many cuts are at or below ``v``, from the coarsest level down."""
-    *finer, coarse = levels
-    below = F.size(F.filter(coarse, lambda c: c <= v))
-    for level in reversed(finer):
-        block = F.greatest(below - 1, F.lit(0)) * FAN
-        below = F.when(below == 0, F.lit(0)).otherwise(block + F.size(F.filter(F.slice(level, block + 1, FAN), lambda c: c <= v)))
-    return below.cast("long")
+def with_cell(df: DataFrame, value: str, levels: Sequence[str], out: str) -> DataFrame:
+    """Add ``out``: how many cuts are at or below column ``value``, from the
+    coarsest level down (one column per step, so that no step is computed twice)."""
+    def below(level):
+        return F.size(F.filter(level, lambda c: c <= F.col(value)))
+    df = df.withColumn(out, below(F.col(levels[-1])))
+    for level in reversed(levels[:-1]):
+        block = F.greatest(F.col(out) - 1, F.lit(0)) * FAN
+        df = df.withColumn(out, F.when(F.col(out) == 0, F.lit(0)).otherwise(block + below(F.slice(F.col(level), block + 1, FAN))))
+    return df.withColumn(out, F.col(out).cast("long"))
 
 
 def _bucketed(df: DataFrame, value_col: str, buckets: int | None, weight_col: str | None,
@@ -133,13 +136,12 @@ def _bucketed(df: DataFrame, value_col: str, buckets: int | None, weight_col: st
     count = buckets or BUCKETS
     # (Reading the count too keeps this branch on the fold's shared shuffle.)
     chosen = chosen_by_hash(F.col("distinct"), count, F.col("v")) & F.col("__n").isNotNull()
-    sampled = F.array_sort(F.collect_list(F.when(chosen, F.col("v"))))
+    sampled = F.sort_array(F.collect_list(F.when(chosen, F.col("v"))))
     levels = ["__c0", "__c1", "__c2"]
     cuts = (_join_on(folded, stats.select(*keys, "distinct"), keys, small=small)
             .groupBy(*keys).agg(sampled.alias("__s")).withColumn("__s", spaced_cuts(F.col("__s"), count))
             .select(*keys, *[c.alias(n) for c, n in zip(cut_levels(F.col("__s")), levels)]))
-    vb = (_join_on(vc, cuts, keys, small=small)
-          .withColumn("b", cell_of(F.col("v"), [F.col(n) for n in levels])).drop(*levels))
+    vb = with_cell(_join_on(vc, cuts, keys, small=small), "v", levels, "b").drop(*levels)
     # Offsets: at most BUCKETS rows per group, so this window is bounded.
     per_bucket = vb.groupBy(*keys, "b").agg(F.sum("c").alias("bn"))
     before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
