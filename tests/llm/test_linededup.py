@@ -110,3 +110,23 @@ def test_shuffled_instead_of_broadcast(spark, monkeypatch):
     from vendora.llm import common
     monkeypatch.setattr(ld, "maybe_broadcast", lambda df, *a, **k: common.maybe_broadcast(df, 1, limit=0))
     assert run(spark, texts) == expected
+
+
+def test_short_copies_fold_to_the_earliest(spark):
+    rng = random.Random(5)
+    vocab = ["a", "b", "c", "dé"]
+    texts = [(i, "\n".join(" ".join(rng.choice(vocab) for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 6)))) for i in range(80)]
+    texts += [(200, "All rights reserved\nown one"), (201, "all rights, reserved.\n--\n--\nown one"), (202, "all rights"), (-1, "own one"),
+              (203, None), (204, "one two three four five\none two three four"), (205, "one two three four six\none two three four")]
+    seen, expected = set(), []
+    for i, t in sorted(texts):
+        left = []
+        for line in (t or "").split("\n"):
+            w = tuple(words(line))
+            if not (w and w in seen) and line != "one two three four six":  # that one by the edit bound
+                left.append(line)
+            seen.add(w)
+        expected.append((i, None if t is None else "\n".join(left)))
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS)
+    got = sorted((r.doc_id, r.text) for r in ld.line_dedup(d, short_copies=True).collect())
+    assert got == expected
