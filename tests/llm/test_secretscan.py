@@ -69,3 +69,27 @@ def test_frames(spark):
     for doc, *figures in got:
         assert tuple(figures[:4]) == brute(texts[doc] or "")[0]
     assert ss.scan(docs(spark, [])).count() == 0
+
+
+def pieces(n):
+    return [f"Zx81kQ{i:05d}" for i in range(n)]
+
+
+@pytest.mark.parametrize("text", [
+    "a = " + " + ".join(f'"{x}"' for x in pieces(200)) + "\npassword = a",
+    'k = ""\n' + "\n".join(f'k = k + "{x}"' for x in pieces(200)) + "\nsecret = k",
+    'k = ""\n' + "\n".join(f'k += "{x}"' for x in pieces(200)) + "\npassword = k",
+    "\n".join(f'k{i + 1} = k{i} + "{x}"' for i, x in enumerate(pieces(200))) + "\nx = k200\npassword = x"])
+def test_constants_of_many_pieces_keep_all(text):
+    found = [(s.kind, text[s.start:s.end]) for s in ss.lexed(text)]
+    assert sorted(found) == [("flow", x) for x in pieces(200)]
+
+
+def test_append_keeps_what_was_there():
+    text = "k = 'AbC123xY'; k += 'more99Zz'; password = k"
+    assert [(s.kind, text[s.start:s.end]) for s in ss.lexed(text)] == [("flow", "AbC123xY"), ("flow", "more99Zz")]
+
+
+def test_long_chain_of_pieces_is_linear():
+    text = 'k = ""\n' + "\n".join(f'k += "{x}"\npassword = k' for x in pieces(30_000))
+    assert len(ss.lexed(text)) == 30_000

@@ -4,8 +4,9 @@ Lines that hold ``=`` or ``:`` are lexed into names, literals and operators, as
 source and configuration files of many kinds write them, and read as pairs of a
 target name and a value: ``name = "x"``, ``name: x``, ``"name": "x"``,
 ``cfg["name"] = "x"``, ``--name=x``, ``<name>x</name>``, ``scheme://user:x@host``.
-A value is a literal, a name, or a sum of both. Names of literals are remembered
-in order, so a literal that reaches a sensitive name through constants is found
+A value is a literal, a name, or a sum of both; ``+=`` adds to the value before.
+Each name keeps its parts by reference, however many, and a sensitive target walks
+each of them once per score, so a literal that reaches a sensitive name through constants is found
 where it is written. A literal's score is that of the target name's words times
 its own (length, variety, no placeholder); scores from ``LEAST`` on count.
 
@@ -114,8 +115,8 @@ def literal_score(text: str) -> float:
     return max(0.0, min(1.0, 0.25 * min(entropy, 4.0) * 0.7 + 0.1 * mixed))
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, Literal | str]]]]:
-    """(target name, parts) of each pair in order; a part is ("own", literal)
+def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[str, Literal | str]]]]:
+    """(target name, operator, parts) of each pair in order; a part is ("own", literal)
     or ("name", name of a constant)."""
     for line in _LINE.finditer(text):
         tokens = [(m.lastgroup if m.lastgroup not in ("tag", "inner", "userpass") else "element", m)
@@ -124,9 +125,9 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, Literal | str]]]]:
         while k < len(tokens):
             m = tokens[k][1]
             if m["element"] is not None:
-                yield m["tag"], [("own", Literal(m.start("inner"), m.end("inner"), m["inner"]))]
+                yield m["tag"], "=", [("own", Literal(m.start("inner"), m.end("inner"), m["inner"]))]
             elif m["url"] is not None:
-                yield "password", [("own", Literal(m.start("userpass"), m.end("userpass"), m["userpass"]))]
+                yield "password", "=", [("own", Literal(m.start("userpass"), m.end("userpass"), m["userpass"]))]
             elif m["op"] in _SET and k:
                 target = _target(tokens, k)
                 parts, k = _value(tokens, k + 1, text, line.end())
@@ -134,7 +135,7 @@ def pairs(text: str) -> Iterator[tuple[str, list[tuple[str, Literal | str]]]]:
                     chain.append(target)
                 elif target and parts:
                     for each in [*chain, target]:
-                        yield each, parts
+                        yield each, m["op"], parts
                     chain = []
                 continue
             k += 1
@@ -186,23 +187,46 @@ def _value(tokens: list, k: int, text: str, end: int) -> tuple[list, int]:
     return parts, k
 
 
+class _Constant:
+    """A constant's value: literals and the constants it is built from, by
+    reference; ``seen`` is the highest target score it was walked with."""
+
+    __slots__ = ("parts", "seen")
+
+    def __init__(self, parts: list[Literal | _Constant]):
+        self.parts, self.seen = parts, 0.0
+
+    def literals(self, score: float) -> Iterator[tuple[str, Literal]]:
+        """("lexed" or "flow", literal) in order, without the constants that were
+        walked with this score or a higher one before."""
+        self.seen = score
+        todo = [iter(self.parts)]
+        while todo:
+            part = next(todo[-1], None)
+            if part is None:
+                todo.pop()
+            elif isinstance(part, Literal):
+                yield ("lexed" if len(todo) == 1 else "flow"), part
+            elif part.seen < score:
+                part.seen = score
+                todo.append(iter(part.parts))
+
+
 def lexed(text: str, least: float = LEAST) -> list[Span]:
     """Literals of sensitive targets, own and through constants."""
-    constants: dict[str, list[Literal]] = {}
+    constants: dict[str, _Constant] = {}
     best: dict[tuple[int, int], Span] = {}
-    for target, parts in pairs(text):
-        reach: list[tuple[str, Literal]] = []
+    for target, op, parts in pairs(text):
         flows = {x for how, x in parts if how == "name" and x in constants}
-        for how, x in parts:
-            if how == "name":
-                reach += [("flow", lit) for lit in constants.get(x, ())]
-            elif x.text not in flows:  # a bare word that names a constant is that constant
-                reach.append(("lexed", x))
-        constants[target] = [lit for _, lit in reach][:64] if parts else []
+        # A bare word that names a constant is that constant.
+        value = [constants[x] if how == "name" else x for how, x in parts if (x in flows if how == "name" else x.text not in flows)]
+        if op == "+=" and target in constants:
+            value.insert(0, constants[target])
+        constants[target] = constant = _Constant(value)
         name = name_score(target)
         if name == 0.0:
             continue
-        for kind, lit in reach:
+        for kind, lit in constant.literals(name):
             score = name * literal_score(lit.text)
             old = best.get((lit.start, lit.end))
             if score >= least and (old is None or score > old.score):
