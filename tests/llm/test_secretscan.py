@@ -93,3 +93,29 @@ def test_append_keeps_what_was_there():
 def test_long_chain_of_pieces_is_linear():
     text = 'k = ""\n' + "\n".join(f'k += "{x}"\npassword = k' for x in pieces(30_000))
     assert len(ss.lexed(text)) == 30_000
+
+
+Z = "Zx81kQp0Zx"
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    (f'password =\n    "{Z}"', [("lexed", Z)]), (f'"password":\n\n "{Z}"', [("lexed", Z)]), (f"password:\n  {Z}\nuser: bob", [("lexed", Z)]),
+    (f'password = "Ab12Cd34Ef" +\n  "{Z}"', [("lexed", "Ab12Cd34Ef"), ("lexed", Z)]), (f'password = "Ab12Cd34Ef"\n  + "{Z}";', [("lexed", "Ab12Cd34Ef"), ("lexed", Z)]),
+    (f"password = ('{Z}')", [("lexed", Z)]), (f'password = (\n  "{Z}"\n  "Ab12Cd34Ef"\n)\nx = "Zq99Zq88Zq"', [("lexed", Z), ("lexed", "Ab12Cd34Ef")]),
+    (f"secrets = ['{Z}', 'Ab12Cd34Ef']", [("lexed", Z), ("lexed", "Ab12Cd34Ef")]), (f"token = [{Z}, Ab12Cd34Ef]", [("lexed", Z), ("lexed", "Ab12Cd34Ef")]),
+    (f"password = getenv('X', '{Z}')", [("lexed", Z)]), ("password = getenv('X')", []), (f"password = f(g('{Z}')) + 'Ab12Cd34Ef'", [("lexed", Z), ("lexed", "Ab12Cd34Ef")]),
+    (f'password = """{Z}"""', [("lexed", Z)]), (f"password = '''\n  {Z}\n''' + 'Ab12Cd34Ef'", [("lexed", Z), ("lexed", "Ab12Cd34Ef")]),
+    (f'conf = """\ntoken = "{Z}"\n"""\nsecret = "Ab12Cd34Ef"', [("lexed", Z), ("lexed", "Ab12Cd34Ef")]),
+    (f"db:\n  password: |\n    {Z}\n\n    Ab12Cd34Ef\n  user: Zq99Zq88Zq", [("lexed", Z), ("lexed", "Ab12Cd34Ef")]), (f"password: >-\n  {Z}", [("lexed", Z)]),
+    (f"$db = '{Z}'; $password = $db", [("flow", Z)]), (f"@db = '{Z}'\n@password = @db", [("flow", Z)]),
+    (f'PW={Z}\nexport PASSWORD="$PW"', [("flow", Z)]), (f"PW={Z}\nPASSWORD=${{PW}}", [("flow", Z)]), (f'PW={Z}\nTOKEN="Ab12Cd34Ef-$PW"', [("flow", Z), ("lexed", "Ab12Cd34Ef-$PW")]),
+    (f"k = '{Z}'\npassword = wrap(k)", [("flow", Z)]), (f'a: List[str] = ["{Z}"]\nsecret = a', [("flow", Z)]),
+    (f'cfg = {{"password": "{Z}",\n "color": "Zq99Zq88Zq"}}', [("lexed", Z)]), (f'password = ("{Z}"\ncolor = "Zq99Zq88Zq"', []),
+    ("PASSWORD=\nUSER=Zq99Zq88Zq", []), ("if token:\n    return\nx", []), ("password:\nsome words Zq99Zq88Zq here", []), ("password = \\\n  " + Z, [("lexed", Z)])])
+def test_one_stream_of_lexemes(text, found):
+    assert [(s.kind, text[s.start:s.end]) for s in ss.lexed(text)] == found
+
+
+@pytest.mark.parametrize("unit", ["a=", "a1=", "a: ", "a=(", "a=[(", ")", "a+", "x: |\n", '"""', "a='''", "a=f(", '{"a":', "$a=${b}", "a =\n", "a+=b1+\n"])
+def test_odd_texts_are_linear(unit):
+    ss.lexed("x = " + unit * 50_000 + '\npassword = "hunter2-Zq9!x"')

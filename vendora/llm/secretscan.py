@@ -1,10 +1,16 @@
 r"""Secret scan by assignment-aware lexing.
 
-Lines that hold ``=`` or ``:`` are lexed into names, literals and operators, as
-source and configuration files of many kinds write them, and read as pairs of a
-target name and a value: ``name = "x"``, ``name: x``, ``"name": "x"``,
+The text is lexed as one stream of names, literals, operators, brackets and line
+ends, as source and configuration files of many kinds write them, and read as
+pairs of a target name and a value: ``name = "x"``, ``name: x``, ``"name": "x"``,
 ``cfg["name"] = "x"``, ``--name=x``, ``<name>x</name>``, ``scheme://user:x@host``.
-A value is a literal, a name, or a sum of both; ``+=`` adds to the value before.
+A value is a literal, a name, or a sum of both; ``+=`` adds to the value before. It
+goes on over line ends after an operator, before an indented ``+`` and in brackets:
+literals in lists, parentheses and call arguments are its parts, unless they have a
+key of their own. A triple-quoted or YAML block value is a literal per line, and is
+read for pairs besides. ``$NAME``, ``${NAME}`` and ``@name`` are NAME, also in
+strings of double quotes or backticks. Unquoted words on a line of their own or in
+lists count as literals if they hold a digit, in calls not at all.
 Each name keeps its parts by reference, however many, and a sensitive target walks
 each of them once per score, so a literal that reaches a sensitive name through constants is found
 where it is written. A literal's score is that of the target name's words times
@@ -76,20 +82,32 @@ class Literal(NamedTuple):
     text: str
 
 
-# Lexemes of one line. A quoted string may hold escapes; a path is names joined
-# by dots, arrows or subscripts; a bare word is an unquoted value.
+# Lexemes. A quoted string may hold escapes; a path is names joined by dots,
+# arrows or subscripts; a bare word is an unquoted value.
 _LEXEME = re.compile(r"""
-    (?P<element><(?P<tag>[A-Za-z_][\w.-]*)(?:\x20[^<>\n]*)?>(?P<inner>[^<>\n]*)</(?P=tag)>)
+    (?P<newline>\n)
+  | (?P<element><(?P<tag>[A-Za-z_][\w.-]*)(?:\x20[^<>\n]*)?>(?P<inner>[^<>\n]*)</(?P=tag)>)
   | (?P<url>[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@"']*:(?P<userpass>[^\s/@"']+)@)
+  | (?P<triple>\"\"\"|''')
   | (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
   | (?P<op>:=|=>|==|!=|<=|>=|\+=|=|:|\+)
-  | (?P<name>--?[A-Za-z][\w-]*|[A-Za-z_$@][\w$]*(?:(?:\.|->|::)[A-Za-z_]\w*|-(?=[A-Za-z])\w+|\[["'][\w.-]+["']\])*)
+  | (?P<name>\$\{[A-Za-z_]\w*\}|--?[A-Za-z][\w-]*|[A-Za-z_$@][\w$]*(?:(?:\.|->|::)[A-Za-z_]\w*|-(?=[A-Za-z])\w+|\[["'][\w.-]+["']\])*)
+  | (?P<bracket>[()\[\]{}])
   | (?P<bare>[^\s"'`,;{}()\[\]<>=:]+)
   | (?P<other>\S)
 """, re.VERBOSE)
-_LINE = re.compile(r"[^\n]*[=:>][^\n]*")
 _SET = {"=", ":", ":=", "=>", "+="}
+_SET_NEXT = re.compile(r"[^\S\n]*(?::=|=>|\+=|=(?!=)|:)")
+_MARK = re.compile(r"[=:>]")
 _BARE = re.compile(r"[^\s\"'`,;{}()<>]+")
+_ITEM = re.compile(r"[^\s\"'`,;{}()<>\[\]=:]+")
+_ALONE = re.compile(r"[^\S\n]*[;,]?[^\S\n]*(?:#[^\n]*)?(?:\n|\Z)")
+_PLUS_NEXT = re.compile(r"\s*\n[^\S\n]+\+(?![=+])")
+_BLOCK = re.compile(r"[^\S\n]*[|>][-+0-9]{0,2}[^\S\n]*\n")
+_INDENT = re.compile(r"[^\S\n]*")
+_REFERENCE = re.compile(r"\$(?:\{([A-Za-z_]\w*)\}|([A-Za-z_]\w*))")
+_BRACKETS = re.compile(r"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|[()\[\]{}]""")
+_CLOSES = {")": "(", "]": "[", "}": "{"}
 
 
 def name_score(name: str) -> float:
@@ -115,76 +133,273 @@ def literal_score(text: str) -> float:
     return max(0.0, min(1.0, 0.25 * min(entropy, 4.0) * 0.7 + 0.1 * mixed))
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, list[tuple[str, Literal | str]]]]:
-    """(target name, operator, parts) of each pair in order; a part is ("own", literal)
-    or ("name", name of a constant)."""
-    for line in _LINE.finditer(text):
-        tokens = [(m.lastgroup if m.lastgroup not in ("tag", "inner", "userpass") else "element", m)
-                  for m in _LEXEME.finditer(text, line.start(), line.end())]
-        k, chain = 0, []  # chain: targets still without a value, as in a = b = "x"
-        while k < len(tokens):
-            m = tokens[k][1]
-            if m["element"] is not None:
-                yield m["tag"], "=", [("own", Literal(m.start("inner"), m.end("inner"), m["inner"]))]
-            elif m["url"] is not None:
-                yield "password", "=", [("own", Literal(m.start("userpass"), m.end("userpass"), m["userpass"]))]
-            elif m["op"] in _SET and k:
-                target = _target(tokens, k)
-                parts, k = _value(tokens, k + 1, text, line.end())
-                if target and not parts and m["op"] == "=":
-                    chain.append(target)
-                elif target and parts:
-                    for each in [*chain, target]:
-                        yield each, m["op"], parts
-                    chain = []
+class Part(NamedTuple):
+    """A literal, or names of constants; with both the literal counts only if
+    none of the names is a constant."""
+    names: tuple[str, ...]
+    literal: Literal | None
+
+
+class _Pair:
+    """An assignment being read: ``want`` while a value must follow."""
+
+    __slots__ = ("targets", "op", "parts", "want", "crossed", "named", "joins", "indent")
+
+    def __init__(self, target: str, op: str, named: bool, indent: int):
+        self.targets, self.op, self.named, self.indent = [target], op, named, indent
+        self.parts: list[Part] = []
+        self.want, self.crossed, self.joins = True, False, False
+
+
+class _Frame:
+    """What is open: the text itself, or the brackets up to ``end`` whose
+    literals go to the pair ``sink`` unless they have a key of their own."""
+
+    __slots__ = ("end", "sink", "pair", "listed")
+
+    def __init__(self, end: int, sink: _Pair | None = None, listed: bool = False):
+        self.end, self.sink, self.listed = end, sink, listed
+        self.pair: _Pair | None = None
+
+
+def _plain(name: str) -> str:
+    """$NAME, ${NAME} and @name as NAME."""
+    return name.strip("${}") if name.startswith("${") else name.lstrip("-$@")
+
+
+def _matched(text: str) -> dict[int, int]:
+    """Places of the brackets that close, to those of their closing ones."""
+    opened: dict[str, list[int]] = {"(": [], "[": [], "{": []}
+    out = {}
+    for m in _BRACKETS.finditer(text):
+        if m[0] in opened:
+            opened[m[0]].append(m.start())
+        elif m[0] in _CLOSES and opened[_CLOSES[m[0]]]:
+            out[opened[_CLOSES[m[0]]].pop()] = m.start()
+    return out
+
+
+def _lines(text: str, start: int, end: int) -> Iterator[Part]:
+    """Each line from ``start`` to ``end`` as a literal, without its margins."""
+    while start < end:
+        stop = text.find("\n", start, end)
+        stop = end if stop < 0 else stop
+        line = text[start:stop]
+        if word := line.strip():
+            at = start + line.index(word)
+            yield Part((), Literal(at, at + len(word), word))
+        start = stop + 1
+
+
+def _block_end(text: str, pos: int, indent: int) -> int:
+    """Where the lines from ``pos`` on that are blank or deeper than ``indent`` end."""
+    while pos < len(text):
+        first = _INDENT.match(text, pos).end()
+        if first < len(text) and text[first] != "\n" and first - pos <= indent:
+            break
+        stop = text.find("\n", first)
+        pos = len(text) if stop < 0 else stop + 1
+    return pos
+
+
+def _string(m: re.Match) -> list[Part]:
+    """A quoted string; $NAME and ${NAME} in it are names too."""
+    inner = m["string"][1:-1]
+    whole = Literal(m.start() + 1, m.end() - 1, inner)
+    names = () if m["string"][0] == "'" or "$" not in inner else tuple(a or b for a, b in _REFERENCE.findall(inner))
+    if names and _REFERENCE.sub("", inner):
+        return [Part(names, None), Part((), whole)]
+    return [Part(names, whole)]
+
+
+def pairs(text: str) -> Iterator[tuple[str, str, list[Part]]]:
+    """(target name, operator, parts) of each pair, in the order they end.
+
+    The text is one stream of lexemes. A line end closes a value, but not inside
+    brackets, after an operator or before an indented ``+``. Parts of the text
+    outside any value are only looked at from the lines that hold an operator."""
+    frames = [_Frame(len(text) + 1)]
+    matched: dict[int, int] | None = None
+    pos, fresh_line, line = 0, True, 0
+    prev: re.Match | None = None  # the lexeme before, if it may be a target
+    call = -1  # where a name of a value ends: a bracket right there belongs to it
+    run_end, last_digit = -1, -1
+
+    def done(frame: _Frame) -> list[tuple[str, str, list[Part]]]:
+        pair, frame.pair = frame.pair, None
+        return [(t, pair.op, pair.parts) for t in pair.targets] if pair and pair.parts else []
+
+    while True:
+        frame = frames[-1]
+        if fresh_line and frame.pair is None and frame.sink is None:
+            mark = _MARK.search(text, pos, frame.end)
+            if mark is None and len(frames) == 1:
+                return
+            line = pos = max(pos, text.rfind("\n", pos, mark.start()) + 1) if mark else max(pos, frame.end)
+        fresh_line = False
+        m = _LEXEME.search(text, pos)
+        at = m.start() if m else len(text) + 1
+        closing = False
+        while len(frames) > 1 and frames[-1].end <= at:
+            closing = frames[-1].end == at
+            yield from done(frames.pop())
+            frame, prev = frames[-1], None
+            if frame.pair is not None:
+                frame.pair.want = frame.pair.joins = False
+        if m is None:
+            yield from done(frame)
+            return
+        pos, kind, pair = m.end(), m.lastgroup, frame.pair
+        before, prev = prev, None
+        if closing:  # the bracket or the quotes that end a frame
+            call = pos
+            continue
+
+        if kind == "newline":
+            fresh_line, line = True, pos
+            if pair is not None:
+                if pair.want:
+                    pair.crossed = True
+                elif frame.sink is None and not _PLUS_NEXT.match(text, at):
+                    yield from done(frame)
+            continue
+
+        if kind == "element" or kind == "url":
+            yield from done(frame)
+            group, target = ("inner", m["tag"]) if kind == "element" else ("userpass", "password")
+            yield target, "=", [Part((), Literal(m.start(group), m.end(group), m[group]))]
+            continue
+
+        if kind == "op":
+            op = m["op"]
+            if op == "+":
+                if pair is not None and not pair.want:
+                    pair.want, pair.joins = True, False
+                continue
+            if op not in _SET or before is None:
+                yield from done(frame)
+                continue
+            named = before.lastgroup == "name"
+            target = _plain(before["name"]) if named else before["string"][1:-1]
+            if pair is not None and pair.want and not pair.parts and not pair.crossed and op == "=":
+                if pair.op == ":" and pair.named and named:
+                    pair.op = "="  # name: type = value
+                    continue
+                if pair.op == "=":
+                    pair.targets.append(target)  # a = b = value
+                    continue
+            yield from done(frame)
+            if target:
+                frame.pair = pair = _Pair(target, op, named, _INDENT.match(text, line).end() - line)
+                if op == ":" and (block := _BLOCK.match(text, pos)):
+                    pair.parts += _lines(text, block.end(), _block_end(text, block.end(), pair.indent))
+                    pair.want, pos = False, block.end() - 1
+            continue
+
+        if kind == "triple":
+            end = text.find(m["triple"], pos)
+            if end >= 0:
+                into = pair if pair is not None and pair.want else frame.sink if pair is None else None
+                if pair is not None and into is None:
+                    yield from done(frame)
+                if into is not None:
+                    into.parts += _lines(text, pos, end)
+                    frames.append(_Frame(end))  # what it holds is read as text of its own
+            continue
+
+        if kind == "bracket":
+            if m[0] in _CLOSES:
+                yield from done(frame)
+                continue
+            into = pair if pair is not None and (pair.want or call == at) else frame.sink if pair is None else None
+            if matched is None and into is not None:
+                matched = _matched(text)
+            if into is not None and matched.get(at, -1) >= 0:
+                frames.append(_Frame(min(matched[at], frame.end), into, m[0] != "("))
+            else:
+                yield from done(frame)
+            continue
+
+        if kind == "string":
+            prev = m
+            key = _SET_NEXT.match(text, pos) is not None
+            inside = frame.sink is not None
+            if pair is not None and (pair.want or pair.joins and inside) and not (key and (pair.crossed or inside and not pair.want)):
+                pair.parts += _string(m)
+                pair.want, pair.joins = False, True
+            else:
+                yield from done(frame)
+                if pair is None and inside and not key:
+                    frame.sink.parts += _string(m)
+            continue
+
+        if kind == "name" or kind == "bare":
+            if m[0] == "\\" and text.startswith("\n", pos):
+                pos += 1  # the line goes on
+                prev = before
                 continue
-            k += 1
-
-
-def _target(tokens: list, k: int) -> str | None:
-    """The name that operator ``k`` assigns to; a type note is stepped over."""
-    m = tokens[k - 1][1]
-    if m["op"] is not None:
-        return None
-    if m["string"] is not None:
-        return m["string"][1:-1]
-    if m["name"] is None:
-        return None
-    if tokens[k][1]["op"] == "=" and k >= 3 and tokens[k - 2][1]["op"] == ":" and tokens[k - 3][1]["name"] is not None:
-        return tokens[k - 3][1]["name"]  # name: type = value
-    return m["name"].lstrip("-$@")
-
-
-def _value(tokens: list, k: int, text: str, end: int) -> tuple[list, int]:
-    """Parts of the value from token ``k`` on, and the token after it."""
-    parts: list[tuple[str, Literal | str]] = []
-    while k < len(tokens):
-        m = tokens[k][1]
-        if m["string"] is not None:
-            parts.append(("own", Literal(m.start() + 1, m.end() - 1, m["string"][1:-1])))
-            k += 1
-        elif m["url"] is not None or m["element"] is not None:
-            return parts, k
-        elif m["name"] is not None or m["bare"] is not None:
-            word = _BARE.match(text, m.start(), end)  # an unquoted value may go on over operators
-            nxt = tokens[k + 1][1] if k + 1 < len(tokens) else None
-            if nxt is not None and nxt["op"] in _SET and not re.search(r"\d", word[0]):
-                return parts, k  # "a: b = c": b is no value but a target or a type
-            if m["name"] is not None:
-                parts.append(("name", m["name"]))
-            scheme = m["name"] is not None and word[0].lower() in ("bearer", "basic")
-            if not scheme:
-                parts.append(("own", Literal(word.start(), word.end(), word[0].rstrip("."))))
-            while k < len(tokens) and tokens[k][1].start() < word.end():
-                k += 1
-            if scheme and k < len(tokens) and (word := _BARE.match(text, tokens[k][1].start(), end)):
-                parts.append(("own", Literal(word.start(), word.end(), word[0])))
-        else:
-            return parts, k + (m["op"] is None)
-        if not (k < len(tokens) and tokens[k][1]["op"] == "+"):
-            return parts, k
-        k += 1
-    return parts, k
+            prev = m if kind == "name" else None
+            into = pair if pair is not None and pair.want else frame.sink if pair is None else None
+            if into is None:
+                yield from done(frame)
+                into = frame.sink
+            if into is None:
+                continue
+            inside = frame.sink is not None
+            if inside:
+                end = max(_ITEM.match(text, at).end() if kind == "bare" or m[0][0] != "$" else 0, pos)
+                digit = bool(re.search(r"\d", text[at:end]))
+                key = _SET_NEXT.match(text, pos) is not None
+            else:
+                if at >= run_end:
+                    word = _BARE.match(text, at)
+                    run_end = word.end()
+                    last_digit = max((run_end - 1 - i for i, c in enumerate(reversed(word[0])) if c.isdigit()), default=-1)
+                end = max(run_end, pos)
+                digit = last_digit >= at
+                key = bool(_SET_NEXT.match(text, pos) or not digit and _SET_NEXT.match(text, end))
+            if key and (inside or not digit or into.crossed):
+                if into.crossed and into is pair:
+                    yield from done(frame)  # "a =", and the next line has a pair of its own
+                if not _SET_NEXT.match(text, pos):
+                    pos = end
+                continue
+            if into is pair and pair.crossed and not pair.parts and (not pair.indent < at - line or not _ALONE.match(text, end)):
+                yield from done(frame)
+                continue
+            called = text.startswith("(", pos)
+            subscript = kind == "name" and m[0].endswith("]")
+            names = ()
+            literal = None
+            if kind == "name" and not called:
+                names = (_plain(m[0]),)
+            scheme = kind == "name" and m[0].lower() in ("bearer", "basic")
+            if scheme:
+                names = ()
+            elif called or subscript:
+                end = pos
+            else:
+                if text[end - 1] == "+" and end > pos and text[end:end + 1] in ("\"", "'", "`", "\n", " ", "("):
+                    end -= 1  # the sum goes on
+                word = text[at:end]
+                if kind == "name":
+                    names += tuple(_plain(x) for x in word.split("+")[1:] if x)
+                if digit and (kind == "bare" or frame.listed) if inside else digit or not into.crossed:
+                    literal = Literal(at, end, word.rstrip("."))
+            if names or literal is not None:
+                into.parts.append(Part(names, literal))
+            call = pos if kind == "name" else -1
+            pos = max(pos, end) if not scheme else pos
+            if pos > m.end():
+                prev = None
+            if scheme and (word := _INDENT.match(text, pos)) and (rest := _BARE.match(text, word.end())):
+                into.parts.append(Part((), Literal(rest.start(), rest.end(), rest[0])))
+                pos, prev = rest.end(), None
+            if into is pair:
+                pair.want, pair.joins = False, False
+            continue
+
+        yield from done(frame)  # other: separators, signs
 
 
 class _Constant:
@@ -217,9 +432,9 @@ def lexed(text: str, least: float = LEAST) -> list[Span]:
     constants: dict[str, _Constant] = {}
     best: dict[tuple[int, int], Span] = {}
     for target, op, parts in pairs(text):
-        flows = {x for how, x in parts if how == "name" and x in constants}
-        # A bare word that names a constant is that constant.
-        value = [constants[x] if how == "name" else x for how, x in parts if (x in flows if how == "name" else x.text not in flows)]
+        value: list[Literal | _Constant] = []
+        for part in parts:  # a bare word that names a constant is that constant
+            value += [constants[x] for x in part.names if x in constants] or [part.literal] * (part.literal is not None)
         if op == "+=" and target in constants:
             value.insert(0, constants[target])
         constants[target] = constant = _Constant(value)
