@@ -74,3 +74,19 @@ def test_broadcast_and_shuffle_agree(spark, monkeypatch):
     want = rows(dc.contamination(d, bench))
     monkeypatch.setattr(dc, "maybe_broadcast", lambda df, *a, **k: common.maybe_broadcast(df, *a, limit=0))
     assert rows(dc.contamination(d, bench)) == want
+
+
+def test_proximity_finds_altered_words(spark):
+    item = "aa bb cc dd ee ff gg hh ii jj kk ll mm"
+    ws = item.split()
+    one = [" ".join(["x"] * k + [w if j != k else "other" for j, w in enumerate(ws)]) for k in range(13)]
+    two = [" ".join(w if j not in (k, (k + 5) % 13) else "changed" for j, w in enumerate(ws)) for k in range(13)]
+    three = [item.replace("aa", "o").replace("bb", "o").replace("cc", "o")]
+    texts = one + two + three
+    bench = spark.createDataFrame([(1, item)], BENCH)
+    for more in ([], ["bb cc dd ee " * 3]):  # other words are the rarest
+        got = rows(dc.proximity_matches(docs(spark, texts + more), bench, slop=0), "doc_id", "start")
+        assert got == [(k, k if k < 13 else 0) for k in range(26)]
+    # a word that the corpus lacks counts as altered everywhere
+    assert rows(dc.proximity_matches(docs(spark, [item.replace("aa", "zz")]), bench), "doc_id") == [(0,)]
+    assert rows(dc.proximity_matches(docs(spark, ["aa", "bb"]), spark.createDataFrame([(1, "aa bb")], BENCH), slop=0, least=0.5), "doc_id") == [(0,), (1,)]

@@ -78,10 +78,36 @@ def _anchors(ix: Index) -> DataFrame:
             .withColumn("pair", F.xxhash64("t1", "t2", "gap")))
 
 
-def candidates(ix: Index, slop: int = 0) -> DataFrame:
+def _spare_anchors(ix: Index, least: float) -> DataFrame:
+    """Per window pairs of its rarest words in the corpus, in the columns of
+    ``_anchors``: two words more than may be missing under ``least``, less those
+    that the corpus lacks, so that two of them are left in every match. Where one
+    word is enough for a match, each word is paired with itself."""
+    freq = stored(ix.postings.groupBy("term").agg(F.count("*").alias("n")), "decon-freq")
+    distinct = ix.terms.groupBy("wid", "term").agg(F.collect_list("off").alias("offs"))
+    ranked = (distinct.join(maybe_broadcast(freq), "term", "left")
+              .groupBy("wid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offs"))).alias("r")))
+    need = F.greatest(F.ceil(F.size("r") * F.lit(least) - 1e-9), F.lit(1)).cast("int")
+    present = F.filter("r", lambda c: c["n"] > 0)
+    spare = F.size("present") - F.col("need")  # of the present words, how many may be missing
+    placed = F.flatten(F.transform(F.slice("present", F.lit(1), spare + F.when(F.col("need") > 1, 2).otherwise(1)), lambda c: F.transform(
+        c["offs"], lambda o: F.struct(c["n"].alias("n"), c["term"].alias("term"), o.alias("off")))))
+    a, b = F.col("a"), F.col("b")
+    rarer = F.struct(a["n"], a["term"]) < F.struct(b["n"], b["term"])
+    return (ranked.select("wid", need.alias("need"), present.alias("present")).where(spare >= 0)
+            .select("wid", "need", placed.alias("placed"))
+            .select("wid", "need", "placed", F.explode("placed").alias("a"))
+            .select("wid", "need", "a", F.explode("placed").alias("b"))
+            .where(F.when(F.col("need") > 1, rarer).otherwise(a == b))
+            .select("wid", a["term"].alias("t1"), a["off"].alias("o1"), b["term"].alias("t2"), (b["off"] - a["off"]).alias("gap"))
+            .withColumn("pair", F.xxhash64("t1", "t2", "gap")))
+
+
+def candidates(ix: Index, slop: int = 0, least: float | None = None) -> DataFrame:
     """(doc, wid, w, items, start) where the two rarest words of a window stand
-    at their distance in the window, or within ``slop`` words of it."""
-    anchors = stored(_anchors(ix), "decon-anchors")
+    at their distance in the window, or within ``slop`` words of it; with
+    ``least`` any pair of words that a match must leave two of."""
+    anchors = stored(_anchors(ix) if least is None else _spare_anchors(ix, least), "decon-anchors")
     n = anchors.count()
     pairs = anchors.select("pair", "t1", "t2", "gap").distinct()
     left = (ix.postings.join(maybe_broadcast(pairs.select("pair", F.col("t1").alias("term")), n), "term")
@@ -97,9 +123,10 @@ def candidates(ix: Index, slop: int = 0) -> DataFrame:
     else:
         met = left.join(right.withColumnRenamed("p2", "p1"), ["doc", "pair", "p1"])
     spans = anchors.select("wid", "pair", "o1").join(ix.windows, "wid")
-    return (met.join(maybe_broadcast(spans, n), "pair")
-            .withColumn("start", F.col("p1") - F.col("o1"))
-            .select("doc", "wid", "w", "items", "start"))
+    found = (met.join(maybe_broadcast(spans, n), "pair")
+             .withColumn("start", F.col("p1") - F.col("o1"))
+             .select("doc", "wid", "w", "items", "start"))
+    return found if least is None else found.dropDuplicates(["doc", "wid", "start"])
 
 
 def _with_found(docs: DataFrame, found: DataFrame, carry: str, words: str) -> DataFrame:
@@ -159,12 +186,14 @@ def phrase_matches(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Dat
 
 def proximity_matches(docs: DataFrame, bench: DataFrame, slop: int = 3, least: float = 0.8,
                       size: int = WINDOW) -> DataFrame:
-    """Near matches: the two rarest words of a window stand within ``slop``
-    words of their distance, and at least ``least`` of the window's distinct
-    words lie in the stretch it would cover, widened by ``slop`` on both sides.
-    (doc_id, start, share, items), one row per place."""
+    """Near matches: two of a window's rarest words stand within ``slop`` words
+    of their distance, and at least ``least`` of the window's distinct words lie
+    in the stretch it would cover, widened by ``slop`` on both sides. So many
+    pairs are tried that any words may be altered as far as ``least`` allows.
+    (doc_id, start, share, items), one row per window and start; words put in or
+    left out between them can give a place several starts."""
     base = docs.select("doc_id", "text")
-    df = _with_found(base, candidates(build_index(base, bench, size), slop), "c", "ws")
+    df = _with_found(base, candidates(build_index(base, bench, size), slop, least), "c", "ws")
     lo = F.greatest(F.col("c.start") - slop, F.lit(0))
     stretch = F.slice("ws", lo + 1, F.greatest(F.col("c.start") + F.size("c.w") + slop - lo, F.lit(0)))
     share = F.size(F.array_intersect("c.w", stretch)) / F.size(F.array_distinct("c.w"))
