@@ -70,3 +70,15 @@ def test_frames(spark):
         assert 0 <= score <= 1 and (score > 0) == bool(labels)
     assert lic.scan(docs(spark, [])).count() == 0
     assert rows(lic.spans(docs(spark, ["x", None, "All rights reserved"])).selectExpr("doc_id", "size(found) as n")) == [(0, 0), (1, 0), (2, 1)]
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("licensed under GPLv3", ["gpl-3.0"]), ("You may use it under the GPL.", ["gpl"]), ("LGPL v2.1", ["lgpl-2.1"]), ("GPL-2.0+", ["gpl-2.0"]),
+    ("licensed under the GNU Lesser General Public License", ["lgpl"]), ("distributed under the terms of the AGPL, version 3", ["agpl-3.0"]),
+    ("released under the MPL 2.0", ["mpl-2.0"]), ("under the Eclipse Public License", ["epl"]), ("License: EPL-2.0", ["epl-2.0"]),
+    ("GNU Lesser GPL v3", ["lgpl-3.0"]), ("a BSD-style license", ["bsd"]), ("Licensed under the Apache License", ["apache"]), ('license = "GPL"', ["gpl"]),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ["gpl", "gpl-3.0"]),
+    ("You may obtain a copy of the License at\n http://www.apache.org/licenses/LICENSE-2.0", ["apache-2.0"]),
+    ("the GPL is long", []), ("a simple example 2.0 license", []), ("2-clause BSD license", ["bsd-2-clause"])])
+def test_abbreviations_and_versionless_names(text, labels):
+    assert [r.label for *_, r in lic.detections(text)] == labels

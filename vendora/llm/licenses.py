@@ -2,7 +2,8 @@
 
 Signatures are regular expressions written by hand per license (its name, its
 address) and per kind of notice (SPDX tag, "licensed under ...", "... license",
-address, well-known sentences); the rule table is their product. Each rule has a
+address, well-known sentences); the rule table is their product. Families add
+abbreviations and names without a version ("GPLv3", "under the GPL"). Each rule has a
 priority, a confidence and a gate: literals that must all stand in the text. One
 Aho-Corasick pass over the lower-cased text finds the literals, and only rules
 with open gates run. A detection contained in one of higher priority, or in a
@@ -117,6 +118,29 @@ LICENSES = [
     ("ecl-2.0", r"ECL-[12]\.0", r"educational community license", r"opensource\.org/licenses?/ecl"),
 ]
 
+# Families as (label without a version, [(name, its gate)], [(label,
+# version)]): abbreviations, and names that need no version.
+ONE, TWO, THREE = r"1(?:\.0)?", r"2(?:\.0)?", r"3(?:\.0)?"
+FAMILIES = [
+    ("gpl", [(r"(?:gnu )?gpl", "gpl"), (r"gnu general public license", "public")], [("gpl-1.0", ONE), ("gpl-2.0", TWO), ("gpl-3.0", THREE)]),
+    ("lgpl", [(r"(?:gnu )?lgpl", "lgpl"), (r"gnu (?:lesser|library) gpl", "gpl"), (r"gnu (?:lesser|library) general public license", "public")],
+     [("lgpl-2.0", TWO), ("lgpl-2.1", r"2\.1"), ("lgpl-3.0", THREE)]),
+    ("agpl", [(r"(?:gnu )?agpl", "agpl"), (r"(?:gnu )?affero gpl", "gpl"), (r"(?:gnu )?affero general public license", "affero")], [("agpl-3.0", THREE)]),
+    ("mpl", [(r"mpl", "mpl"), (r"mozilla public license", "mozilla")], [("mpl-1.0", ONE), ("mpl-1.1", r"1\.1"), ("mpl-2.0", TWO)]),
+    ("epl", [(r"epl", "epl"), (r"eclipse public license", "eclipse")], [("epl-1.0", ONE), ("epl-2.0", TWO)]),
+    ("eupl", [(r"eupl", "eupl")], [("eupl-1.1", r"1\.1"), ("eupl-1.2", r"1\.2")]),
+    ("apache", [(r"apache(?: software)? license", "apache")], [("apache-1.1", r"1\.1"), ("apache-2.0", TWO)]),
+    ("artistic", [(r"artistic license", "artistic")], [("artistic-1.0", ONE), ("artistic-2.0", TWO)]),
+    ("bsd", [(r"bsd(?: style)?", "bsd")], []),
+    ("cddl-1.0", [(r"cddl", "cddl")], [("cddl-1.0", r"1\.[01]")]),
+    ("gfdl", [(r"(?:gnu )?g?fdl", "fdl")], [("gfdl", r"1\.[1-3]")]),
+    ("ofl-1.1", [(r"(?:sil )?ofl", "ofl")], [("ofl-1.1", r"1\.1")]),
+    ("odbl-1.0", [(r"odbl", "odbl")], [("odbl-1.0", ONE)]),
+    ("sspl-1.0", [(r"sspl", "sspl")], [("sspl-1.0", ONE)]),
+    ("busl-1.1", [(r"busl", "busl")], [("busl-1.1", r"1\.1")]),
+    ("bsl-1.0", [(r"boost license", "boost")], [("bsl-1.0", ONE)]),
+]
+
 # Sentences that identify a license or a claim by themselves.
 SENTENCES = [
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy"),
@@ -125,6 +149,14 @@ SENTENCES = [
     ("gpl", r"under the terms of the gnu general public license"),
     ("lgpl", r"under the terms of the gnu lesser general public license"),
     ("agpl", r"under the terms of the gnu affero general public license"),
+    ("gpl-2.0", r"gnu general public license as published by the free software foundation either version 2"),
+    ("gpl-3.0", r"gnu general public license as published by the free software foundation either version 3"),
+    ("lgpl-2.1", r"gnu lesser general public license as published by the free software foundation either version 2\.1"),
+    ("lgpl-3.0", r"gnu lesser general public license as published by the free software foundation either version 3"),
+    ("agpl-3.0", r"gnu affero general public license as published by the free software foundation either version 3"),
+    ("apache-2.0", r"you may not use this file except in compliance with the license\. you may obtain a copy of the license at https?: www\.apache\.org licenses license 2\.0"),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license v\. 2\.0"),
+    ("epl-2.0", r"this program and the accompanying materials are made available under the terms of the eclipse public license v?\.? ?2\.0"),
     ("wtfpl", r"you just do what the fuck you want to"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("public-domain", r"(?:dedicated|released) (?:in)?to the public domain"),
@@ -138,7 +170,7 @@ SENTENCES = [
 # Every gate has a literal with one of these in it, so a text
 # without any of them is done after a few substring searches.
 ROOTS = (b"licen", b"spdx", b"under", b"public", b"rights", b"confidential", b"permission", b"redistribution", b"altered",
-         b"want", b".org", b".com", b".net", b".info", b".eu", b".dev", b".co")
+         b"gpl", b"want", b".org", b".com", b".net", b".info", b".eu", b".dev", b".co")
 
 
 class Rule(NamedTuple):
@@ -172,6 +204,9 @@ def _literals(expr: str) -> frozenset[str]:
 LEAD = re.compile(r"(?:licen[sc]ed|released|distributed|available|published|provided)[\s,-]+under[\s,-]+(?:the[\s,-]+|an?[\s,-]+)?"
                   r"(?:terms[\s,-]+of[\s,-]+)?(?:the[\s,-]+)?")
 END = r"(?![a-z0-9])"
+UNDER = r"under[\s,-]+(?:the[\s,-]+|an?[\s,-]+)?(?:terms[\s,-]+of[\s,-]+)?(?:the[\s,-]+)?"
+FIELD = r"licen[sc]es?[\"']?[ \t]*[:=][ \t]*[\"']?"
+VERSION = r"(?:[\s,-]*v(?:ersion|\.)?\s*|[\s-]*)"
 ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")  # what may not stand before a match
 
 
@@ -189,6 +224,17 @@ def rules() -> list[Rule]:
                         re.compile(_spaced(name) + END + r"(?:[\s,]+(?:public[\s]+)?licen[sc]e\b)?")))
         out.append(Rule(label, "name", 60, 0.7, _literals(name) | {"licen"},
                         re.compile(_spaced(name) + (END if "licen" in name else r"[\s,-]+licen[sc]e" + END))))
+    for family, names, versions in FAMILIES:
+        for label, version in [(family, None), *versions]:
+            for name, gate in names:
+                full = _spaced(name) + (rf"{VERSION}{version}(?!\.\d)" if version else "") + END
+                more = r"(?:[\s,-]+licen[sc]e\b)?"
+                out.append(Rule(label, "notice", 80, 0.9, frozenset({gate, "under"}), re.compile(full + more)))
+                out.append(Rule(label, "under", 75, 0.8, frozenset({gate, "under"}), re.compile(UNDER + full + more)))
+                out.append(Rule(label, "field", 65, 0.8, frozenset({gate, "licen"}), re.compile(FIELD + full)))
+                alone = "licen" in name or version  # a bare abbreviation says nothing
+                out.append(Rule(label, "name", 60, 0.7, frozenset({gate} if version and "gpl" in gate else {gate, "licen"}),
+                                re.compile(full if alone else _spaced(name) + r"[\s,-]+licen[sc]ed?" + END)))
     for label, text in SENTENCES:
         out.append(Rule(label, "sentence", 70, 0.8, _literals(text), re.compile(_spaced(text))))
     return sorted(out, key=lambda r: -r.priority)
