@@ -87,3 +87,17 @@ def test_decode_lists_every_filter():
     words = [np.concatenate([code.words[k][i // 8 ** (3 - k) % 8] for k in range(4)]) for i in range(4096)] if len(code.words) == 4 else None
     if words is not None:
         assert np.allclose(x @ code.rotation @ np.array(words).T, full)
+
+
+def test_lower_cosines_are_searched_as_such(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((250, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((250, 32))
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.81 * x + np.sqrt(1 - 0.81**2) * z
+    classes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*x, *y])], "id long, v array<double>")
+    got = {(r.a, r.b) for r in sp.links(classes, 0.8).collect()}
+    assert sum((i, i + 250) in got for i in range(250)) >= 0.9 * 250
+    assert sp.sign_bits(0.95) == 20 and sp.sign_bits(0.8) > 25

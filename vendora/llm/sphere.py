@@ -15,8 +15,9 @@ calibrated for dimension and code by seeded random pairs at exactly the wanted
 cosine: the largest height at which ``RECALL`` of them share a filter of some
 code. Closer pairs share more. All depends on seeds only, so tasks agree.
 
-Vectors that share a filter are compared by 64 sign bits first (``SIGN_BITS``
-may differ, which a pair at cosine 0.95 exceeds less than once in ten million);
+Vectors that share a filter are compared by 64 sign bits first (``sign_bits`` of
+the wanted cosine may differ, 20 at 0.95, which a pair at just that cosine exceeds
+less than once in a million);
 what remains is joined with the vectors and verified by its cosine in doubles.
 Only ids and sign bits travel with the filters, not the vectors.
 
@@ -33,6 +34,7 @@ row by row; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,7 +49,7 @@ from vendora.llm.components import components
 COSINE = 0.95
 RECALL = 0.97
 CODES = 16
-SIGN_BITS = 20
+MISS = 1e-6  # chance that a pair at the wanted cosine differs in more than ``sign_bits``
 CELL = 1024
 SEED = 20
 PAIRS = 400   # of a calibration
@@ -144,6 +146,14 @@ def height(dim: int, size: int, cosine: float = COSINE, recall: float = RECALL)
     return float(np.quantile(meet, 1 - single))
 
 
+@lru_cache(maxsize=64)
+def sign_bits(cosine: float) -> int:
+    """The sign bits of 64 in which a pair at ``cosine`` may differ: each differs
+    with the angle's share of a half turn. Above ``COSINE`` as many as there."""
+    p = math.acos(max(min(cosine, COSINE), -1.0)) / math.pi
+    return next(b for b in range(65) if math.fsum(math.comb(64, k) * p**k * (1 - p)**(64 - k) for k in range(b + 1, 65)) < MISS)
+
+
 def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     """(rows, lengths one): indexes and unit vectors of the usable ones among
     vectors of equal length."""
@@ -154,7 +164,7 @@ def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return ok, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _filters(size: int):
+def _filters(size: int, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["id"].to_numpy()
@@ -170,15 +180,16 @@ def _filters(size: int):
                     for k, code in enumerate(codes(int(dim), size)):
                         if k == 0:
                             signs = code.signs(x)
-                        row, number = code.decode(*code.sums(x), height(int(dim), size))
+                        row, number = code.decode(*code.sums(x), height(int(dim), size, min(cosine, COSINE)))
                         name = np.uint64(dim) * np.uint64(CODES) + np.uint64(k)  # of the code; mixed so that filters spread
                         key = (number.astype(np.uint64) + (name << np.uint64(40))).view(np.int64)
                         yield pa.RecordBatch.from_pydict({"filter": key, "id": ids[some[row]], "signs": signs[row]})
     return run
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (filter, c, d, cell, id, signs) to (a, b) pairs whose signs are close."""
+def _pairs(bits: int):
+    """Sorted (filter, c, d, cell, id, signs) to (a, b) pairs whose signs differ in
+    ``bits`` at most."""
     def compare(part: list[np.ndarray]) -> pa.RecordBatch:
         keys, cell, ids, signs = part[:3], part[3], part[4], part[5].view(np.uint64)
         change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
@@ -187,7 +198,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, e in zip(starts.tolist(), [*change.tolist(), len(ids)], strict=True):
             if e - s < 2:
                 continue
-            near = np.bitwise_count(signs[s:e, None] ^ signs[None, s:e]) <= SIGN_BITS
+            near = np.bitwise_count(signs[s:e, None] ^ signs[None, s:e]) <= bits
             i, j = np.nonzero(np.triu(near, 1))
             if keys[1][s] != keys[2][s]:
                 apart = cell[s + i] != cell[s + j]
@@ -197,20 +208,22 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
         return pa.RecordBatch.from_pydict({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
-    names = ("filter", "c", "d", "cell", "id", "signs")
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [batch[n].to_numpy() for n in names]
-        now = now if held is None else [np.concatenate(p) for p in zip(held, now, strict=True)]
-        last = np.logical_and.reduce([k == k[-1] for k in now[:3]])
-        cut = len(last) - int(last.sum())
-        if cut:
-            yield compare([x[:cut] for x in now])
-        held = [x[cut:] for x in now]
-    if held is not None:
-        yield compare(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("filter", "c", "d", "cell", "id", "signs")
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch[n].to_numpy() for n in names]
+            now = now if held is None else [np.concatenate(p) for p in zip(held, now, strict=True)]
+            last = np.logical_and.reduce([k == k[-1] for k in now[:3]])
+            cut = len(last) - int(last.sum())
+            if cut:
+                yield compare([x[:cut] for x in now])
+            held = [x[cut:] for x in now]
+        if held is not None:
+            yield compare(held)
+    return run
 
 
 def _verified(cosine: float):
@@ -234,7 +247,7 @@ def _verified(cosine: float):
 def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(a, b, cosine) of different vectors of ``classes`` (id, v)."""
     size = directions(classes.count())
-    rows = stored(classes.mapInArrow(_filters(size), "filter long, id long, signs long"), "sphere-filters")
+    rows = stored(classes.mapInArrow(_filters(size, cosine), "filter long, id long, signs long"), "sphere-filters")
     hot = (rows.groupBy("filter").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
            .select("filter", F.ceil(F.col("n") / CELL).cast("int").alias("cells")))
     hot = stored(hot, "sphere-hot")
@@ -244,7 +257,7 @@ def links(classes: DataFrame, cosine: float = COSINE) -> DataFrame:
              .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
              .select("filter", F.least("cell", "other").alias("c"), F.greatest("cell", "other").alias("d"), "cell", "id", "signs"))
     pairs = (dealt.repartition("filter", "c", "d").sortWithinPartitions("filter", "c", "d")
-             .mapInArrow(_pairs, "a long, b long").distinct())
+             .mapInArrow(_pairs(sign_bits(cosine)), "a long, b long").distinct())
     same = F.size("x") == F.size("y")
     return (pairs.join(classes.toDF("a", "x"), "a").join(classes.toDF("b", "y"), "b").where(same)
             .select("a", "b", "x", "y").mapInArrow(_verified(cosine), "a long, b long, cosine double"))
