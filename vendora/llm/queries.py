@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendora.llm import chat, decontaminate, licenses, linededup, mixing, quality, secretscan, simhash, sphere, urlfilter
+from vendora.llm import chat, decontaminate, licenses, linededup, merkle, mixing, quality, secretscan, simhash, sphere, urlfilter
 from vendora.llm.common import table
-from vendora.llm.sql import ORACLE_OP1, ORACLE_OP4, ORACLE_OP5, ORACLE_OP8, ORACLE_OP10
+from vendora.llm.sql import ORACLE_OP1, ORACLE_OP4, ORACLE_OP5, ORACLE_OP8, ORACLE_OP10, ORACLE_OP11
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .select(F.col("doc_id").alias("page_id"),
                         F.coalesce(F.expr("quality <=> 0 or toxic <=> 1"), F.lit(False)).alias("bad")))
     return urlfilter.judge(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
+
+
+@query(ORACLE_OP11)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row proved, then a fifth of the rows tampered with and folded again."""
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))

@@ -122,3 +122,49 @@ kept AS (SELECT rid, count(*) AS n, count(*) FILTER (WHERE g.no IS NOT NULL) AS
 SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE k.n END AS n_lines, coalesce(dropped, 0) AS n_dropped,
        CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text
 FROM d LEFT JOIN kept k USING (rid)"""
+
+
+def _merkle_sql(leaf_levels: int = 6, source_levels: int = 3, fan: int = 16) -> str:
+    """The manifest level by level, enough of them for ``fan`` to their power."""
+    def field(column: str) -> str:
+        return f"CASE WHEN {column} IS NULL THEN '-' ELSE CAST(strlen(CAST({column} AS VARCHAR)) AS VARCHAR) || ':' || {column} END"
+    own = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = f"translate(text, '{UPPER}', '{LOWER}')"
+    # CRC-32 bit by bit: each byte is mixed in, then eight shifts (marked -1).
+    crc = ("list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: "
+           "[CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: "
+           "CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)")
+    sql = f"""
+WITH d AS (SELECT doc_id, source, sha256({own} || {field('text')}) AS leaf, sha256({own} || {field(lower)}) AS low,
+                  coalesce(xor({crc}, 4294967295) % 5 = 0, false) AS tampered FROM documents),
+l AS (SELECT doc_id, source, leaf, CASE WHEN tampered THEN low ELSE leaf END AS now, count(*) OVER (PARTITION BY source) AS m,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+p AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS m FROM (SELECT DISTINCT source FROM l)),
+n0 AS (SELECT source, i, m, leaf AS h FROM l)"""
+    for k in range(leaf_levels):
+        sql += f""",
+r{k} AS (SELECT source, i // {fan} AS i, any_value(m) AS was, (any_value(m) + {fan - 1}) // {fan} AS m, list(h ORDER BY i) AS hs FROM n{k} GROUP BY source, i // {fan}),
+n{k + 1} AS (SELECT source, i, m, CASE WHEN was > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM r{k})"""
+    sql += f""",
+t0 AS (SELECT place AS i, p.m, h FROM n{leaf_levels} JOIN p ON n{leaf_levels}.source IS NOT DISTINCT FROM p.source)"""
+    for k in range(source_levels):
+        sql += f""",
+u{k} AS (SELECT i // {fan} AS i, any_value(m) AS was, (any_value(m) + {fan - 1}) // {fan} AS m, list(h ORDER BY i) AS hs FROM t{k} GROUP BY i // {fan}),
+t{k + 1} AS (SELECT i, m, CASE WHEN was > 1 THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM u{k})"""
+    sql += """,
+f0 AS (SELECT l.doc_id, l.source, l.leaf, l.now AS h, l.i, p.place, '' AS proof FROM l JOIN p ON l.source IS NOT DISTINCT FROM p.source)"""
+    steps = [(f"r{k}", "i", k, "f.source IS NOT DISTINCT FROM r.source AND ") for k in range(leaf_levels)]
+    steps += [(f"u{k}", "place", k, "") for k in range(source_levels)]
+    for at, (run, rank, k, same) in enumerate(steps):
+        digit = f"(f.{rank} // {fan ** k}) % {fan}"
+        left, right = f"array_to_string(hs[1:{digit}], '')", f"array_to_string(hs[{digit} + 2:], '')"
+        sql += f""",
+f{at + 1} AS (SELECT f.doc_id, f.source, f.leaf, CASE WHEN r.was > 1 THEN sha256({left} || f.h || {right}) ELSE f.h END AS h, f.i, f.place,
+       f.proof || {left} || {right} AS proof
+       FROM f{at} f JOIN {run} r ON {same}r.i = f.{rank} // {fan ** (k + 1)})"""
+    return sql + f"""
+SELECT f.doc_id, f.leaf, t0.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM f{len(steps)} f JOIN t0 ON t0.i = f.place CROSS JOIN t{source_levels} r"""
+
+
+ORACLE_OP11 = _merkle_sql()
