@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendora.llm import chat, decontaminate, licenses, linededup, merkle, mixing, quality, secretscan, simhash, sphere, urlfilter
+from vendora.llm import chat, decontaminate, divergence, licenses, linededup, merkle, mixing, quality, secretscan, simhash, sphere, urlfilter
 from vendora.llm.common import table
-from vendora.llm.sql import ORACLE_OP1, ORACLE_OP4, ORACLE_OP5, ORACLE_OP8, ORACLE_OP10, ORACLE_OP11
+from vendora.llm.sql import ORACLE_OP1, ORACLE_OP4, ORACLE_OP5, ORACLE_OP8, ORACLE_OP10, ORACLE_OP11, ORACLE_OP13
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -93,3 +93,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row proved, then a fifth of the rows tampered with and folded again."""
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
+@query(ORACLE_OP13)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
