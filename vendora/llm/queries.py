@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vendora.llm import chat, decontaminate, divergence, licenses, linededup, merkle, mixing, quality, secretscan, simhash, sphere, urlfilter
+from vendora.llm import chat, decontaminate, divergence, licenses, linededup, merkle, mixing, pii, quality, secretscan, simhash, sphere, urlfilter
 from vendora.llm.common import table
 from vendora.llm.sql import ORACLE_OP1, ORACLE_OP4, ORACLE_OP5, ORACLE_OP8, ORACLE_OP10, ORACLE_OP11, ORACLE_OP13
 
@@ -98,3 +98,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE_OP13)
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
