@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vendora.operators.customer import interarrival_gaps
-from vendora.operators.ranking import exact_percentiles, rank_desc, rank_desc_of, top_rank_sums
+from vendora.operators.ranking import exact_percentiles, rank_desc, rank_desc_of, top_rank_sums, with_cell
+from vendora.operators.trend import trend_by
 
 
 def _values(seed=7, n=400):
@@ -151,6 +152,20 @@ def test_share_within_keys_and_bucket_table(spark):
     assert got == [("small", 1, 1, 33.33), ("mid", 1, 3, 33.33), ("big", 1, 5, 33.33)]
 
 
+def test_runs_follow_the_counted_rows(spark, monkeypatch):
+    """A hundred times the rows of an entity make about a hundred times the runs."""
+    from vendora.operators import customer
+    kept = []
+    monkeypatch.setattr(customer, "with_cell", lambda *a: kept.append(with_cell(*a)) or kept[-1])
+    runs = {}
+    for n in (2_000, 200_000):
+        df = spark.range(n).selectExpr("'hot' as p", "timestamp_ntz'2017-01-01' + make_dt_interval(0, 0, 0, id) as ts")
+        gaps = interarrival_gaps(df, "p", "ts", run=500)
+        assert {(int(r["gap_us"]), r["n"]) for r in gaps.groupBy("gap_us").agg(F.sum("w").alias("n")).collect()} == {(1_000_000, n - 1)}
+        runs[n] = kept[-1].groupBy("__at").count().count()
+    assert 2 <= runs[2_000] <= 8 and 250 <= runs[200_000] <= 600
+
+
 def test_gap_cells_follow_a_burst_and_a_late_event(spark):
     import datetime as dt
     import re as _re
@@ -257,3 +272,67 @@ def test_master_frame_without_a_key_list(spark, duck):
       LEFT JOIN sellers USING (seller_id)
       LEFT JOIN (FROM order_payments WHERE payment_sequential = 1) USING (order_id) LEFT JOIN order_reviews USING (order_id)""")).fetchone()
     assert [float(x) for x in facts] == [float(x) for x in want]
+
+
+@pytest.mark.parametrize("unit, starts", [("month", ["2016-11-01", "2016-12-01", "2017-01-01", "2017-02-01", "2017-03-01"]),
+                                          ("week", ["2016-11-28", "2016-12-05", "2016-12-12"]), ("year", ["2015-01-01", "2016-01-01", "2017-01-01"]),
+                                          ("quarter", ["2016-10-01", "2017-01-01", "2017-04-01"])])
+def test_densified_trend_steps_by_the_calendar(spark, unit, starts):
+    import datetime as dt
+    days = [dt.datetime.fromisoformat(d) for d in starts]
+    rows = [("a", days[0], 5), ("a", days[0] + dt.timedelta(hours=30), 2), ("a", days[-1], 9), ("b", days[1], 4), (None, days[-1], 1), ("a", None, 100)]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("k", T.StringType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("v", T.LongType())]))
+    got = {(r["k"], r["period"]): (r["value"], r["prev"], r["roll_sum"], r["roll_n"])
+           for r in trend_by(df, "ts", unit, F.sum("v"), window=2, keys=["k"], dense=True, fill=0).collect()}
+    want = {}
+    for k in ("a", "b", None):
+        value = [sum(v for kk, t, v in rows if kk == k and t is not None and d <= t < (days[i + 1] if i + 1 < len(days) else dt.datetime.max))
+                 for i, d in enumerate(days)]
+        for i, d in enumerate(days):
+            want[k, d] = (value[i], value[i - 1] if i else None, sum(value[max(i - 1, 0):i + 1]), min(i + 1, 2))
+    assert got == want
+    # Not filled: an added period is NULL and does not count in the frames; not dense: it is skipped.
+    plain = df.where("k = 'a'")
+    empty = [r["value"] for r in trend_by(plain, "ts", unit, F.sum("v"), dense=True).orderBy("period").collect()]
+    assert empty == [7, *[None] * (len(days) - 2), 9]
+    assert [r["prev"] for r in trend_by(plain, "ts", unit, F.sum("v")).orderBy("period").collect()] == [None, 7]
+    assert trend_by(df.where("false"), "ts", unit, F.sum("v"), keys=["k"], dense=True).count() == 0
+
+
+def test_periods_without_start_stay_when_densified(spark):
+    from vendora.operators.trend import densify
+    df = spark.sql("select timestamp_ntz'2017-01-01' as m, 1 as v union all select timestamp_ntz'2017-03-01', 3 union all select null, 7")
+    got = sorted(((r["m"] is None, r["m"].month if r["m"] else 0, r["v"]) for r in densify(df, "m", "month", {"v": -1}).collect()))
+    assert got == [(False, 1, 1), (False, 2, -1), (False, 3, 3), (True, 0, 7)]
+
+
+@pytest.mark.parametrize("buckets", [None, 1, 7])
+def test_tail_sums_match_brute_force(spark, buckets):
+    from decimal import Decimal
+    from vendora.operators.ranking import tail_sums
+    rnd = random.Random(8)
+    rows = [(Decimal(rnd.randint(0, 400)) / 4 if rnd.random() > .1 else None, rnd.randint(0, 9), rnd.randint(0, 9) if rnd.random() > .3 else None) for _ in range(500)]
+    df = spark.createDataFrame(rows, "v decimal(8,2), a int, b int")
+    vals = sorted(r[0] for r in rows if r[0] is not None)
+    for point in (0, 37, 90, 100):
+        at = (len(vals) - 1) * point
+        low, up = vals[at // 100], vals[min(at // 100 + (at % 100 > 0), len(vals) - 1)]
+        limit = low + (up - low) * (at % 100) / 100
+        over = [r for r in rows if r[0] is not None and r[0] >= limit]
+        got = tail_sums(df, "v", point, sums=["a", "b"], buckets=buckets).first()
+        assert got["n"] == len(over) and int(got["total"]) == sum(int(r[0] * 100) for r in over)
+        assert (got["lo"], got["hi"]) == (int(min(r[0] for r in over) * 100), int(max(r[0] for r in over) * 100))
+        assert (got["a"], got["b"]) == (sum(r[1] for r in over), sum(r[2] or 0 for r in over))
+    none = tail_sums(df.where("false"), "v", 90, sums=["a"]).first()
+    assert none["n"] == 0 and none["a"] is None
+
+
+def test_branches_over_a_whole_fold_share_its_shuffle(spark):
+    from vendora.operators.ranking import whole
+    fold = whole(spark.range(100).selectExpr("id % 7 as k", "id as a", "-id as b").groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    both = fold.select("k", "a").join(fold.select("k", F.col("b")), "k")
+    assert both.count() == 7
+    plan = fold.agg(F.max("a").alias("x")).crossJoin(fold.agg(F.min("b").alias("x2")))
+    plan.collect()
+    final = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from vendora.functions.calendar import calendar_days_between, elapsed_us, period_start, whole_days_elapsed
 from vendora.functions.exact import BIG, cents
-from vendora.operators.ranking import BUCKETS, chosen_by_hash, cut_levels, spaced_cuts, with_cell
+from vendora.operators.ranking import OVERSAMPLE, chosen_by_hash, cut_levels, every_cut, whole, with_cell
+
+RUN = 1 << 20  # distinct timestamps of one entity that are sorted together
+
 
 def interarrival_gaps(df: DataFrame, entity: str, ts: str,
-                      cells: int | None = None, with_entities: bool = False):
+                      cells: int | None = None, with_entities: bool = False, run: int = RUN):
     """Gaps between consecutive events of each entity (``LAG`` over ts).
 
     Output rows ``(entity, gap_us, w)``: ``w`` rows of the literal
@@ -25,46 +28,49 @@ def interarrival_gaps(df: DataFrame, entity: str, ts: str,
     timestamps sort last (PostgreSQL), so an entity with both NULL and
     non-NULL timestamps has one gap row whose value is NULL.
 
-    Events first collapse to distinct ``(entity, ts)`` with multiplicity. Their
-    order by (entity, ts) is cut into ``cells`` runs of about equally many rows
-    (cuts from a sample by hash, as in ``ranking``): a hot entity, a burst or a
-    far-off date spans as many cells as its rows need, and small entities share
-    one. The lag runs within a cell, whose number is what the shuffle deals by;
-    gaps across borders come from the first and last row of each cell.
+    Events first collapse to distinct ``(entity, ts)`` with multiplicity. The lag
+    runs per entity, and an entity of more than ``run`` rows is cut into runs of
+    about that many: its number of runs follows its counted rows, its cuts are
+    evenly spaced values of a sample of them by hash, so a burst or a far-off date
+    spans as many runs as its rows need. Only rows of such entities look anything
+    up. Gaps across runs come from the first and last row of each. ``cells``
+    instead of ``run`` gives the largest entity about that many runs.
 
     With ``with_entities`` the result is ``(gaps, entities)``; ``entities``
     has one row per entity: ``n_ts`` (non-NULL timestamps), ``n_null``.
     """
-    count = cells or BUCKETS
-    key = F.struct(F.col(entity).alias("e"), F.col(ts).isNull().alias("z"), F.col(ts).alias("t"))
-    folded = df.where(F.col(entity).isNotNull()).groupBy(entity, ts).agg(F.count(F.lit(1)).alias("__m"))
-    size = folded.agg(F.count(F.when(F.col("__m") > 0, F.lit(1))).alias("__rows"))
-    chosen = chosen_by_hash(F.col("__rows"), count, F.col(entity), F.col(ts)) & (F.col("__m") > 0)
-    cuts = (folded.crossJoin(F.broadcast(size))
-            .agg(F.sort_array(F.collect_list(F.when(chosen, key))).alias("__s"))
-            .select(spaced_cuts(F.col("__s"), count).alias("__s"))
-            .select(*[c.alias(f"__c{i}") for i, c in enumerate(cut_levels(F.col("__s")))]))
-    ev = (with_cell(folded.crossJoin(F.broadcast(cuts)).withColumn("__k", key), "__k", ["__c0", "__c1", "__c2"], "__cell")
-          .select(entity, ts, "__m", "__cell"))
-    order = [F.col(entity), F.col(ts).asc_nulls_last()]
-    w = Window.partitionBy("__cell").orderBy(*order)
-    seen = ev.withColumns({"__pe": F.lag(entity).over(w), "__pt": F.lag(ts).over(w), "__ne": F.lead(entity).over(w)})
-
-    def gap(rows: DataFrame) -> DataFrame:
-        """One gap per row whose predecessor is of the same entity."""
-        return rows.where(F.col("__pe") == F.col(entity)).select(
-            entity, elapsed_us(F.col("__pt"), F.col(ts)).cast(BIG).alias("gap_us"),
-            F.least(F.col("__m"), F.lit(1)).cast("long").alias("w"))  # reads the count: all branches share one fold
-    # Ends of cells, at most two each: the predecessor of a first row is the last one before.
-    ends = seen.where(F.col("__pe").isNull() | F.col("__ne").isNull())
-    across = Window.orderBy("__cell", *order)
-    ends = (ends.withColumn("__first", F.col("__pe").isNull())
-            .withColumns({"__pe": F.lag(entity).over(across), "__pt": F.lag(ts).over(across)}).where("__first"))
-    # Repeated timestamps: m copies give m - 1 zero gaps.
-    # (One predicate over fold and count: a bare null filter would be pushed below the fold.)
-    zeros = folded.where(F.when(F.col(ts).isNotNull(), F.col("__m")) > 1).select(
-        entity, F.lit(0).cast(BIG).alias("gap_us"), (F.col("__m") - 1).cast("long").alias("w"))
-    gaps = gap(seen).unionByName(gap(ends)).unionByName(zeros)
+    # ``whole``: every branch reads the same fold.
+    folded = whole(df.where(F.col(entity).isNotNull()).groupBy(entity, ts).agg(F.count(F.lit(1)).alias("__m")))
+    share = F.lit(OVERSAMPLE / run)
+    sample = folded.where(F.col(ts).isNotNull())
+    if cells:
+        most = folded.groupBy(entity).agg(F.count("__m").alias("__n")).agg((cells * OVERSAMPLE / F.max("__n")).alias("__share"))
+        sample, share = sample.crossJoin(F.broadcast(most)), F.col("__share")
+    # One row in ``run / OVERSAMPLE``: entities of fewer rows than a run have too few for a cut.
+    cuts = (sample.where(chosen_by_hash(share, F.col(entity), F.col(ts))).withColumnRenamed(entity, "__e")
+            .groupBy("__e").agg(every_cut(F.sort_array(F.collect_list(ts))).alias("__s"))
+            .where(F.size("__s") > 0).select("__e", *[c.alias(f"__c{i}") for i, c in enumerate(cut_levels(F.col("__s")))]))
+    levels = ["__c0", "__c1", "__c2"]
+    # At most one cut in about ``run`` rows of all: small, and broadcast so that the rows are dealt by run, not by entity.
+    placed = with_cell(folded.join(F.broadcast(cuts), F.col(entity) == F.col("__e"), "left"), ts, levels, "__at")
+    # Without cuts an entity is one run; NULL timestamps follow the last cut.
+    at = F.when(F.col("__c0").isNull(), F.lit(0)).when(F.col(ts).isNull(), F.size("__c0")).otherwise(F.col("__at"))
+    ev = placed.select(entity, ts, "__m", at.cast("long").alias("__cell"), F.col("__c0").isNotNull().alias("__cut"))
+    order = F.col(ts).asc_nulls_last()
+    w = Window.partitionBy("__cell", entity).orderBy(order)
+    place = F.row_number().over(w)
+    seen = ev.withColumns({"__pt": F.lag(ts).over(w), "__first": place == 1, "__last": F.lead("__m").over(w).isNull()})
+
+    # Ends of the runs of cut entities, two each: what stands before a first row is the last one of an earlier run.
+    across = Window.partitionBy(entity).orderBy("__cell", order)
+    ends = seen.where(F.col("__cut") & (F.col("__first") | F.col("__last")))
+    ends = ends.withColumns({"__pt": F.lag(ts).over(across), "__n": F.row_number().over(across)}).where(F.col("__first") & (F.col("__n") > 1))
+    # Repeated timestamps: m copies give m - 1 zero gaps, beside the one to the row before.
+    zero, long = F.lit(0).cast(BIG), F.lit(1).cast("long")
+    here = F.array(F.struct(elapsed_us(F.col("__pt"), F.col(ts)).cast(BIG).alias("gap_us"), F.when(F.col("__first"), 0).otherwise(long).alias("w")),
+                   F.struct(zero.alias("gap_us"), F.when(F.col(ts).isNotNull(), F.col("__m") - 1).otherwise(0).cast("long").alias("w")))
+    gaps = (seen.select(entity, F.explode(here).alias("g")).select(entity, "g.gap_us", "g.w").where("w > 0")
+            .unionByName(ends.select(entity, elapsed_us(F.col("__pt"), F.col(ts)).cast(BIG).alias("gap_us"), long.alias("w"))))
     if with_entities:
         known = F.when(F.col(ts).isNotNull(), F.col("__m"))
         entities = folded.groupBy(entity).agg(

@@ -8,8 +8,8 @@ here without ever sending the data through one task:
 
 1. ``groupBy(v).count()`` - duplicates collapse map-side, so a value held by a
    third of all rows is one row after the partial aggregate;
-2. the distinct values are cut into ``BUCKETS`` ranges that hold about equally
-   many of them, wherever they lie: the cuts are taken from a sample of the
+2. the distinct values are cut into ranges that hold about equally many of them,
+   wherever they lie (one per ``VALUES`` of them, ``BUCKETS`` at most): the cuts are taken from a sample of the
    distinct values chosen by their hash, so an outlier or a dense spot moves the
    cuts and not the load, and every branch of a plan and every retry finds the
    same cuts. Bucket totals (one row per bucket) give each bucket its offset;
@@ -32,22 +32,12 @@ from pyspark.sql import types as T
 
 from vendora.functions.exact import BIG, idiv
 
-BUCKETS = 1024   # value ranges; the cuts ride with each row that is placed, so they are few
+BUCKETS = 1024   # most value ranges; the cuts ride with each row that is placed, so they are few
+VALUES = 1 << 18  # distinct values that are worth a range of their own
 OVERSAMPLE = 16  # sampled values per cut: ranges differ by a quarter or so in size
 FAN = 16         # cuts are looked up in steps of at most FAN comparisons
 
 
-def _join_semi(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
-    """``left_semi`` join on ``keys`` with NULL-safe equality."""
-    right = F.broadcast(right) if small else right
-    r = right.select(*[F.col(k).alias(f"__s_{k}") for k in keys])
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"__s_{k}"))
-        cond = c if cond is None else cond & c
-    return left.join(r, cond, "left_semi")
-
-
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
     """Join on ``keys`` treating NULL as a value (a NULL group is a group, as in
     GROUP BY). ``small`` marks a right side bounded by construction (broadcast);
@@ -74,17 +64,36 @@ def _scale(df: DataFrame, value_col: str) -> int:
     raise TypeError(f"{value_col}: integers or decimals are needed, not {kind.simpleString()}")
 
 
+def _units(c: Column, scale: int) -> Column:
+    """In units of the last place, as a long."""
+    return (c * F.lit(10 ** scale).cast(BIG) if scale else c).cast("long")
+
+
 def _unscaled(c: Column, scale: int) -> Column:
     return (c / F.lit(10 ** scale).cast(BIG)).cast(f"decimal(38,{scale})") if scale else c
 
 
-def chosen_by_hash(distinct: Column, count: int, *values: Column) -> Column:
-    """Whether a distinct value belongs to the sample that cuts are taken from:
-    about ``count * OVERSAMPLE`` of ``distinct`` values, by their hash alone."""
-    share = F.lit(float(count * OVERSAMPLE)) / F.greatest(distinct, F.lit(1))
+def whole(fold: DataFrame) -> DataFrame:
+    """``fold`` with a filter that is always true and reads all its columns: a
+    branch that needs a few of them does not prune the others, so all branches
+    over the fold keep the same shuffle, and it runs once."""
+    return fold.where(F.hash(*[F.col(c) for c in fold.columns]) >= -(1 << 31))
+
+
+def chosen_by_hash(share: Column, *values: Column) -> Column:
+    """Whether a distinct value belongs to the sample that cuts are taken from,
+    by its hash alone: about ``share`` of them do."""
     return F.pmod(F.xxhash64(*values, F.lit("cut")), F.lit(1 << 53)).cast("double") / float(1 << 53) < share
 
 
+def every_cut(sample: Column, most: int | None = None) -> Column:
+    """Of a sorted sample one value in ``OVERSAMPLE``, or fewer: ``most`` in all."""
+    step = F.lit(OVERSAMPLE)
+    if most:
+        step = F.greatest(step, F.ceil(F.size(sample) / most).cast("int"))
+    return F.filter(sample, lambda x, i: (i + 1) % step == 0)
+
+
 def spaced_cuts(sample: Column, count: int) -> Column:
     """``count - 1`` evenly spaced values of a sorted sample (repeated if it is
     smaller, which only leaves buckets empty)."""
@@ -115,38 +124,46 @@ def with_cell(df: DataFrame, value: str, levels: Sequence[str], out: str) -> Dat
 
 
 def _bucketed(df: DataFrame, value_col: str, buckets: int | None, weight_col: str | None,
-              keys: list[str], small: bool):
-    """Distinct values with multiplicity and bucket, bucket offsets, stats.
+              keys: list[str], small: bool, sums: Sequence[str] = ()):
+    """Distinct values with multiplicity, sums of further measures and bucket; per
+    bucket its rows, those before it (``off``) and in the group (``n``); stats.
 
-    The NULL value keeps a row of its own with count 0 (a filter here would be
-    pushed below the fold and keep the branches from sharing it)."""
+    The NULL value keeps a row of its own with count 0 (a filter on the value would
+    be pushed below the fold and keep the branches from sharing it; one on the
+    count is not)."""
     wt = F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
     scale = _scale(df, value_col)
-    v = (F.col(value_col) * F.lit(10 ** scale).cast(BIG) if scale else F.col(value_col)).cast("long")
-    folded = df.select(*keys, v.alias("v"), wt.alias("__wt")).groupBy(*keys, "v").agg(F.sum("__wt").alias("__n"))
+    v = _units(F.col(value_col), scale)
+    folded = whole(df.select(*keys, v.alias("v"), wt.alias("__wt"), *sums).groupBy(*keys, "v").agg(
+        F.sum("__wt").alias("__n"), *[F.sum(c).alias(c) for c in sums]))
     known = F.col("v").isNotNull()
-    vc = folded.select(*keys, "v", F.when(known, F.col("__n")).otherwise(F.lit(0).cast("long")).alias("c"))
-    stats = folded.groupBy(*keys).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.count(F.when(F.col("__n").isNotNull(), F.col("v"))).alias("distinct"),
-        F.coalesce(F.sum(F.when(known, F.col("__n"))), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(F.when(~known, F.col("__n"))), F.lit(0)).alias("nulls"),
-        F.sum(F.col("v").cast(BIG) * F.col("__n")).alias("total"))
+    vc = folded.select(*keys, "v", *sums, F.when(known, F.col("__n")).otherwise(F.lit(0).cast("long")).alias("c"),
+                       F.when(~known, F.col("__n")).alias("z"))
     # Cuts: the distinct values whose hash is smallest, in order, evenly spaced.
-    count = buckets or BUCKETS
-    # (Reading the count too keeps this branch on the fold's shared shuffle.)
-    chosen = chosen_by_hash(F.col("distinct"), count, F.col("v")) & F.col("__n").isNotNull()
-    sampled = F.sort_array(F.collect_list(F.when(chosen, F.col("v"))))
+    if buckets is None:
+        sampled = folded.groupBy(*keys).agg(F.sort_array(F.collect_list(
+            F.when(chosen_by_hash(F.lit(OVERSAMPLE / VALUES), F.col("v")), F.col("v")))).alias("__s"))
+        sampled = sampled.withColumn("__s", every_cut(F.col("__s"), BUCKETS))
+    else:
+        share = F.lit(float(buckets * OVERSAMPLE)) / F.greatest(F.col("__d"), F.lit(1))
+        counted = folded.groupBy(*keys).agg(F.count("v").alias("__d"))
+        sampled = _join_on(folded, counted, keys, small=small).groupBy(*keys).agg(
+            F.sort_array(F.collect_list(F.when(chosen_by_hash(share, F.col("v")), F.col("v")))).alias("__s"))
+        sampled = sampled.withColumn("__s", spaced_cuts(F.col("__s"), buckets))
     levels = ["__c0", "__c1", "__c2"]
-    cuts = (_join_on(folded, stats.select(*keys, "distinct"), keys, small=small)
-            .groupBy(*keys).agg(sampled.alias("__s")).withColumn("__s", spaced_cuts(F.col("__s"), count))
-            .select(*keys, *[c.alias(n) for c, n in zip(cut_levels(F.col("__s")), levels)]))
+    cuts = sampled.select(*keys, *[c.alias(n) for c, n in zip(cut_levels(F.col("__s")), levels, strict=True)])
     vb = with_cell(_join_on(vc, cuts, keys, small=small), "v", levels, "b").drop(*levels)
-    # Offsets: at most BUCKETS rows per group, so this window is bounded.
-    per_bucket = vb.groupBy(*keys, "b").agg(F.sum("c").alias("bn"))
-    before = Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(*keys, "b", "bn",
-                                F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("off"))
+    # One row per bucket, at most BUCKETS a group, so the windows over them are bounded.
+    per_bucket = vb.groupBy(*keys, "b").agg(
+        F.sum("c").alias("bn"), F.sum("z").alias("bz"), F.min("v").alias("blo"), F.max("v").alias("bhi"),
+        F.count("v").alias("bd"), F.sum(F.col("v").cast(BIG) * F.col("c")).alias("bt"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(*keys, "b", "bn", F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("off"),
+                                F.sum("bn").over(group).alias("n"))
+    stats = per_bucket.groupBy(*keys).agg(
+        F.min("blo").alias("lo"), F.max("bhi").alias("hi"), F.coalesce(F.sum("bd"), F.lit(0)).alias("distinct"),
+        F.coalesce(F.sum("bn"), F.lit(0)).alias("n"), F.coalesce(F.sum("bz"), F.lit(0)).alias("nulls"), F.sum("bt").alias("total"))
     return vb, offsets, stats
 
 
@@ -173,11 +190,37 @@ def value_cumulative(df: DataFrame, value_col: str, buckets: int | None = None,
     keys = list(keys)
     small = not keys or bounded_keys
     vb, offsets, stats = _bucketed(df, value_col, buckets, weight_col, keys, small)
-    cum = (_join_on(_running(vb, keys), offsets.select(*keys, "b", "off"), [*keys, "b"], small=small)
+    cum = (_join_on(_running(vb.where("c > 0"), keys), offsets.select(*keys, "b", "off"), [*keys, "b"], small=small)
            .select(*keys, "v", "c", (F.col("off") + F.col("in_b")).alias("le")))
     return cum, stats
 
 
+def _located(vb: DataFrame, offsets: DataFrame, points: Sequence[int], den: int,
+             keys: list[str], small: bool) -> DataFrame:
+    """(keys, k, rem, v): the values at the lower (k = 2 i) and upper (2 i + 1) rank
+    of point i. Only the buckets that hold a wanted rank are sorted."""
+    wanted = F.array(*[F.struct(F.lit(k).alias("i"), F.lit(int(p)).cast("long").alias("p")) for k, p in enumerate(points)])
+    pos = (F.col("n") - 1) * F.col("t.p")
+    rows = (offsets.where("n > 0").select(*keys, "b", "off", "bn", "n", F.explode(wanted).alias("t"))
+            .select(*keys, "b", "off", "bn", "t.i", idiv(pos, den).alias("r"), (pos % den).alias("rem")))
+    ends = F.array(*[F.struct((F.col("i") * 2 + up).alias("k"), (F.col("r") + (F.when(F.col("rem") > 0, up).otherwise(0)) - F.col("off")).alias("local"), "rem")
+                     for up in (0, 1)])
+    targets = (rows.select(*keys, "b", "bn", F.explode(ends).alias("e")).where((F.col("e.local") >= 0) & (F.col("e.local") < F.col("bn")))
+               .groupBy(*keys, "b").agg(F.collect_list("e").alias("__t")))   # <= 2 * points a group
+    cand = _running(_join_on(vb.where("c > 0"), targets, [*keys, "b"], small=small), keys)
+    # Local rank falls on value v when in_b - c <= local < in_b.
+    mine = F.filter("__t", lambda e: (e["local"] >= F.col("in_b") - F.col("c")) & (e["local"] < F.col("in_b")))
+    return cand.select(*keys, "v", F.explode(mine).alias("e")).select(*keys, "v", "e.k", "e.rem")
+
+
+def _interpolated(i: int, den: int) -> Column:
+    """Aggregate over ``_located``: percentile i times ``den``, in units of the
+    value's last place."""
+    lo, hi = (F.max(F.when(F.col("k") == 2 * i + up, F.col("v"))) for up in (0, 1))
+    rem = F.max(F.when(F.col("k") == 2 * i, F.col("rem")))
+    return (lo.cast(BIG) * den + (hi - lo).cast(BIG) * rem).cast(BIG)
+
+
 def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
                       den: int = 100, buckets: int | None = None,
                       weight_col: str | None = None, keys: Sequence[str] = (),
@@ -191,7 +234,7 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
     SQL defines it; it is done in integers, so there is no double rounding.
 
     Only the buckets that hold a wanted rank (at most two per point) are
-    sorted: bucket totals locate the ranks, a broadcast semi join keeps those
+    sorted: bucket totals locate the ranks, a broadcast join keeps those
     buckets, and the running count runs over them alone.
 
     ``with_stats`` adds the group's ``n`` (non-NULL rows), ``nulls``, ``lo``
@@ -203,41 +246,8 @@ def exact_percentiles(df: DataFrame, value_col: str, points: dict[str, int],
     small = not keys or bounded_keys
     scale = _scale(df, value_col)
     vb, offsets, stats = _bucketed(df, value_col, buckets, weight_col, keys, small)
-    pts = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(int(v)).cast("long").alias("pn"))
-                    for k, v in points.items()])
-    pos = (F.col("n") - 1) * F.col("pn")
-    targets = (stats.where(F.col("n") > 0)
-               .select(*keys, "n", F.explode(pts).alias("t")).select(*keys, "t.name", "t.pn", "n")
-               .select(*keys, "name", idiv(pos, den).alias("r_lo"), (pos % den).alias("rem"))
-               .withColumn("r_hi", F.col("r_lo") + F.when(F.col("rem") > 0, 1).otherwise(0)))
-    ends = targets.select(*keys, "name", "rem", F.explode(F.array(
-        F.struct(F.lit("lo").alias("kind"), F.col("r_lo").alias("r")),
-        F.struct(F.lit("hi").alias("kind"), F.col("r_hi").alias("r")))).alias("e")
-    ).select(*keys, "name", "rem", "e.kind", "e.r")
-    # The bucket of each wanted rank: off <= r < off + bn (<= 2 * points rows per group).
-    in_bucket = (F.col("r") >= F.col("off")) & (F.col("r") < F.col("off") + F.col("bn"))
-    if keys:
-        o = offsets.select(*[F.col(k).alias(f"__o_{k}") for k in keys], "b", "bn", "off")
-        cond = in_bucket
-        for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"__o_{k}"))
-        tb = (o.join(F.broadcast(ends), cond) if small else ends.join(o, cond)).drop(
-            *[f"__o_{k}" for k in keys])
-    else:  # stream the offsets (<= BUCKETS rows), broadcast the <= 2 * points ranks
-        tb = offsets.join(F.broadcast(ends), in_bucket)
-    tb = tb.select(*keys, "name", "rem", "kind", "b", (F.col("r") - F.col("off")).alias("local"))
-    wanted = tb.select(*keys, "b").distinct()
-    cand = _running(_join_semi(vb, wanted, [*keys, "b"], small=small), keys)
-    # Local rank falls on value v when in_b - c <= local < in_b.
-    hit = _join_on(cand, tb, [*keys, "b"], small=small).where(
-        (F.col("local") >= F.col("in_b") - F.col("c")) & (F.col("local") < F.col("in_b")))
-    aggs = []
-    for name in points:
-        is_name = F.col("name") == name
-        lo = F.max(F.when(is_name & (F.col("kind") == "lo"), F.col("v")))
-        hi = F.max(F.when(is_name & (F.col("kind") == "hi"), F.col("v")))
-        rem = F.max(F.when(is_name, F.col("rem")))
-        aggs.append(_unscaled((lo.cast(BIG) * den + (hi - lo).cast(BIG) * rem).cast(BIG), scale).alias(name))
+    hit = _located(vb, offsets, list(points.values()), den, keys, small)
+    aggs = [_unscaled(_interpolated(i, den), scale).alias(name) for i, name in enumerate(points)]
     if scale:
         stats = stats.withColumns({c: _unscaled(F.col(c).cast(BIG), scale) for c in ("lo", "hi", "total")})
     extra = ["n", "nulls", "lo", "hi", "total"] if with_stats else []
@@ -277,31 +287,56 @@ def rank_desc_of(subset: DataFrame, population: DataFrame, key: str, value_col:
 
 
 def ranks_desc_of(subset: DataFrame, population: DataFrame, key: str,
-                  ranks: dict[str, str]) -> DataFrame:
+                  ranks: dict[str, str], buckets: int | None = None) -> DataFrame:
     """Global descending ranks (``RANK() OVER (ORDER BY col DESC)``) for a few
-    rows, e.g. a top-k list; ``ranks`` maps an output name to a value column.
+    rows, e.g. a top-k list; ``ranks`` maps an output name to a value column
+    (integers or decimals). ``key`` names the rows of ``subset``.
 
     rank = 1 + population rows with a strictly larger value (NULL counts as
-    larger, as it sorts first descending). The subset is broadcast (its size
-    is the k of a top-k report) and all ranks come from one pass over the
-    population, with no sort of it.
+    larger, as it sorts first descending), read from the cumulative counts of the
+    values (``value_cumulative``), which the subset's values meet by an equi join:
+    no rows are compared with each other. The subset is broadcast (its size is the
+    k of a top-k report). Where it is taken from ``population`` itself, both read
+    one fold.
     """
     cols = list(ranks.values())
-    sub = subset.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__s{i}") for i, c in enumerate(cols)])
-    pop = population.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(cols)])
-    ahead = [(F.col(f"__p{i}") > F.col(f"__s{i}")) |
-             (F.col(f"__p{i}").isNull() & F.col(f"__s{i}").isNotNull()) for i in range(len(cols))]
-    any_ahead = ahead[0]
-    for cond in ahead[1:]:
-        any_ahead = any_ahead | cond
-    counts = (pop.join(F.broadcast(sub), any_ahead)
-              .groupBy("__k").agg(*[F.count_if(cond).alias(f"__a{i}") for i, cond in enumerate(ahead)]))
-    out = subset.join(F.broadcast(counts), subset[key] == counts["__k"], "left")
+    scales = [_scale(population, c) for c in cols]
+
+    def stacked(df: DataFrame, *more: Column) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), _units(F.col(c), scale).alias("v"))
+                                   for i, (c, scale) in enumerate(zip(cols, scales, strict=True))]))
+        return df.select(*more, each.alias("e")).select(*[f"`{m}`" for m in ["__k"] if more], F.col("e.c").alias("__c"), F.col("e.v").alias("__v"))
+    cum, stats = value_cumulative(stacked(whole(population)), "__v", buckets, keys=["__c"], bounded_keys=True)
+    wanted = stacked(subset, F.col(key).alias("__k")).withColumnRenamed("__c", "__w")
+    placed = (cum.join(F.broadcast(wanted), (F.col("__c") == F.col("__w")) & (F.col("v") == F.col("__v")))
+              .select("__k", "__w", "le"))
+    sizes = stats.select(F.col("__c").alias("__w"), "n", "nulls")
+    counted = (placed.join(F.broadcast(sizes), "__w").groupBy("__k").agg(*[
+        F.max(F.when(F.col("__w") == i, F.col("n") - F.col("le") + F.col("nulls") + 1)).alias(f"__a{i}") for i in range(len(cols))]))
+    out = subset.join(F.broadcast(counted), F.col(key) == F.col("__k"), "left")
     for i, name in enumerate(ranks):
-        out = out.withColumn(name, (F.coalesce(F.col(f"__a{i}"), F.lit(0)) + 1).cast("int"))
+        out = out.withColumn(name, F.coalesce(F.col(f"__a{i}"), F.lit(1)).cast("int"))
     return out.drop("__k", *[f"__a{i}" for i in range(len(cols))])
 
 
+def tail_sums(df: DataFrame, value_col: str, point: int, den: int = 100, sums: Sequence[str] = (),
+              buckets: int | None = None) -> DataFrame:
+    """Totals of the rows whose value is at or above ``PERCENTILE_CONT(point /
+    den)``: one row with ``n`` (rows), ``total``, ``lo`` and ``hi`` of the value (in
+    units of its last place) and the sum of each column of ``sums``.
+
+    Threshold and totals come from one fold to distinct values, which carries the
+    sums of the other measures along; rows are not read again.
+    """
+    named = {f"__m{i}": c for i, c in enumerate(sums)}  # names that do not clash with those used here
+    df = df.select(value_col, *[F.col(c).alias(m) for m, c in named.items()])
+    vb, offsets, _ = _bucketed(df, value_col, buckets, None, [], True, list(named))
+    limit = _located(vb, offsets, [point], den, [], True).agg(_interpolated(0, den).alias("__limit"))
+    tail = vb.crossJoin(F.broadcast(limit)).where(F.col("v").cast(BIG) * den >= F.col("__limit"))
+    return tail.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("n"), F.sum(F.col("v").cast(BIG) * F.col("c")).alias("total"),
+                    F.min("v").alias("lo"), F.max("v").alias("hi"), *[F.sum(m).alias(c) for m, c in named.items()])
+
+
 def top_rank_sums(df: DataFrame, value_col: str, limits: dict[str, tuple[str, int, int]],
                   buckets: int | None = None) -> DataFrame:
     """Sum of ``value_col`` over rows whose descending rank passes a limit.
