@@ -90,3 +90,38 @@ def test_proximity_finds_altered_words(spark):
     # a word that the corpus lacks counts as altered everywhere
     assert rows(dc.proximity_matches(docs(spark, [item.replace("aa", "zz")]), bench), "doc_id") == [(0,)]
     assert rows(dc.proximity_matches(docs(spark, ["aa", "bb"]), spark.createDataFrame([(1, "aa bb")], BENCH), slop=0, least=0.5), "doc_id") == [(0,), (1,)]
+
+
+def test_rows_without_or_with_one_id(spark):
+    """Thousands of rows that share an id, or have none, cost what others do."""
+    import time
+    rng = random.Random(1)
+    item = " ".join(f"w{i}" for i in range(40))
+    texts = [(None, item + f" own{i} " + " ".join(rng.choice("abc") for _ in range(5))) for i in range(2000)]
+    texts += [(7, f"lead{i} " + item) for i in range(2000)] + [(8, item)] * 500 + [(9, "clean words only")] * 3
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS)
+    start = time.time()
+    got = dc.contamination(d, spark.createDataFrame([(1, item), (2, item)], BENCH))
+    assert rows(got) == brute_planted(texts, item)
+    assert time.time() - start < 90
+    near = dc.proximity_matches(d, spark.createDataFrame([(1, item)], BENCH), slop=0, least=1.0)
+    assert near.groupBy("doc_id").count().where("doc_id = 8").first()["count"] == 500 * 28
+
+
+def brute_planted(texts, item):
+    digest = hashlib.sha256(b"1,2").hexdigest()
+    out = [(i, len(words(t)), 40, 2, digest, True) if item in t else (i, len(words(t)), 0, 0, hashlib.sha256(b"").hexdigest(), False) for i, t in texts]
+    return sorted(out, key=lambda r: [(x is not None, x if x is not None else 0) for x in r])
+
+
+def test_many_items_share_a_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(40))
+    bench = [(i, passage + (f" more{i} " * 13 if i % 2 else "")) for i in range(600)]
+    texts = [(i, f"start{i} {passage} end" if i % 3 else f"other {i}") for i in range(900)]
+    got = dc.contamination(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS), spark.createDataFrame(bench, BENCH))
+    every = hashlib.sha256(",".join(sorted(str(i) for i in range(600))).encode()).hexdigest()
+    assert {(r["n_items"], r["items_sha256"] == every) for r in got.collect() if r["doc_id"] % 3} == {(600, True)}
+    windows, items = dc.benchmark_windows(spark.createDataFrame(bench, BENCH))
+    assert "items" not in windows.columns and items.count() < 600 * 20
+    found = dc.phrase_matches(docs(spark, [passage]), spark.createDataFrame(bench[:3], BENCH))
+    assert {tuple(r["items"]) for r in found.collect()} == {("0", "1", "2")}
