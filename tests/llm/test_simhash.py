@@ -109,3 +109,38 @@ def test_dedup_with_distinct_ids_and_empty(spark):
 def test_ids_shared_by_different_texts_keep_both_groups(spark):
     d = docs(spark, [(5, "first text of all"), (5, "second and other words entirely"), (5, "first text of all"), (8, "first text of all")])
     assert sorted(r.text for r in sh.dedup(d).collect()) == ["first text of all", "second and other words entirely"]
+
+
+def test_far_blocks_leave_the_work():
+    rng = np.random.default_rng(7)
+    for n in (130, 1000, 4096):
+        values = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) << np.uint64(1))
+        values[1] = values[0] ^ np.uint64(3 << 20)  # one pair that links
+        values = rng.permutation(np.unique(values))
+        for radius in (0, 1, 2):
+            tally = {}
+            a, b = sh.block_links(values, radius, tally)
+            d = np.bitwise_count(values[a] ^ values[b])
+            assert len(a) == (radius == 2) and (d <= radius).all()
+            assert tally["added"] < 0.4 * tally["all"], (n, radius, tally)
+
+
+def test_forests_connect_what_brute_force_links():
+    rng = np.random.default_rng(3)
+    for n, bits in ((2, 3), (63, 5), (64, 6), (65, 6), (300, 9), (700, 12)):
+        values = np.unique(rng.integers(0, 1 << bits, n, dtype=np.uint64) * np.uint64(0x10001))
+        for radius in (0, 1, 2):
+            near = [(i, j) for i in range(len(values)) for j in range(i) if int(values[i] ^ values[j]).bit_count() <= radius]
+            a, b = sh.block_links(values, radius)
+            assert union_all(len(values), list(zip(a.tolist(), b.tolist()))) == union_all(len(values), near)
+
+
+def test_pairs_are_told_lane_by_lane():
+    rng = np.random.default_rng(5)
+    for n in (1, 63, 64, 65, 500):
+        x = np.array([sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for k in rng.integers(0, 6, n)], np.uint64)
+        for radius in (0, 1, 2):
+            assert (sh.pair_lanes(x, radius) == (np.bitwise_count(x) <= radius)).all()
+    tally = {}
+    sh.pair_lanes(rng.integers(0, 2**63, 6400, dtype=np.uint64), 2, tally)
+    assert tally["added"] < 0.4 * tally["all"]

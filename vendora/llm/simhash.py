@@ -12,7 +12,10 @@ fingerprints, whatever the data; no bucket needs a cap or a second way.
 Comparison: the members of a key are laid out as bit planes (one bit of 64
 fingerprints per machine word). For a batch of members, the differing bits of a
 plane are added to carry-save counters (ones, twos, overflow) for all distances
-at once; once every lane of a block has overflowed, its other planes are skipped.
+at once. A block is one member against the 64 of a machine word; lanes that need no
+comparison (itself, earlier members, padding) count as over from the start, and a
+block leaves the work as soon as all its lanes are over the radius. Planes that
+split the members most evenly come first, so that far blocks leave early.
 
 Links found in a key are reduced to a spanning forest before they leave the
 task, so a cluster of any size emits fewer rows than it has members. Components
@@ -42,8 +45,9 @@ from vendora.llm.components import components
 
 SHINGLE, RADIUS, SEED, BLOCKS = 3, 2, 42, 8
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)  # of a byte
-ROWS = 256        # members compared with a block at a time
+ROWS = 256        # members compared with all blocks at a time
 LANES = 64        # members of a machine word
+FULL = np.uint64(2**64 - 1)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -84,7 +88,44 @@ def _planes(values: np.ndarray) -> np.ndarray:
     return padded.view("<u8")
 
 
-def block_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def near_lanes(differ, over: np.ndarray, order: list[int], radius: int, tally: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(block, lanes) of the blocks that have lanes within ``radius`` bits.
+
+    ``differ(plane, blocks)`` gives the differing bits of the blocks' lanes in a
+    plane of ``order``; ``over`` marks lanes that are settled. ``tally`` counts the
+    planes of blocks that were added up, and all there were.
+    """
+    blocks = np.flatnonzero(over != FULL)
+    over = over[blocks]
+    ones, twos, beyond = np.zeros_like(over), np.zeros_like(over), over.copy()
+    if tally is not None:
+        tally["all"] = tally.get("all", 0) + len(blocks) * len(order)
+    for done, plane in enumerate(order, 1):
+        if not len(blocks):
+            break
+        if tally is not None:
+            tally["added"] = tally.get("added", 0) + len(blocks)
+        x = differ(plane, blocks)
+        carry = ones & x
+        ones ^= x
+        over |= twos & carry
+        twos ^= carry
+        beyond = over | (twos & ones if radius == 2 else twos if radius == 1 else ones | twos)
+        if done > radius and done < len(order):
+            live = beyond != FULL
+            if 8 * np.count_nonzero(live) <= 7 * len(live):  # an eighth may leave: worth the copy
+                blocks, ones, twos, over, beyond = (v[live] for v in (blocks, ones, twos, over, beyond))
+    return blocks, ~beyond
+
+
+def _even_first(values: np.ndarray) -> list[int]:
+    """The planes in which ``values`` differ, the most even split first."""
+    differ = int(np.bitwise_or.reduce(values ^ values[0]))
+    alive = [b for b in range(64) if differ >> b & 1]
+    return sorted(alive, key=lambda b: abs(2 * int((values >> np.uint64(b) & np.uint64(1)).sum()) - len(values)))
+
+
+def block_links(values: np.ndarray, radius: int, tally: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs i < j of ``values`` within ``radius`` bits, bit-sliced, found
     block by block and given as a spanning forest (each found pair that joins
     two trees)."""
@@ -97,32 +138,25 @@ def block_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
             i = parent[i]
         return i
 
-    differ = int(np.bitwise_or.reduce(values ^ values[0]))
-    alive = [b for b in range(64) if differ >> b & 1]  # the other planes are equal throughout
-    planes = _planes(values)
+    order, planes = _even_first(values), _planes(values)
+    words = planes.shape[1]
+    last = np.uint64((1 << (n - (words - 1) * LANES)) - 1)  # lanes of the last word that are members
     left, right = [], []
     for at in range(0, n, ROWS):
         mine = values[at:at + ROWS]
         first = at // LANES  # earlier members have been compared from their side
-        over = np.zeros((len(mine), planes.shape[1] - first), np.uint64)
-        ones, twos = np.zeros_like(over), np.zeros_like(over)
-        for b in alive:
-            flip = np.uint64(0) - (mine >> np.uint64(b) & np.uint64(1))
-            x = planes[b, first:] ^ flip[:, None]
-            carry = ones & x
-            ones ^= x
-            over |= twos & carry
-            twos ^= carry
-            beyond = over | (twos & ones if radius == 2 else twos if radius == 1 else np.uint64(0))
-            if radius == 0:
-                beyond = over | ones | twos
-            if (beyond == np.uint64(2**64 - 1)).all():
-                break
-        near = np.unpackbits((~beyond).view(np.uint8), axis=1, bitorder="little")
-        i, j = np.nonzero(near)
-        i, j = i + at, j + first * LANES
-        ok = (j > i) & (j < n)
-        for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+        member, word = (g.ravel() for g in np.meshgrid(np.arange(at, at + len(mine)), np.arange(first, words), indexing="ij"))
+        own = member // LANES
+        upto = (np.uint64(2) << (member % LANES).astype(np.uint64)) - np.uint64(1)  # itself and earlier ones
+        over = np.where(word < own, FULL, np.where(word == own, upto, np.uint64(0)))
+        over[word == words - 1] |= ~last
+
+        def differ(plane: int, blocks: np.ndarray) -> np.ndarray:
+            flip = np.uint64(0) - (values[member[blocks]] >> np.uint64(plane) & np.uint64(1))  # noqa: B023
+            return planes[plane, word[blocks]] ^ flip  # noqa: B023
+        blocks, near = near_lanes(differ, over, order, radius, tally)
+        at_block, lane = np.nonzero(np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        for a, b in zip(member[blocks[at_block]].tolist(), (word[blocks[at_block]] * LANES + lane).tolist(), strict=True):
             ra, rb = root(a), root(b)
             if ra != rb:
                 parent[max(ra, rb)] = min(ra, rb)
@@ -131,6 +165,21 @@ def block_links(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
+def pair_lanes(x: np.ndarray, radius: int, tally: dict | None = None) -> np.ndarray:
+    """Which values of ``x``, the differing bits of pairs, have ``radius`` or fewer;
+    one lane each."""
+    planes = _planes(x)
+    over = np.zeros(planes.shape[1], np.uint64)
+    if len(x) % LANES:
+        over[-1] = ~np.uint64((1 << (len(x) % LANES)) - 1)
+    often = np.bitwise_count(planes).sum(1)
+    order = sorted(np.flatnonzero(often).tolist(), key=lambda b: -int(often[b]))  # planes that tell most pairs apart
+    out = np.zeros((planes.shape[1], LANES), bool)
+    blocks, near = near_lanes(lambda plane, blocks: planes[plane, blocks], over, order, radius, tally)
+    out[blocks] = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return out.ravel()[:len(x)]
+
+
 def _links(radius: int):
     """Sorted (choice, key, fp) batches to links; a key's members may span batches."""
     def links_of(choice: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
@@ -140,15 +189,7 @@ def _links(radius: int):
         a, b = [], []
         two = starts[sizes == 2]  # most shared keys have two members: all at once, one lane each
         if len(two):
-            x = _planes(fp[two] ^ fp[two + 1])
-            ones, twos, over = (np.zeros(x.shape[1], np.uint64) for _ in range(3))
-            for plane in x:
-                carry = ones & plane
-                ones ^= plane
-                over |= twos & carry
-                twos ^= carry
-            beyond = over | (twos & ones if radius == 2 else twos if radius == 1 else ones | twos)
-            near = two[np.unpackbits((~beyond).view(np.uint8), bitorder="little")[:len(two)] == 1]
+            near = two[pair_lanes(fp[two] ^ fp[two + 1], radius)]
             a.append(fp[near])
             b.append(fp[near + 1])
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
