@@ -24,9 +24,10 @@ def brute(texts, least=5):
         doc = texts[k][0]
         return (doc is not None, doc if doc is not None else 0, no)
     lines = [(k, no, words(line)) for k, (_, t) in enumerate(texts) if t is not None for no, line in enumerate(t.split("\n"))]
-    lines = [x for x in lines if len(x[2]) >= least]
+    lines = [x for x in lines if x[2]]
+    near = lambda w, w2: w == w2 or (min(len(w), len(w2)) >= least and within_one(w, w2))
     gone = {(k, no) for k, no, w in lines
-            if any(place(k2, no2) < place(k, no) and within_one(w, w2) for k2, no2, w2 in lines)}
+            if any(place(k2, no2) < place(k, no) and near(w, w2) for k2, no2, w2 in lines)}
     return [None if t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (k, no) not in gone)
             for k, (_, t) in enumerate(texts)]
 
@@ -128,5 +129,5 @@ def test_short_copies_fold_to_the_earliest(spark):
             seen.add(w)
         expected.append((i, None if t is None else "\n".join(left)))
     d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], DOCS)
-    got = sorted((r.doc_id, r.text) for r in ld.line_dedup(d, short_copies=True).collect())
+    got = sorted((r.doc_id, r.text) for r in ld.line_dedup(d).collect())
     assert got == expected

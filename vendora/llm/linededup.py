@@ -2,8 +2,8 @@
 one word.
 
 A line is compared by its lower-cased words. Lines of fewer than ``min_words``
-words say too little for an edit bound: they stay, or with ``short_copies`` exact
-copies of them go, all but the earliest. A longer line goes if an earlier line, by
+words say too little for an edit bound: of them exact copies go, all but the
+earliest. A longer line goes if an earlier line of ``min_words`` or more, by
 (doc_id, line number), has the same words or is one word insertion, deletion or
 substitution away; the earlier line need not have stayed itself.
 
@@ -111,9 +111,9 @@ def _split(text: str) -> list[list[bytes]]:
     return [line.split() for line in text.encode("utf-8", "replace").translate(_TABLE).split(b"\n")]
 
 
-def _hash_lines(least: int, min_words: int):
-    """(k, doc_id, text) rows to (k, doc_id, no, h, h2, p0, s0, p1, s1) per line of
-    ``least`` words; lines of fewer than ``min_words`` have no halves (null)."""
+def _hash_lines(min_words: int):
+    """(k, doc_id, text) rows to (k, doc_id, no, h, h2, p0, s0, p1, s1) per line that
+    has a word; lines of fewer than ``min_words`` have no halves (null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, ids = batch["k"].to_numpy(), batch["doc_id"]
@@ -127,7 +127,7 @@ def _hash_lines(least: int, min_words: int):
                 if text:
                     load += len(text)
                     for no, line in enumerate(_split(text)):
-                        if len(line) >= least:
+                        if line:
                             words += line
                             row.append(i)
                             number.append(no)
@@ -206,11 +206,11 @@ def _near(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where((F.col("before") < F.col("ord")) & same).select("h", "h2").distinct()
 
 
-def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_copies: bool = False) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k, drop): per row key of ``docs`` the numbers (from 0) of lines that go."""
     keyed = docs.select(_row_key().alias("k"), "doc_id", "text")
     longs = ["no", "h", "h2", "p0", "s0", "p1", "s1"]
-    hashed = keyed.mapInArrow(_hash_lines(1 if short_copies else min_words, min_words), StructType([
+    hashed = keyed.mapInArrow(_hash_lines(min_words), StructType([
         StructField("k", LongType()), docs.schema["doc_id"], *(StructField(c, LongType()) for c in longs)]))
     # One number for a place, so that minima stay hash aggregates.
     place = F.coalesce(F.col("doc_id").cast("decimal(19,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)")
@@ -218,7 +218,7 @@ def dropped_lines(docs: DataFrame, min_words: int = MIN_WORDS, short_copies: boo
     classes = stored(lines.groupBy("h", "h2").agg(
         F.min("ord").alias("ord"), F.min_by("k", "ord").alias("k"), F.min_by("no", "ord").alias("no"), F.count("*").alias("n"),
         *(F.min(c).alias(c) for c in ("p0", "s0", "p1", "s1"))), "line-classes")
-    able = classes.where("p0 is not null") if short_copies else classes
+    able = classes.where("p0 is not null")  # long enough for the edit bound
     near = stored(_near(keyed.select("k", "text"), able).withColumn("near", F.lit(True)), "line-near")
     going = classes.select("h", "h2", F.col("ord").alias("first"), "n").join(maybe_broadcast(near), ["h", "h2"], "left").where("n > 1 or near")
     return (lines.select("k", "no", "ord", "h", "h2").join(going, ["h", "h2"])
@@ -236,11 +236,11 @@ def _without_lines(texts: pd.Series, drops: pd.Series) -> pd.Series:
     return pd.Series([cut(t, d) for t, d in zip(texts, drops, strict=True)], dtype=object)
 
 
-def annotate(docs: DataFrame, min_words: int = MIN_WORDS, short_copies: bool = False) -> tuple[DataFrame, str, str]:
+def annotate(docs: DataFrame, min_words: int = MIN_WORDS) -> tuple[DataFrame, str, str]:
     """``docs`` with two more columns: the remaining text and the number of
     dropped lines; returns the frame and the two names."""
     key, key2, drop, text, count = fresh(docs, "line_key", "line_key_b", "line_drop", "line_text", "line_dropped")
-    drops = dropped_lines(docs.select("doc_id", "text"), min_words, short_copies).toDF(key2, drop)
+    drops = dropped_lines(docs.select("doc_id", "text"), min_words).toDF(key2, drop)
     df = docs.withColumn(key, _row_key()).join(drops, F.col(key) == F.col(key2), "left")
     touched = F.when(F.col(drop).isNotNull(), F.col("text"))  # other texts do not travel to Python
     df = (df.withColumn(text, _without_lines(touched, F.col(drop)))
@@ -249,18 +249,18 @@ def annotate(docs: DataFrame, min_words: int = MIN_WORDS, short_copies: bool = F
     return df.drop(key, key2, drop), text, count
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, short_copies: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, text (what stays)."""
-    df, text, count = annotate(docs.select("doc_id", "text"), min_words, short_copies)
+    df, text, count = annotate(docs.select("doc_id", "text"), min_words)
     lines = F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.lit(0)).otherwise(F.size(F.split("text", "\n")))
     return df.select("doc_id", lines.cast("long").alias("n_lines"), F.col(count).alias("n_dropped"),
                      F.col(text).alias("text"))
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, short_copies: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the lines taken out of ``text`` (and ``n_chars``, if there,
     brought up to date); documents left without any word by this go."""
-    df, text, count = annotate(docs, min_words, short_copies)
+    df, text, count = annotate(docs, min_words)
     empty = (F.col(count) > 0) & (F.size(word_list(F.col(text))) == 0)
     changed = F.col(count) > 0
     cols = []

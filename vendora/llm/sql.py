@@ -109,12 +109,12 @@ ORACLE_OP8 = f"""
 WITH d AS (SELECT doc_id, text, row_number() OVER () AS rid FROM documents),
 l0 AS (SELECT rid, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM d),
 l AS (SELECT rid, doc_id, no, {words_sql('line')} AS w FROM l0),
-o AS (SELECT rid, no, w, array_to_string(w, ' ') AS t, row_number() OVER (ORDER BY doc_id, no, rid) AS o FROM l WHERE len(w) >= 5),
+o AS (SELECT rid, no, w, array_to_string(w, ' ') AS t, row_number() OVER (ORDER BY doc_id, no, rid) AS o FROM l WHERE len(w) >= 1),
 c AS (SELECT t, any_value(w) AS w, min(o) AS f FROM o GROUP BY t),
-v AS (SELECT t, f, p, array_to_string(w[1:p] || w[p + 2:], ' ') AS v FROM (SELECT t, f, w, unnest(range(len(w))) AS p FROM c)),
+v AS (SELECT t, f, p, array_to_string(w[1:p] || w[p + 2:], ' ') AS v FROM (SELECT t, f, w, unnest(range(len(w))) AS p FROM c WHERE len(w) >= 5)),
 near AS (SELECT v.t FROM v JOIN (SELECT v, p, min(f) AS m FROM v GROUP BY v, p) g ON v.v = g.v AND v.p = g.p WHERE g.m < v.f
-         UNION SELECT v.t FROM v JOIN c ON c.t = v.v WHERE c.f < v.f
-         UNION SELECT c.t FROM v JOIN c ON c.t = v.v WHERE v.f < c.f),
+         UNION SELECT v.t FROM v JOIN c ON c.t = v.v WHERE c.f < v.f AND len(c.w) >= 5
+         UNION SELECT c.t FROM v JOIN c ON c.t = v.v WHERE v.f < c.f AND len(c.w) >= 5),
 gone AS (SELECT rid, no FROM o JOIN c USING (t) WHERE o.o > c.f OR t IN (SELECT t FROM near)),
 kept AS (SELECT rid, count(*) AS n, count(*) FILTER (WHERE g.no IS NOT NULL) AS dropped,
                 coalesce(string_agg(line, chr(10) ORDER BY l0.no) FILTER (WHERE g.no IS NULL), '') AS text
