@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vendora.llm.common import fresh, maybe_broadcast
+from vendora.llm.common import fresh, maybe_broadcast, stored
 
 PART = 16.0   # largest mean of a single draw
 TERMS = 80    # a draw of mean 16 beyond 80 has probability under 2^-52
@@ -41,6 +41,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     """(source, rate): mean repetitions per document. The mixed text is
     ``epochs`` times the corpus's characters, in expectation."""
     sizes = docs.groupBy("source").agg(F.sum(F.char_length(F.coalesce("text", F.lit("")))).cast("double").alias("size"))
+    sizes = stored(sizes, "mix-sizes")  # one row per source, read several times
     if weights is None:
         sized = sizes.withColumn("w", F.pow("size", F.lit(alpha)))
     else:
