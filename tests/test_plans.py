@@ -76,9 +76,10 @@ def test_results_same_on_every_storage_layout(spark, stored):
 # Reports that read a fact table more than once, and why.
 MORE_SCANS = {
     "master_preview": {"orders": 3, "order_items": 3},              # ten ids first, then only their rows
-    "customer_rfm": {"orders": 2}, "customer_rfm_summary": {"orders": 2},   # the reference date is over all orders
     "quality_foreign_keys": {"orders": 4, "order_items": 3},        # a child and a parent in several references
     "quality_keys": {}, "validate_row_counts": {},
+    # key, each reference and row rules: a narrow read for each
+    "quality_violations": {"orders": 6, "order_items": 5, "order_payments": 3, "order_reviews": 3},
 }
 FACTS = ("orders", "order_items", "order_payments", "order_reviews")
 

@@ -29,6 +29,10 @@ from vendora.sources.catalog import Tables, from_catalog, from_parquet, from_tes
 def _tables(spark, args) -> Tables:
     if args.testdata:
         return from_testdata(spark, args.testdata)
+    if args.csv and args.load_root:
+        loaded, rejects = ingest.load_folder_with_rejects(spark, args.csv, args.load_root)
+        ingest.write_parquet(rejects, f"{args.load_root.rstrip('/')}/_rejects")
+        return Tables.from_dict(loaded)
     if args.csv:
         return Tables.from_dict(ingest.read_source_folder(spark, args.csv))
     if args.parquet:
@@ -43,6 +47,7 @@ def main(argv: list[str] | None = None) -> int:
     src.add_argument("--testdata")
     src.add_argument("--csv")
     src.add_argument("--parquet")
+    ap.add_argument("--load-root", help="with --csv: load there, with unfit records set apart in _rejects")
     ap.add_argument("--write-tables")
     ap.add_argument("--buckets", type=int)
     ap.add_argument("--out")

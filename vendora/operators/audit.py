@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendora.functions.exact import BIG, pct
@@ -79,6 +79,68 @@ def audit_rules(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return agg.select(each.alias("e"), F.col("__n").alias("total_rows")).select("e.rule", "e.violations", "total_rows")
 
 
+def audit_bounds(df: DataFrame, bounds: Mapping[str, tuple[Column, float]]) -> DataFrame:
+    """D4 with the worst value: ``rule, violations, total_rows, bound, worst`` for
+    rules given as (measure, bound), all in one pass.
+
+    A row breaks a rule when its measure is above the bound; a NULL measure
+    passes. ``worst`` is the largest measure met (NULL without any), so a rule
+    that holds shows how near the data come to it."""
+    agg = df.agg(F.count(F.lit(1)).alias("__n"), *[c for i, (measure, bound) in enumerate(bounds.values()) for c in (
+        F.count_if(measure > F.lit(bound)).alias(f"__r{i}"), F.max(measure).cast("double").alias(f"__w{i}"))])
+    each = F.explode(F.array(*[F.struct(
+        F.lit(rule).alias("rule"), F.col(f"__r{i}").alias("violations"), F.col("__n").alias("total_rows"),
+        F.lit(bound).cast("double").alias("bound"), F.col(f"__w{i}").alias("worst"))
+        for i, (rule, (_, bound)) in enumerate(bounds.items())]))
+    return agg.select(each.alias("e")).select("e.*")
+
+
+def key_text(cols: Sequence[str]) -> Column:
+    """The values of ``cols`` as one text, different for different values: parts
+    joined by ``|``, with ``\\`` and ``|`` inside a part escaped, NULL as ``\\N``."""
+    def part(c: str) -> Column:
+        x = F.replace(F.col(c).cast("string"), F.lit("\\"), F.lit("\\\\"))
+        return F.coalesce(F.replace(x, F.lit("|"), F.lit("\\|")), F.lit("\\N"))
+    return F.concat_ws("|", *[part(c) for c in cols])
+
+
+def broken_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """D2 as rows: ``row_key, n_rows`` of each key that several rows share or that
+    has a NULL part. The rows fold to keys on the map side."""
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    return per_key.where((F.col("n_rows") > 1) | null).select(key_text(keys).alias("row_key"), "n_rows")
+
+
+def orphan_keys(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
+    """D3 as rows: ``row_key, n_rows`` of each child key without a parent. The child
+    folds to its keys before the anti join, so a hot key meets the parent once."""
+    per_key = child.groupBy(child_col).agg(F.count(F.lit(1)).alias("n_rows"))
+    return (audit_foreign_key(per_key, child_col, parent, parent_col)
+            .select(key_text([child_col]).alias("row_key"), "n_rows"))
+
+
+def broken_bounds(df: DataFrame, keys: Sequence[str], bounds: Mapping[str, tuple[Column, float]]) -> DataFrame:
+    """D4 as rows: ``rule, row_key, n_rows, worst`` per rule and key of the rows that
+    break it. One pass: a row yields only the rules it breaks."""
+    hits = F.filter(F.array(*[F.struct(F.lit(rule).alias("rule"), (measure > F.lit(bound)).alias("broken"),
+                                       measure.cast("double").alias("measure"))
+                              for rule, (measure, bound) in bounds.items()]), lambda e: F.coalesce(e["broken"], F.lit(False)))
+    return (df.select(key_text(keys).alias("row_key"), F.explode(hits).alias("e"))
+            .groupBy(F.col("e.rule").alias("rule"), "row_key")
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.max("e.measure").alias("worst")))
+
+
+def top_violations(found: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` keys with most rows per group of ``by`` (ties: smallest key first)
+    and their ``place``. Spark limits each task to its first ``n`` rows of a group
+    before the shuffle, so a rule that every row breaks stays small."""
+    w = Window.partitionBy(*by).orderBy(F.col("n_rows").desc(), F.col("row_key"))
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
 def coverage(base: DataFrame, satellites: Mapping[str, DataFrame], key: str) -> DataFrame:
     """Distinct base keys and how many also occur in each satellite.
 
@@ -132,4 +194,5 @@ def reconcile(left: DataFrame, right: DataFrame, key: str, left_amount: Column,
 
 
 __all__ = ["row_count_report", "audit_nulls", "audit_unique", "duplicate_count",
-           "audit_foreign_key", "audit_rules", "coverage", "reconcile"]
+           "audit_foreign_key", "audit_rules", "audit_bounds", "key_text", "broken_keys", "orphan_keys",
+           "broken_bounds", "top_violations", "coverage", "reconcile"]

@@ -127,20 +127,38 @@ def rfm(customers: DataFrame, orders: DataFrame, items: DataFrame, status: str |
 
     Items fold to order grain before the join, and the person aggregate is
     partial on the map side, so a very active person is never one task's
-    whole input."""
+    whole input. Without ``as_of`` the latest purchase of *any* order with the
+    status is needed, of those too that have no items or no customer: the joins
+    keep such orders, the person fold carries their latest purchase beside the
+    matched ones, and the reference date is the maximum over the fold, so the
+    orders are read once."""
     per_order = items.groupBy("order_id").agg(
-        F.sum(cents(F.col("price") + F.col("freight_value"))).alias("rev_c"))
-    po = person_orders(customers, orders, status)
-    out = (po.join(per_order, "order_id")
-           .groupBy("customer_unique_id")
-           .agg(F.max("order_purchase_timestamp").alias("recency"),
-                F.count("order_id").alias("frequency"), F.sum("rev_c").alias("monetary_c")))
+        F.sum(cents(F.col("price") + F.col("freight_value"))).alias("rev_c"), F.lit(True).alias("__sold"))
+    kept = ["customer_unique_id", "recency", "frequency", "monetary_c"]
+    if day_mode is None or as_of is not None:
+        out = (person_orders(customers, orders, status).join(per_order, "order_id")
+               .groupBy("customer_unique_id")
+               .agg(F.max("order_purchase_timestamp").alias("recency"),
+                    F.count("order_id").alias("frequency"), F.sum("rev_c").alias("monetary_c")))
+        latest = None
+    else:
+        o = orders.where(F.col("order_status") == status) if status else orders
+        known = customers.select("customer_id", "customer_unique_id", F.lit(True).alias("__known"))
+        counted = F.col("__known") & F.col("__sold")
+        fold = whole(o.select("order_id", "customer_id", "order_purchase_timestamp")
+                     .join(known, "customer_id", "left").join(per_order, "order_id", "left")
+                     .groupBy("customer_unique_id")
+                     .agg(F.max(F.when(counted, F.col("order_purchase_timestamp"))).alias("recency"),
+                          F.count(F.when(counted, F.col("order_id"))).alias("frequency"),
+                          F.sum(F.when(counted, F.col("rev_c"))).alias("monetary_c"),
+                          F.max("order_purchase_timestamp").alias("__any")))
+        latest = F.broadcast(fold.agg(F.max("__any").alias("max_date")))  # one row
+        out = fold.where(F.col("frequency") > 0).select(*kept)
     if day_mode is None:
         return out
     days = {"elapsed": whole_days_elapsed, "calendar": calendar_days_between}[day_mode]
-    if as_of is not None:
+    if latest is None:
         return out.withColumn("recency_days", days(F.col("recency"), F.lit(as_of).cast("timestamp_ntz")))
-    latest = F.broadcast(as_of_date(orders, status))  # one row
     return (out.crossJoin(latest).withColumn("recency_days", days(F.col("recency"), F.col("max_date"))).drop("max_date"))
 
 

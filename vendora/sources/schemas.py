@@ -83,3 +83,16 @@ FOREIGN_KEYS = [
     ("order_reviews", "order_id", "orders", "order_id"),
 ]
 NOT_NULL = {"customers": ["customer_unique_id"], "orders": ["customer_id"]}
+RANGES = {"order_reviews": {"review_score": (1, 5)}}
+# The declared lengths of VARCHAR(n) and CHAR(n) columns.
+LENGTHS = {
+    "customers": {"customer_id": 50, "customer_unique_id": 50, "customer_zip_code": 10, "customer_city": 100, "customer_state": 2},
+    "geolocation": {"geolocation_zip_code": 10, "geolocation_city": 100, "geolocation_state": 2},
+    "sellers": {"seller_id": 50, "seller_zip_code": 10, "seller_city": 100, "seller_state": 2},
+    "product_category_translation": {"product_category_name": 100, "product_category_name_english": 100},
+    "products": {"product_id": 50, "product_category_name": 100},
+    "orders": {"order_id": 50, "customer_id": 50, "order_status": 20},
+    "order_items": {"order_id": 50, "product_id": 50, "seller_id": 50},
+    "order_payments": {"order_id": 50, "payment_type": 30},
+    "order_reviews": {"review_id": 50, "order_id": 50},
+}
