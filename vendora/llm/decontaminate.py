@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from vendora.llm.common import fresh, maybe_broadcast, stored, word_list
 
 WINDOW = 13
+SALTS = 32  # parts that the documents of one list of items are dealt over
 
 
 @dataclass
@@ -182,15 +183,23 @@ def contamination(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> Data
     """One row per row of ``docs``: doc_id and the contamination figures."""
     ix = build_index(docs, bench, size)
     df, out = annotate(docs.select("doc_id", "text"), ix)
-    df = stored(df.select("doc_id", f"{out}.*"), "decon-figures")
-    # One list of ids for all documents that match the same sets.
-    lists = df.where(F.size("sets") > 0).select("sets").distinct()
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    df = stored(df.select("doc_id", f"{out}.*", salt.alias("salt")), "decon-figures")
+    hit, none = df.where(F.size("sets") > 0), df.where(F.size("sets") == 0)
+    # One list of ids for all documents that match the same sets. Documents without
+    # any take no part, and those of one list, a third of all maybe, are dealt over
+    # SALTS parts (the salt is stored, so a lost task deals them alike).
+    lists = hit.select("sets").distinct()
     ids = (lists.select("sets", F.explode("sets").alias("set")).join(ix.items, "set")
            .groupBy("sets").agg(F.array_sort(F.collect_set("item")).alias("ids"))
-           .select(F.col("sets").alias("of"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("sha")))
-    found = df.join(ids, F.col("sets") == F.col("of"), "left")
-    return found.select("doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).alias("n_items"),
-                        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), "contaminated")
+           .select(F.col("sets").alias("of"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "ids"), 256).alias("sha"))
+           .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    # A set of items without ids has no list.
+    found = hit.join(ids, (F.col("sets") == F.col("of")) & (F.col("salt") == F.col("part")), "left")
+    empty = none.withColumns({"n_items": F.lit(0).cast("long"), "sha": F.lit(None).cast("string")})
+    return found.select(*empty.columns).unionByName(empty).select(
+        "doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("items_sha256"), "contaminated")
 
 
 def clean(docs: DataFrame, bench: DataFrame, size: int = WINDOW) -> DataFrame:
