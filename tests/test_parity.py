@@ -60,10 +60,11 @@ def test_report_matches_oracle(spark, duck, key):
                                  "customer_rfm_summary", "seller_pareto", "delivery_time_distribution"])
 def test_sliced_and_multi_bucket_paths_match_oracle(spark, duck, monkeypatch, key):
     """Force the scale paths on small data: a person's orders split over
-    slices of 2 timestamps, value distributions over buckets of 50 rows."""
+    runs of about 2 timestamps, value distributions over ranges of about 50 values."""
     import vendora.operators.customer as cu
     import vendora.operators.ranking as rk
-    monkeypatch.setattr(cu, "BUCKETS", 40)
+    monkeypatch.setattr(cu, "RUN", 2)
+    monkeypatch.setattr(rk, "VALUES", 50)
     monkeypatch.setattr(rk, "BUCKETS", 7)
     got = se.queries()[key](spark, SMOKE).toPandas()
     want = duck.execute(se.oracle_sql()[key]).df()
