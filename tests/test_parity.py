@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import partial
 
 import pandas as pd
 import pytest
@@ -61,9 +62,9 @@ def test_report_matches_oracle(spark, duck, key):
 def test_sliced_and_multi_bucket_paths_match_oracle(spark, duck, monkeypatch, key):
     """Force the scale paths on small data: a person's orders split over
     runs of about 2 timestamps, value distributions over ranges of about 50 values."""
-    import vendora.operators.customer as cu
     import vendora.operators.ranking as rk
-    monkeypatch.setattr(cu, "RUN", 2)
+    import vendora.plans.customers as pc
+    monkeypatch.setattr(pc, "interarrival_gaps", partial(pc.interarrival_gaps, run=2))
     monkeypatch.setattr(rk, "VALUES", 50)
     monkeypatch.setattr(rk, "BUCKETS", 7)
     got = se.queries()[key](spark, SMOKE).toPandas()
