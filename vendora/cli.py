@@ -9,6 +9,11 @@ Actions:
   --write-tables DIR [--buckets N]   persist the nine tables as Parquet
                                      (bucketed by key when --buckets is given)
   --out DIR [--reports k1,k2]        write each report to ``DIR/<key>`` as Parquet
+  --monthly DIR [--late DIR2]        keep the folds of the monthly reports in DIR: all
+                                     months, or those that the late rows in DIR2
+                                     (``DIR2/<table>`` as Parquet: orders, order_items,
+                                     customers, and orders_before: corrected orders as
+                                     they were) change; reports go to ``DIR/_reports``
   --list                             print the report keys
 
 Reports are written by the executors (``DataFrame.write.parquet``); nothing
@@ -20,10 +25,14 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
+
 from vendora.plans import REGISTRY
+from vendora.plans.monthly import monthly_reports, refresh
 from vendora.session import get_session
 from vendora.sources import adapter, ingest
 from vendora.sources.catalog import Tables, from_catalog, from_parquet, from_testdata
+from vendora.sources.schemas import TABLES
 
 
 def _tables(spark, args) -> Tables:
@@ -40,6 +49,18 @@ def _tables(spark, args) -> Tables:
     raise SystemExit("give one source: --testdata, --csv or --parquet")
 
 
+def _late_rows(spark, folder: str) -> dict:
+    """Late rows by table name; a table without a folder has none."""
+    found = {}
+    for name in ("orders", "order_items", "customers", "orders_before"):
+        try:
+            found[name] = spark.read.schema(TABLES[name.removesuffix("_before")]).parquet(f"{folder.rstrip('/')}/{name}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return found
+
+
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="vendora", description=__doc__,
                                  formatter_class=argparse.RawDescriptionHelpFormatter)
@@ -52,6 +73,8 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--buckets", type=int)
     ap.add_argument("--out")
     ap.add_argument("--reports", help="comma-separated keys (default: all)")
+    ap.add_argument("--monthly", help="folder of the monthly reports' folds")
+    ap.add_argument("--late", help="with --monthly: folder of the rows that came late")
     ap.add_argument("--list", action="store_true")
     ap.add_argument("--master")
     args = ap.parse_args(argv)
@@ -68,6 +91,13 @@ def main(argv: list[str] | None = None) -> int:
         else:
             ingest.write_tables(tables.as_dict(), args.write_tables)
             tables = from_parquet(spark, args.write_tables)
+    if args.monthly:
+        late = _late_rows(spark, args.late) if args.late else None
+        before = late.pop("orders_before", None) if late else None
+        months = refresh(tables, args.monthly, late, before)
+        print("refreshed " + ("all months" if months is None else f"{len(months)} months"), file=sys.stderr)
+        for key, frame in monthly_reports(spark, args.monthly).items():
+            ingest.write_parquet(frame, f"{args.monthly.rstrip('/')}/_reports/{key}")
     if args.out:
         keys = args.reports.split(",") if args.reports else list(REGISTRY)
         unknown = [k for k in keys if k not in REGISTRY]
