@@ -1,7 +1,9 @@
+import re
+
 import pytest
 
 from tests.conftest import SMOKE
-from tests.llm.helpers import docs, rows, words
+from tests.llm.helpers import docs, lower, rows, words
 from vendora.llm import licenses as lic
 
 
@@ -46,7 +48,7 @@ def test_gates_hide_no_match():
     for t in texts:
         low = t.lower()
         for r in lic.rules():
-            if r.kind != "notice" and r.pattern.search(low):
+            if r.kind not in ("notice", "field") and r.pattern.search(low):
                 assert all(g in low for g in r.gate), (t, r)
 
 
@@ -82,3 +84,59 @@ def test_frames(spark):
     ("the GPL is long", []), ("a simple example 2.0 license", []), ("2-clause BSD license", ["bsd-2-clause"])])
 def test_abbreviations_and_versionless_names(text, labels):
     assert [r.label for *_, r in lic.detections(text)] == labels
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("License: MIT", ["mit"]), ('license = "ISC"', ["isc"]), ('"license": "Apache-2.0",', ["apache-2.0"]), ("license: bsd-3-clause", ["bsd-3-clause"]),
+    ("License: GPL-2.0-or-later", ["gpl-2.0"]), ("licence: Zlib", ["zlib"]), ("license = ['CC0-1.0']", ["cc0-1.0"]), ("License: PostgreSQL License", ["postgresql"]),
+    ("license: mitigated", []), ("sublicense: MIT", []), ("License: BSD", ["bsd"]), ("CC BY-SA 4.0", ["cc-by-sa"]), ("cc-by-nc-nd", ["cc-by-nc-nd"]),
+    ("CC BY 4.0", ["cc-by-4.0"]), ("cc by", []), ("acc by-sa", []), ("CC BY NC SA 3.0", ["cc-by-nc-sa"]), ("licensed under CC BY-SA 4.0", ["cc-by-sa"])])
+def test_fields_and_short_names(text, labels):
+    assert [r.label for *_, r in lic.detections(text)] == labels
+
+
+@pytest.mark.parametrize(("text", "labels"), [
+    ("This is not licensed under the GPL.", []), ("It isn't released under the terms of the GNU General Public License, version 2.", []),
+    ("never distributed under the MIT License, but licensed under the Apache License 2.0", ["apache-2.0"]), ("no longer available under a BSD license", []),
+    ("has not yet been published under the MPL 2.0", []), ("It is not. Licensed under the GPL", ["gpl"]), ("why not? licensed under the GPL", ["gpl"])])
+def test_denied_notices(text, labels):
+    assert [r.label for *_, r in lic.detections(text)] == labels
+
+
+def without_gates(text):
+    """Every rule over the whole text, suppression by comparing all with all."""
+    low = lower(text)
+    leads = [(m.start(), m.end(), bool(lic.DENIED.search(low[max(0, m.start() - 40):m.start()]))) for m in lic.LEAD.finditer(low)]
+    fields = [m.span() for m in lic.FIELD.finditer(low) if not (low[:m.start()][-1:] and low[m.start() - 1] in lic.ALNUM)]
+    found = []
+    for k, rule in enumerate(lic.rules()):
+        if rule.kind == "notice":
+            hits = [(s, m.end()) for s, e, no in leads if not no and (m := rule.pattern.match(low, e))]
+        elif rule.kind == "field":
+            hits = [(s, m.end()) for s, e in fields if (m := rule.pattern.match(low, e))]
+        else:
+            hits = [m.span("id" if rule.kind == "tag" else 0) for m in rule.pattern.finditer(low)
+                    if not (m.start() and low[m.start() - 1] in lic.ALNUM) and not any(no and s <= m.start() <= e for s, e, no in leads)]
+        found += [(s, e, rule.priority, k, rule.label) for s, e in hits]
+
+    def beats(a, b):
+        inside = a[0] <= b[0] and b[1] <= a[1]
+        return inside and (a[2] > b[2] or (a[2] == b[2] and (a[:2] != b[:2] or a[3] < b[3])))
+    return sorted({(s, e, label) for d in found for s, e, *_, label in [d] if not any(beats(o, d) for o in found)})
+
+
+def test_gates_and_suppression_against_every_rule_ungated(spark):
+    """All given texts, and texts made of every rule's own words, one after the other."""
+    given = [r.text for r in spark.read.parquet(f"{SMOKE}/documents.parquet").select("text").collect() if r.text]
+    names = [name.split("(?")[0].replace("\\", "") for _, _, name, _ in lic.LICENSES]
+    made = [f"{how} {n}{more}" for n in names if n for how in ("licensed under the", "License:", "not licensed under", "see the") for more in ("", " license", " license 2.0")]
+    made += [" ".join(made[k::97]) for k in range(97)]
+    made += [re.sub(r"\\.", " ", t) for _, t in lic.SENTENCES]
+    made += [f"SPDX-License-Identifier: ({spdx.split('(')[0]} OR MIT)".replace("\\", "") for _, spdx, *_ in lic.LICENSES]
+    made += [address.split("(?")[0].replace("\\", "") for *_, address in lic.LICENSES if address]
+    hits = 0
+    for text in [*given, *made]:
+        got = sorted((s, e, r.label) for s, e, r in lic.detections(text))
+        assert got == without_gates(text), text[:300]
+        hits += len(got)
+    assert hits > 500

@@ -7,7 +7,8 @@ abbreviations and names without a version ("GPLv3", "under the GPL"). Each rule
 priority, a confidence and a gate: literals that must all stand in the text. One
 Aho-Corasick pass over the lower-cased text finds the literals, and only rules
 with open gates run. A detection contained in one of higher priority, or in a
-longer one of the same priority, is suppressed.
+longer one of the same priority, is suppressed. What a denied notice speaks of ("not
+licensed under the GPL") is no detection; of a list only its first license.
 
 Base phrases are counted apart, on the words of the whole text: a place is a run
 of consecutive words equal to the phrase.
@@ -40,6 +41,7 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 # are regular expressions; a blank in a name stands for white space, hyphens or
 # commas. Gates are taken from the longest literal words of an expression.
 V = r"(?: version| v)? ?"
+CC = r"(?: (?:international |version )?v?[1-4]\.0)?"
 LICENSES = [
     ("mit", "MIT", r"mit", r"opensource\.org/licenses?/mit\b"),
     ("mit-0", "MIT-0", r"mit no attribution", None),
@@ -71,12 +73,12 @@ LICENSES = [
     ("unlicense", "Unlicense", r"the unlicense", r"unlicense\.org"),
     ("wtfpl", "WTFPL", r"do what the fuck you want to public license", r"wtfpl\.net"),
     ("cc0-1.0", r"CC0-1\.0", r"(?:creative commons zero|cc0)", r"creativecommons\.org/publicdomain/zero"),
-    ("cc-by-4.0", r"CC-BY-[1-4]\.0", r"(?:creative commons attribution|cc by)(?! (?:sa|nc|nd)\b| share| non)", r"creativecommons\.org/licenses/by/"),
-    ("cc-by-sa", r"CC-BY-SA-[1-4]\.0", r"(?:creative commons attribution share ?alike|cc by sa)", r"creativecommons\.org/licenses/by-sa/"),
-    ("cc-by-nc", r"CC-BY-NC-[1-4]\.0", r"(?:creative commons attribution non ?commercial|cc by nc)(?! (?:sa|nd)\b| share| no ?deriv)", r"creativecommons\.org/licenses/by-nc/"),
-    ("cc-by-nd", r"CC-BY-ND-[1-4]\.0", r"(?:creative commons attribution no ?deriv[a-z]*|cc by nd)", r"creativecommons\.org/licenses/by-nd/"),
-    ("cc-by-nc-sa", r"CC-BY-NC-SA-[1-4]\.0", r"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa)", r"creativecommons\.org/licenses/by-nc-sa/"),
-    ("cc-by-nc-nd", r"CC-BY-NC-ND-[1-4]\.0", r"(?:creative commons attribution non ?commercial no ?deriv[a-z]*|cc by nc nd)", r"creativecommons\.org/licenses/by-nc-nd/"),
+    ("cc-by-4.0", r"CC-BY-[1-4]\.0", rf"(?:creative commons attribution|cc by)(?! (?:sa|nc|nd)\b| share| non){CC}", r"creativecommons\.org/licenses/by/"),
+    ("cc-by-sa", r"CC-BY-SA-[1-4]\.0", rf"(?:creative commons attribution share ?alike|cc by sa){CC}", r"creativecommons\.org/licenses/by-sa/"),
+    ("cc-by-nc", r"CC-BY-NC-[1-4]\.0", rf"(?:creative commons attribution non ?commercial|cc by nc)(?! (?:sa|nd)\b| share| no ?deriv){CC}", r"creativecommons\.org/licenses/by-nc/"),
+    ("cc-by-nd", r"CC-BY-ND-[1-4]\.0", rf"(?:creative commons attribution no ?deriv[a-z]*|cc by nd){CC}", r"creativecommons\.org/licenses/by-nd/"),
+    ("cc-by-nc-sa", r"CC-BY-NC-SA-[1-4]\.0", rf"(?:creative commons attribution non ?commercial share ?alike|cc by nc sa){CC}", r"creativecommons\.org/licenses/by-nc-sa/"),
+    ("cc-by-nc-nd", r"CC-BY-NC-ND-[1-4]\.0", rf"(?:creative commons attribution non ?commercial no ?deriv[a-z]*|cc by nc nd){CC}", r"creativecommons\.org/licenses/by-nc-nd/"),
     ("odbl-1.0", r"ODbL-1\.0", r"open (?:data commons open )?database license", r"opendatacommons\.org/licenses/odbl"),
     ("odc-by", r"ODC-By-1\.0", r"open data commons attribution", r"opendatacommons\.org/licenses/by"),
     ("pddl", r"PDDL-1\.0", r"public domain dedication and license", r"opendatacommons\.org/licenses/pddl"),
@@ -170,7 +172,7 @@ SENTENCES = [
 # Every gate has a literal with one of these in it, so a text
 # without any of them is done after a few substring searches.
 ROOTS = (b"licen", b"spdx", b"under", b"public", b"rights", b"confidential", b"permission", b"redistribution", b"altered",
-         b"gpl", b"want", b".org", b".com", b".net", b".info", b".eu", b".dev", b".co")
+         b"gpl", b"cc by", b"cc-by", b"want", b".org", b".com", b".net", b".info", b".eu", b".dev", b".co")
 
 
 class Rule(NamedTuple):
@@ -205,7 +207,14 @@ LEAD = re.compile(r"(?:licen[sc]ed|released|distributed|available|published|prov
                   r"(?:terms[\s,-]+of[\s,-]+)?(?:the[\s,-]+)?")
 END = r"(?![a-z0-9])"
 UNDER = r"under[\s,-]+(?:the[\s,-]+|an?[\s,-]+)?(?:terms[\s,-]+of[\s,-]+)?(?:the[\s,-]+)?"
-FIELD = r"licen[sc]es?[\"']?[ \t]*[:=][ \t]*[\"']?"
+# A metadata field's opening; the value is matched in place like a notice's.
+FIELD = re.compile(r"licen[sc]es?[\"']?[ \t]*[:=][ \t]*[\[(]?[ \t]*[\"']?(?:the[ \t]+)?")
+# A denial right before a notice.
+DENIED = re.compile(r"(?:\b(?:not|never|no longer|neither|cannot)|n['\u2019]t)(?:[\s,-]+(?:been|being|be|yet|currently|generally))*[\s,-]+$")
+# Short names of the Creative Commons licenses, and whether they need
+# a version to say anything.
+SHORT = [("cc-by-4.0", "cc by", True), ("cc-by-sa", "cc by sa", False), ("cc-by-nc", "cc by nc", False), ("cc-by-nd", "cc by nd", False),
+         ("cc-by-nc-sa", "cc by nc sa", False), ("cc-by-nc-nd", "cc by nc nd", False)]
 VERSION = r"(?:[\s,-]*v(?:ersion|\.)?\s*|[\s-]*)"
 ALNUM = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")  # what may not stand before a match
 
@@ -224,6 +233,12 @@ def rules() -> list[Rule]:
                         re.compile(_spaced(name) + END + r"(?:[\s,]+(?:public[\s]+)?licen[sc]e\b)?")))
         out.append(Rule(label, "name", 60, 0.7, _literals(name) | {"licen"},
                         re.compile(_spaced(name) + (END if "licen" in name else r"[\s,-]+licen[sc]e" + END))))
+        value = rf"(?:(?:{spdx.lower()})(?![a-z0-9.+-]*[a-z0-9])|{_spaced(name)}{END})(?:[\s,-]+licen[sc]e\b)?"
+        out.append(Rule(label, "field", 65, 0.8, frozenset({"licen"}), re.compile(value)))
+    for label, name, versioned in SHORT:
+        for way in sorted({name, name.replace(" ", "-"), name.replace(" ", "-").replace("-", " ", 1)}):
+            version = r"(?:[\s-]+v?[1-4]\.0)" + ("" if versioned else "?")
+            out.append(Rule(label, "short", 55, 0.7, frozenset({way}), re.compile(way + r"(?![\s-]+(?:sa|nc|nd)\b)" + version + END)))
     for family, names, versions in FAMILIES:
         for label, version in [(family, None), *versions]:
             for name, gate in names:
@@ -231,7 +246,7 @@ def rules() -> list[Rule]:
                 more = r"(?:[\s,-]+licen[sc]e\b)?"
                 out.append(Rule(label, "notice", 80, 0.9, frozenset({gate, "under"}), re.compile(full + more)))
                 out.append(Rule(label, "under", 75, 0.8, frozenset({gate, "under"}), re.compile(UNDER + full + more)))
-                out.append(Rule(label, "field", 65, 0.8, frozenset({gate, "licen"}), re.compile(FIELD + full)))
+                out.append(Rule(label, "field", 65, 0.8, frozenset({gate, "licen"}), re.compile(full)))
                 alone = "licen" in name or version  # a bare abbreviation says nothing
                 out.append(Rule(label, "name", 60, 0.7, frozenset({gate} if version and "gpl" in gate else {gate, "licen"}),
                                 re.compile(full if alone else _spaced(name) + r"[\s,-]+licen[sc]ed?" + END)))
@@ -303,7 +318,16 @@ def detections(text: str | None) -> list[tuple[int, int, Rule]]:
         starts[:] = [s for s, _ in spans]
         ends[:] = np.maximum.accumulate([e for _, e in spans]).tolist() if spans else []
 
-    leads = [m.span() for m in LEAD.finditer(low)] if "under" in there else []
+    leads, denied = [], []
+    for m in LEAD.finditer(low) if "under" in there else ():
+        (denied if DENIED.search(low[max(0, m.start() - 40):m.start()]) else leads).append(m.span())
+    fields = [m.span() for m in FIELD.finditer(low) if m.start() == 0 or low[m.start() - 1] not in ALNUM] if "licen" in there else []
+    from_denied = [s for s, _ in denied]
+
+    def is_denied(start: int) -> bool:
+        k = bisect_right(from_denied, start)
+        return k > 0 and start <= denied[k - 1][1]
+
     priority = None
     for rule in rules():
         if rule.priority != priority:
@@ -311,12 +335,12 @@ def detections(text: str | None) -> list[tuple[int, int, Rule]]:
             priority = rule.priority
         if not rule.gate <= there:
             continue
-        if rule.kind == "notice":
-            level += [(s, m.end(), rule) for s, e in leads if (m := rule.pattern.match(low, e))]
+        if rule.kind in ("notice", "field"):
+            level += [(s, m.end(), rule) for s, e in (leads if rule.kind == "notice" else fields) if (m := rule.pattern.match(low, e))]
             continue
         part = "id" if rule.kind == "tag" else 0  # of a tag with several licenses, each its own
         level += [(*m.span(part), rule) for m in rule.pattern.finditer(low)
-                  if m.start() == 0 or low[m.start() - 1] not in ALNUM]
+                  if (m.start() == 0 or low[m.start() - 1] not in ALNUM) and not is_denied(m.start())]
     settle()
     return sorted(stays, key=lambda d: (d[0], d[1]))
 
