@@ -81,3 +81,28 @@ def test_native_plan_repeats_and_empty(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert run(spark, []).count() == 0
+
+
+def test_levels_of_addresses_ports_and_longer_suffixes(spark):
+    hosts = ["1.2.3.4", "1.2.3.4:80", "9.2.3.4", "u@[::1]:8080", "a.b.co.uk", "co.uk", "uk", "", "x.y.pvt.k12.ma.us", "k12.ma.us", "1.2.3.4.com", "a.b.com.pl"]
+    frame = spark.createDataFrame([(h, 1, 0) for h in hosts], "host string, n long, y long")
+    listed = spark.createDataFrame([("co.uk",), ("k12.ma.us",), ("PVT.k12.ma.us",), (None,), ("co.uk",)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in uf._with_levels(frame, listed).collect()}
+    assert got == {"1.2.3.4": ("1.2.3.4", ""), "1.2.3.4:80": ("1.2.3.4", ""), "9.2.3.4": ("9.2.3.4", ""), "u@[::1]:8080": ("[::1]", ""),
+                   "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "uk": ("uk", "uk"), "": ("", ""),
+                   "x.y.pvt.k12.ma.us": ("y.pvt.k12.ma.us", "pvt.k12.ma.us"), "k12.ma.us": ("k12.ma.us", "k12.ma.us"),
+                   "1.2.3.4.com": ("4.com", "com"), "a.b.com.pl": ("com.pl", "pl")}
+
+
+def test_given_suffixes_reach_the_verdict(spark):
+    """Under co.zz the bad site says nothing of its neighbour, unless co.zz is taken for a domain."""
+    urls = [(k, f"http://bad.co.zz/{k}") for k in range(30)] + [(100 + k, f"http://ok.co.yy/{k}") for k in range(30)] + [(200, "http://new.co.zz/")]
+    outcomes = [(k, True) for k in range(30)] + [(100 + k, False) for k in range(30)]
+    plain = {r.page_id: r.verdict for r in run(spark, urls, outcomes).collect()}
+    listed = {r.page_id: r.verdict for r in run(spark, urls, outcomes, suffixes=spark.createDataFrame([("co.zz",), ("zz.co",)], "suffix string")).collect()}
+    assert plain[0] == listed[0] == "block" and plain[100] == listed[100] == "allow"
+    level = {}
+    for name, s in (("plain", None), ("listed", spark.createDataFrame([("co.zz",)], "suffix string"))):
+        frame = spark.createDataFrame([(i, u.split("/")[2]) for i, u in urls], "page_id long, host string")
+        level[name] = {r.host: r["mean"] for r in uf.host_reputation(frame, spark.createDataFrame(outcomes, OUT), suffixes=s).collect()}
+    assert level["plain"]["new.co.zz"] > level["listed"]["new.co.zz"]

@@ -1,5 +1,7 @@
 """DuckDB SQL of the operators that SQL can express."""
 
+from vendora.llm.urlfilter import IP_HOST, TWO_LABEL_SUFFIXES
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -31,6 +33,7 @@ FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)"""
 
 ORACLE_OP1 = op1_sql()
 
+SUFFIX_LIST = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
 ORACLE_OP10 = f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
@@ -43,9 +46,12 @@ r AS (SELECT host, path, arg_max(rhost || rpath, len(rhost || rpath)) AS rule, a
 o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels
       WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
 h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS y,
-              string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS parts
+              regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS site
        FROM p LEFT JOIN o USING (page_id) GROUP BY host),
-h AS (SELECT host, n, y, array_to_string(parts[-2:], '.') AS domain, parts[-1] AS suffix FROM h0),
+h1 AS (SELECT *, string_split(site, '.') AS parts, regexp_matches(site, '{IP_HOST}') AS ip FROM h0),
+h2 AS (SELECT *, CASE WHEN array_to_string(parts[-2:], '.') IN ({SUFFIX_LIST}) THEN 2 ELSE 1 END AS depth FROM h1),
+h AS (SELECT host, n, y, CASE WHEN ip THEN site ELSE array_to_string(parts[-(depth + 1):], '.') END AS domain,
+             CASE WHEN ip THEN '' ELSE array_to_string(parts[-depth:], '.') END AS suffix FROM h2),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(y) AS y FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(y) AS y, (SELECT (sum(y) + 0.5::DOUBLE) / (sum(n) + 1) FROM h) AS m FROM d GROUP BY suffix),
 ks AS (SELECT 1 / least(greatest(sum(n * pow(y / n - m, 2) - m * (1 - m)) / sum(m * (1 - m) * (n - 1)), 0.001), 0.999) - 1 AS k FROM s WHERE n > 0),

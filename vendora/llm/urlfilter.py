@@ -15,7 +15,8 @@ are joined back, broadcast after a count, otherwise shuffled with AQE's skew spl
 
 Defined results: a null url or one without ``://`` has empty host and path,
 and counts as one (empty) host; null outcomes and page ids are no evidence;
-several outcomes of a page count once (bad if any is); repeated pages are
+several outcomes of a page count once (bad if any is); a host that is an IP address
+is its own domain, and all of them have one empty suffix; repeated pages are
 judged and counted row by row; with no outcomes at all nothing is blocked by
 reputation; extra columns are not read.
 """
@@ -25,7 +26,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vendora.llm.common import ascii_lower, maybe_broadcast, stored
@@ -37,10 +38,13 @@ class Rule(NamedTuple):
     path: str
 
 
-# Public suffixes of two labels (an excerpt, a parameter).
+# Public suffixes of two labels (an excerpt, the default).
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.uk", "gov.uk", "org.uk", "co.jp", "or.jp", "co.kr", "co.in", "co.nz", "co.za",
                       "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx", "com.sg", "com.tr", "com.tw"]
 
+# An IPv4 address, or an IPv6 address in brackets, once the port is gone.
+IP_HOST = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$"
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     at = F.instr(url, "://")
@@ -59,11 +63,26 @@ def apply_rules(host: Column, path: Column, rules: list[Rule]) -> Column:
         shortest_first, none)
 
 
-def _levels(site: Column, two_label: list[str]) -> tuple[Column, Column]:
-    """Registered domain and public suffix of a host."""
-    two = F.substring_index(site, ".", -2).isin(two_label)
-    return (F.when(two, F.substring_index(site, ".", -3)).otherwise(F.substring_index(site, ".", -2)),
-            F.when(two, F.substring_index(site, ".", -2)).otherwise(F.substring_index(site, ".", -1)))
+def _suffix_table(spark: SparkSession, names: list[str]) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("suffix"))
+
+
+def _with_levels(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """``hosts`` (host, n, y; one row per host) with its registered domain and public
+    suffix: the longest of ``suffixes`` (suffix) that ends the host, else its last
+    label; the domain has one label more. Ends of as many labels as the longest
+    suffix has meet the table, and fold again under the hosts' own partitioning."""
+    known = stored(suffixes.select(ascii_lower(F.col("suffix")).alias("end")).where("end is not null").distinct(), "url-suffixes")
+    deepest = known.agg(F.max(F.size(F.split("end", r"\.")))).first()[0] or 1
+    site = F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", "")
+    ends = F.expr(f"explode(transform(sequence(1, least({deepest}, size(split(site, '[.]')))), k -> named_struct('depth', k, 'end', substring_index(site, '.', -k))))")
+    deep = (hosts.withColumn("site", site).select("*", ends.alias("e")).select("*", "e.depth", "e.end")
+            .join(maybe_broadcast(known.withColumn("listed", F.lit(True))), "end", "left")
+            .groupBy("host").agg(F.first("site").alias("site"), F.first("n").alias("n"), F.first("y").alias("y"),
+                                 F.coalesce(F.max(F.when(F.col("listed"), F.col("depth"))), F.lit(1)).alias("depth")))
+    address = F.rlike("site", F.lit(IP_HOST))
+    return deep.select("host", "n", "y", F.when(address, F.col("site")).otherwise(F.expr("substring_index(site, '.', -(depth + 1))")).alias("domain"),
+                       F.when(address, F.lit("")).otherwise(F.expr("substring_index(site, '.', -depth)")).alias("suffix"))
 
 
 def _prior_weight(groups: DataFrame) -> float:
@@ -82,24 +101,24 @@ def _shrunk(groups: DataFrame, weight: float) -> DataFrame:
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645,
-                    two_label: list[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+                    suffixes: DataFrame | None = None) -> DataFrame:
     """(host, n, y, mean, bound) of every host of ``pages`` (page_id, host);
-    ``outcomes`` is (page_id, bad)."""
+    ``outcomes`` is (page_id, bad), ``suffixes`` (suffix) a public suffix list of any
+    length, of ``TWO_LABEL_SUFFIXES`` if none is given."""
     once = (outcomes.where(F.col("page_id").isNotNull() & F.col("bad").isNotNull())
             .groupBy("page_id").agg(F.max(F.col("bad").cast("int")).alias("bad")))
-    site = F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", "")
-    domain, suffix = _levels(site, two_label)
     hosts = (pages.join(once, "page_id", "left")
-             .groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("y"))
-             .withColumns({"domain": domain, "suffix": suffix}))
-    hosts = stored(hosts, "url-hosts")
+             .groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("y")))
+    if suffixes is None:
+        suffixes = _suffix_table(pages.sparkSession, TWO_LABEL_SUFFIXES)
+    hosts = stored(_with_levels(hosts, suffixes), "url-hosts")
     domains = stored(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y")), "url-domains")
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
-    total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    total = tops.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("y")).first()
     rate = (total.y + 0.5) / (total.n + 1)
-    suffixes = suffixes.withColumn("m", F.lit(rate))
-    suffixes = _shrunk(suffixes, _prior_weight(suffixes)).select("suffix", "m")
-    domains = domains.join(suffixes, "suffix")
+    tops = tops.withColumn("m", F.lit(rate))
+    tops = _shrunk(tops, _prior_weight(tops)).select("suffix", "m")
+    domains = domains.join(tops, "suffix")
     domains = stored(_shrunk(domains, _prior_weight(domains)).select("domain", "suffix", "m"), "url-priors")
     hosts = hosts.join(domains, ["domain", "suffix"])
     weight = _prior_weight(hosts)
@@ -108,12 +127,14 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = 1.645,
     return hosts.select("host", "n", "y", mean.alias("mean"), (mean - z * sd).alias("bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit: float = 0.3, z: float = 1.645) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict (allow or block)."""
+def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], limit: float = 0.3, z: float = 1.645,
+          suffixes: DataFrame | None = None) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict (allow or block);
+    ``suffixes`` as for ``host_reputation``."""
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     total = outcomes.where("bad is not null").limit(1).count()
-    reputation = host_reputation(split.select("page_id", "host"), outcomes, z)
+    reputation = host_reputation(split.select("page_id", "host"), outcomes, z, suffixes)
     blocked = reputation.where((F.col("bound") > limit) & F.lit(total > 0)).select("host", F.lit("block").alias("judged"))
     ruled = split.withColumn("r", apply_rules(F.col("host"), F.col("path"), rules))
     return (ruled.join(maybe_broadcast(stored(blocked, "url-blocked")), "host", "left")
