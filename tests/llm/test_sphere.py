@@ -1,7 +1,9 @@
 import numpy as np
 
+from tests.conftest import SMOKE
 from tests.llm.helpers import union_all
 from vendora.llm import sphere as sp
+from vendora.llm.queries import QUERIES
 
 VECS = "vec_id long, embedding array<float>, label int"
 
@@ -101,3 +103,27 @@ def test_lower_cosines_are_searched_as_such(spark):
     got = {(r.a, r.b) for r in sp.links(classes, 0.8).collect()}
     assert sum((i, i + 250) in got for i in range(250)) >= 0.9 * 250
     assert sp.sign_bits(0.95) == 20 and sp.sign_bits(0.8) > 25
+
+
+def test_registered_query_on_given_rows_with_planted_links(spark, tmp_path):
+    """The given vectors hold no link at 0.95: chains, near copies and copies of some of
+    them are planted; the query misses at most a tenth of all links and adds none."""
+    given = spark.read.parquet(f"{SMOKE}/embeddings.parquet")
+    data = [(r.vec_id, list(r.embedding)) for r in given.select("vec_id", "embedding").collect()]
+    rng, first = np.random.default_rng(6), 1 + max(i for i, _ in data)
+    for _, v in list(data[:40]):
+        v = np.array(v, float)
+        for spread in (0.1, 0.2, 0.3, 0.0):  # up to a cosine of about 0.95
+            noise = rng.standard_normal(len(v))
+            data.append((first, (v + spread * np.linalg.norm(v) / np.linalg.norm(noise) * noise).tolist()))
+            first += 1
+    planted = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    planted.coalesce(2).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r for r in QUERIES["op9_embedding_dedup"](spark, str(tmp_path)).collect()}
+    want = {i: (n, c, k) for i, n, c, k in brute(data)}
+    assert got.keys() == want.keys()
+    assert all(got[i].n_links <= want[i][0] for i in want)
+    found, all_links = sum(r.n_links for r in got.values()), sum(n for n, *_ in want.values())
+    assert all_links >= 400 and found >= 0.9 * all_links
+    same = sum(got[i].component_id == want[i][1] and got[i].kept == want[i][2] for i in want)
+    assert same >= 0.95 * len(want)
