@@ -78,8 +78,9 @@ def _with_levels(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     ends = F.expr(f"explode(transform(sequence(1, least({deepest}, size(split(site, '[.]')))), k -> named_struct('depth', k, 'end', substring_index(site, '.', -k))))")
     deep = (hosts.withColumn("site", site).select("*", ends.alias("e")).select("*", "e.depth", "e.end")
             .join(maybe_broadcast(known.withColumn("listed", F.lit(True))), "end", "left")
-            .groupBy("host").agg(F.first("site").alias("site"), F.first("n").alias("n"), F.first("y").alias("y"),
-                                 F.coalesce(F.max(F.when(F.col("listed"), F.col("depth"))), F.lit(1)).alias("depth")))
+            .groupBy("host").agg(F.first("n").alias("n"), F.first("y").alias("y"),
+                                 F.coalesce(F.max(F.when(F.col("listed"), F.col("depth"))), F.lit(1)).alias("depth"))
+            .withColumn("site", site))  # not carried through the fold: numbers alone are hashed
     address = F.rlike("site", F.lit(IP_HOST))
     return deep.select("host", "n", "y", F.when(address, F.col("site")).otherwise(F.expr("substring_index(site, '.', -(depth + 1))")).alias("domain"),
                        F.when(address, F.lit("")).otherwise(F.expr("substring_index(site, '.', -depth)")).alias("suffix"))
