@@ -87,3 +87,49 @@ def test_accuracy_on_testdata(spark):
     got = q.classify(d, labels).where("held_out").join(labels.select("doc_id", "quality"), "doc_id")
     right = [r["n"] for r in got.selectExpr("avg(cast(predicted = quality as int)) as n").collect()]
     assert right[0] >= 0.95
+
+
+def test_fit_against_every_split_tried(monkeypatch):
+    """Each node's split has the largest gain of all cuts of all features, summed row by
+    row; leaves and the next tree's residuals follow from the same rows."""
+    monkeypatch.setattr(q, "TREES", 4)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.standard_normal((160, 6)), 1)  # ties
+    x[:, 4] = 1.0                                   # a constant feature
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3) | (rng.random(160) < 0.1)).astype(float)
+    m = q.fit(x, y)
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, q.BINS + 1)[1:-1]).tolist())) for j in range(x.shape[1])]
+    raw = [float(np.log(y.mean() / (1 - y.mean())))] * len(y)
+    assert m.base == pytest.approx(raw[0])
+
+    def gain(rows_, j, cut, g, h):
+        left = [i for i in rows_ if x[i, j] <= cut]
+        right = [i for i in rows_ if x[i, j] > cut]
+        parts = [(sum(g[i] for i in part), sum(h[i] for i in part)) for part in (left, right, rows_)]
+        if min(parts[0][1], parts[1][1]) < q.LEAST / 10:
+            return 0.0
+        (gl, hl), (gr, hr), (gt, ht) = parts
+        return gl * gl / (hl + q.L2) + gr * gr / (hr + q.L2) - gt * gt / (ht + q.L2)
+
+    splits = 0
+    for feature, threshold, value in zip(m.feature, m.threshold, m.value, strict=True):
+        p = [1 / (1 + np.exp(-r)) for r in raw]
+        g, h = [y[i] - p[i] for i in range(len(y))], [v * (1 - v) for v in p]
+        held = {0: list(range(len(y)))}
+        for node in range(len(feature)):
+            best = max((gain(held[node], j, c, g, h) for j in range(x.shape[1]) for c in cuts[j]), default=0.0)
+            if np.isinf(threshold[node]):
+                assert best < 1e-6
+            else:
+                assert gain(held[node], feature[node], threshold[node], g, h) == pytest.approx(best)
+                splits += 1
+            held[2 * node + 1] = [i for i in held[node] if x[i, feature[node]] <= threshold[node]]
+            held[2 * node + 2] = [i for i in held[node] if x[i, feature[node]] > threshold[node]]
+        for leaf, v in enumerate(value):
+            members = held[len(feature) + leaf]
+            want = q.RATE * sum(g[i] for i in members) / (sum(h[i] for i in members) + q.L2)
+            assert v == pytest.approx(want, abs=1e-12)
+            for i in members:
+                raw[i] += want
+    assert splits >= 12
+    assert np.allclose(1 / (1 + np.exp(-np.array(raw))), m.score(x))
