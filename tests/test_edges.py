@@ -109,3 +109,27 @@ def test_person_level_headline(spark):
     r = REGISTRY["customer_headline"](t).first()
     assert (r["total_unique_customers"], r["total_orders"], r["repeat_customers"], r["one_time_customers"],
             r["repeat_customer_rate_pct"]) == (2, 3, 1, 1, 50.0)
+
+
+# --- sums of spans past the range of BIGINT -----------------------------------------------
+def _long_spans(spark, n=60):
+    """Orders under way for 7000 years: forty such spans in microseconds pass 2^63."""
+    o = [order(f"O{i}", f"C{i}", pts="2000-01-01 00:00:00", carrier="9000-01-01 00:00:00", delivered="9001-01-01 00:00:00",
+               estimated="2000-01-02 00:00:00") for i in range(n)]
+    return make_tables(spark, orders=o, customers=[customer(f"C{i}", f"U{i}") for i in range(n)], sellers=[("S1", "1", "c", "SP")],
+                       order_items=[item(f"O{i}", 1) for i in range(n)])
+
+
+def test_pipeline_stages_sum_past_bigint(spark):
+    a = (dt.datetime(9000, 1, 1) - dt.datetime(2000, 1, 1)).days
+    r = REGISTRY["delivery_pipeline_stages"](_long_spans(spark)).first()
+    assert tuple(r) == (float(a), 365.0, float(a + 365), 100.0, 0.0)
+
+
+@pytest.mark.parametrize("key", ["delivery_by_state", "delivery_routes", "delivery_late_by_state", "delivery_monthly_trend",
+                                 "monthly_refresh"])
+def test_delivery_averages_sum_past_bigint(spark, key):
+    rows = REGISTRY[key](_long_spans(spark)).collect()
+    column = "avg_days_late" if key == "delivery_late_by_state" else "avg_delivery_days"
+    days = (dt.datetime(9001, 1, 1) - dt.datetime(2000, 1, 1)).days
+    assert [r[column] for r in rows] == [days - 1.0 if column == "avg_days_late" else float(days)]

@@ -48,6 +48,18 @@ def round_div(num, den, scale: int = 2) -> Column:
     return signed.cast("double") / F.lit(float(p))
 
 
+def total(col) -> Column:
+    """``SUM`` in decimal(38,0). Spans in microseconds pass the range of BIGINT within
+    some million rows, where a sum of BIGINT fails."""
+    return F.sum(big(F.col(col) if isinstance(col, str) else col))
+
+
+def days_avg(sum_us, n, scale: int = 1) -> Column:
+    """The mean span in days from a sum of microseconds and a count (``n`` times a
+    day's microseconds passes BIGINT too)."""
+    return round_div(sum_us, big(n) * US_PER_DAY, scale)
+
+
 def pct(part, whole, scale: int = 2) -> Column:
     """``round(part * 100.0 / NULLIF(whole, 0), scale)`` for integral inputs."""
     return round_div(big(part) * 100, whole, scale)

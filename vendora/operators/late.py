@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vendora.functions.calendar import elapsed_us
-from vendora.functions.exact import US_PER_DAY, pct, round_div
+from vendora.functions.exact import days_avg, pct, total
 
 
 def late(delivered: str = "order_delivered_customer_date",
@@ -50,9 +50,9 @@ def late_rate(df: DataFrame, keys: Sequence[str], order_col: str = "order_id",
     per = per.where(F.col(order_col).isNotNull())
     g = per.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_orders"), F.count_if(F.col("__late")).alias("late_orders"),
-        F.count_if(F.col("__on_time")).alias("on_time_orders"), F.sum("__us").alias("__us"), F.count("__us").alias("__n"),
+        F.count_if(F.col("__on_time")).alias("on_time_orders"), total("__us").alias("__us"), F.count("__us").alias("__n"),
         *[F.sum(c).alias(c) for c in sums])
     return g.select(*keys, "total_orders", "late_orders", "on_time_orders",
                     pct(F.col("late_orders"), F.col("total_orders")).alias("late_rate_pct"),
                     pct(F.col("on_time_orders"), F.col("total_orders")).alias("on_time_rate_pct"),
-                    round_div(F.col("__us"), F.col("__n") * US_PER_DAY, 1).alias("avg_days_late"), *sums)
+                    days_avg(F.col("__us"), F.col("__n")).alias("avg_days_late"), *sums)

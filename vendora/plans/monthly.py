@@ -38,7 +38,7 @@ def _schema(**fields) -> StructType:
 
 SCHEMAS = {
     "sales": _schema(total_orders=LongType(), rev_c=DecimalType(38, 0)),
-    "delivery": _schema(total_orders=LongType(), on_time_orders=LongType(), on_time_rate_pct=DoubleType(), us=LongType(), n_us=LongType()),
+    "delivery": _schema(total_orders=LongType(), on_time_orders=LongType(), on_time_rate_pct=DoubleType(), us=DecimalType(38, 0), n_us=LongType()),
     "active": _schema(customer_unique_id=StringType()),
 }
 
