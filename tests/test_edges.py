@@ -133,3 +133,9 @@ def test_delivery_averages_sum_past_bigint(spark, key):
     column = "avg_days_late" if key == "delivery_late_by_state" else "avg_delivery_days"
     days = (dt.datetime(9001, 1, 1) - dt.datetime(2000, 1, 1)).days
     assert [r[column] for r in rows] == [days - 1.0 if column == "avg_days_late" else float(days)]
+
+
+def test_shipping_types_sum_past_bigint(spark):
+    t = _long_spans(spark)
+    r = REGISTRY["seller_shipping_type"](t).first()
+    assert r["total_orders"] == 60 and r["avg_delivery_days"] == float((dt.datetime(9001, 1, 1) - dt.datetime(2000, 1, 1)).days)
