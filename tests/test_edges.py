@@ -139,3 +139,38 @@ def test_shipping_types_sum_past_bigint(spark):
     t = _long_spans(spark)
     r = REGISTRY["seller_shipping_type"](t).first()
     assert r["total_orders"] == 60 and r["avg_delivery_days"] == float((dt.datetime(9001, 1, 1) - dt.datetime(2000, 1, 1)).days)
+
+
+# --- repeated and missing keys in the seller reports ---------------------------------------
+def _repeated(spark):
+    """Seller S1 sells in O1 (a row that comes twice, two lines) and O2 (late), S2 in O1 only;
+    lines without order or seller, of an unknown seller, of an order not delivered."""
+    o1 = order("O1", "C1", delivered="2017-01-03 10:00:00", estimated="2017-02-01 00:00:00")
+    o2 = order("O2", "C2", delivered="2017-03-03 10:00:00", estimated="2017-02-01 00:00:00")
+    return make_tables(
+        spark, sellers=[("S1", "1", "c", "SP"), ("S2", "1", "c", None)], orders=[o1, o1, o2, order("O3", "C3", status="canceled")],
+        customers=[customer(c, "U" + c) for c in ("C1", "C2", "C3")], order_reviews=[review("R1", "O1", 5), review("R2", "O1", 2)],
+        order_items=[item("O1", 1), item("O1", 2), item("O2", 1), item("O1", 3, sid="S2"), item("O1", 4, sid="S9"),
+                     item(None, 1), item("O2", 2, sid=None), item("O3", 1, sid="S2")])
+
+
+def test_seller_counts_with_repeated_and_missing_keys(spark):
+    t = _repeated(spark)
+    rows = {r["seller_id"]: r for r in REGISTRY["seller_top_revenue"](t).collect()}
+    # O1 comes twice with two reviews: each of its lines stands for four rows.
+    assert {k: (r["total_orders"], r["total_items_sold"], r["total_revenue"], r["avg_review_score"]) for k, r in rows.items()} == {
+        "S1": (2, 9, 99.0, 3.5), "S2": (1, 4, 44.0, 3.5)}
+    assert tuple(REGISTRY["seller_headline"](t).first()) == (2, 2, 77.0, 11.0, 38.5, 1.0)
+    got = {r["seller_state"]: (r["total_sellers"], r["total_orders"]) for r in REGISTRY["seller_by_state"](t).collect()}
+    assert got == {"SP": (1, 2), None: (1, 1)}
+    got = {r["shipping_type"]: (r["total_orders"], r["avg_delivery_days"]) for r in REGISTRY["seller_shipping_type"](t).collect()}
+    assert got == {"Same state": (2, 8.6), "Cross state": (1, 2.0)}
+
+
+def test_order_once_late_and_once_not_counts_in_both(spark):
+    on_time = [order(f"O{i}", "C1", delivered="2017-01-03 10:00:00", estimated="2017-02-01 00:00:00") for i in range(10)]
+    late = order("O0", "C1", delivered="2017-03-03 10:00:00", estimated="2017-02-01 00:00:00")
+    t = make_tables(spark, sellers=[("S1", "1", "c", "SP")], orders=[*on_time, late, late],
+                    order_items=[item(f"O{i}", n) for i in range(10) for n in (1, 2)])
+    r = REGISTRY["seller_late_rate"](t).first()
+    assert (r["total_orders"], r["late_deliveries"]) == (11, 1)

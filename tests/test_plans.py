@@ -65,6 +65,22 @@ def test_bucketed_tables_join_orders_and_items_without_shuffle(stored):
     assert not re.search(r"Exchange hashpartitioning\(order_id#\d+", plan), plan
 
 
+SELLER_REPORTS = ("seller_headline", "seller_activity_buckets", "seller_pareto", "seller_top_revenue", "seller_top_volume",
+                  "seller_review_quality", "seller_late_rate", "seller_scorecard", "seller_by_state", "seller_shipping_type")
+
+
+@pytest.mark.parametrize("key", SELLER_REPORTS)
+def test_seller_reports_hold_no_table_of_order_seller_pairs(stored, key):
+    """Such a table is nearly as long as the item lines and was held twice in one task's memory."""
+    keys = re.findall(r"Aggregate\(keys=\[([^\]]*)\]", _plan(REGISTRY[key](stored[0])))
+    assert keys and not [k for k in keys if "order_id" in k and "seller_id" in k], keys
+
+
+def test_seller_marks_need_no_shuffle_of_bucketed_tables(stored):
+    plan = _plan(REGISTRY["seller_review_quality"](stored[1]))
+    assert "Window" in plan and not re.search(r"Exchange hashpartitioning\(order_id#\d+", plan), plan
+
+
 def test_results_same_on_every_storage_layout(spark, stored):
     plain, bucketed = stored
     lazy = from_testdata(spark, SMOKE)
